@@ -5,7 +5,7 @@ n-gram is hashed to a bucket that owns an embedding, and a word's vector is the
 n-grams.  Vectors are averaged over a window of words, and a linear softmax gives the window's
 probability of being toxic; a document has that of its highest window, over all windows of its whole
 text.  Embeddings and softmax are trained jointly by Adam in numpy, on a bounded sample of labelled
-documents.  A misspelling shares most of its n-grams with the word it distorts, so it is scored
+documents.  Training first takes whole texts, then the highest window of each document, as scoring does.  A misspelling shares most of its n-grams with the word it distorts, so it is scored
 without having been seen.
 
 For scoring, the product of each embedding with the softmax weights is folded into one number per
@@ -31,9 +31,11 @@ from quernmill.session import table
 LENGTHS = (3, 4, 5, 6)
 BITS = 18
 DIM = 8
-#: Means over a whole document are small; this brings them to unit size.
+#: Means over many n-grams are small; this brings them to unit size.
 SCALE = 20.0
 L2 = 1e-4
+#: Words of a window.
+WINDOW = 3
 
 
 @dataclass
@@ -42,7 +44,7 @@ class Model:
 
     weights: np.ndarray
     bias: float
-    window: int = 24
+    window: int = WINDOW
     threshold: float = 0.5
 
 
@@ -63,14 +65,6 @@ def grams(data: np.ndarray, n: int, prefix: np.ndarray, blanks: np.ndarray) -> t
     return bucket.view(np.int64), blanks[n - 1 : n - 1 + m] == blanks[1 : m + 1]
 
 
-def _prepare(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    prefix = np.zeros(len(data) + 1, B.U64)
-    np.cumsum(B.BYTE_CODE[data] * B._pow(B.BASE, len(data), "p"), out=prefix[1:])
-    blanks = np.zeros(len(data) + 1, np.int32)
-    np.cumsum(data == 32, out=blanks[1:])
-    return prefix, blanks
-
-
 def score_texts(column: pa.Array, model: Model) -> np.ndarray:
     """Probability of being toxic for each text: that of its most toxic window."""
     data_all, offs = padded(column)
@@ -131,67 +125,100 @@ def _peaks(value: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarra
     return best, where
 
 
-def _bags(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text its distinct buckets and their shares: the mean over words of the mean over a word's n-grams."""
-    bags = []
-    for text in texts:
-        data, offs = padded(pa.array([text], pa.string()))
-        words = B.Words(data, offs)
-        _, at, often = np.unique(words.hash, return_index=True, return_counts=True)
-        blanks = np.zeros(len(data) + 1, np.int32)
-        np.cumsum(data == 32, out=blanks[1:])
-        starts, length = words.start[at] - 1, words.end[at] - words.start[at] + 2
-        had = [np.maximum(length - n + 1, 0) for n in LENGTHS]
-        share = often / np.maximum(1, sum(had)) / max(1, len(words))
-        ids, parts = [], []
-        for n, h in zip(LENGTHS, had, strict=True):
-            own = np.repeat(np.arange(len(at)), h)
-            bucket, _ = grams(data, n, words.prefix, blanks)
-            ids.append(bucket[starts[own] + np.arange(len(own)) - np.repeat(np.cumsum(h) - h, h)])
-            parts.append(share[own])
-        uniq, inverse = np.unique(np.concatenate(ids), return_inverse=True)
-        bags.append((uniq, np.bincount(inverse, np.concatenate(parts), len(uniq)).astype(np.float32)))
-    return bags
-
-
-def train(texts: list[str | None], labels: np.ndarray, epochs: int = 10, lr: float = 0.1, batch: int = 32, min_docs: int = 5, seed: int = 7) -> Model:
+def _lexicon(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of some texts: n-gram buckets of each (flat, with bounds); and the texts as word numbers (flat, with bounds)."""
+    data, offs = padded(pa.array(texts, pa.string()))
+    words = B.Words(data, offs)
+    _, at, number = np.unique(words.hash, return_index=True, return_inverse=True)
+    starts, length = words.start[at] - 1, words.end[at] - words.start[at] + 2
+    had = np.stack([np.maximum(length - n + 1, 0) for n in LENGTHS], 1)
+    bounds = np.concatenate([[0], np.cumsum(had.sum(1))])
+    flat = np.empty(bounds[-1], np.int64)
+    to = bounds[:-1].copy()
+    for n, h in zip(LENGTHS, had.T, strict=True):
+        bucket, _ = grams(data, n, words.prefix, np.zeros(len(data) + 1, np.int32))
+        own = np.repeat(np.arange(len(at)), h)
+        inside = np.arange(len(own)) - np.repeat(np.cumsum(h) - h, h)
+        flat[to[own] + inside] = bucket[starts[own] + inside]
+        to += h
+    return flat, bounds, number, words.first
+
+
+def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of some ranges, and the number of the range that each is of."""
+    size = last - first
+    own = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size) + first[own], own
+
+
+def train(texts: list[str | None], labels: np.ndarray, warm: int = 2, epochs: int = 10, lr: float = 0.4, batch: int = 32, min_docs: int = 3, window: int = WINDOW, max_false: float = 0.01, seed: int = 7) -> Model:
     """Fits embeddings and softmax together; both classes weigh the same.
 
-    N-grams that fewer than min_docs of the sample's documents have keep a zero vector: what they
-    would learn is the label of a single document.
+    The first epochs take the whole text of each document; those after them its highest window under
+    the weights so far, so that what raises clean documents is unlearned.  N-grams that fewer than
+    min_docs of the sample's documents have keep a zero vector: what they would learn is the label of
+    single documents.  A fifth of the sample is kept back; the threshold is the least of at least 0.5
+    that at most max_false of its clean documents reach.
     """
-    bags = _bags(texts)
-    y = np.asarray(labels, np.float32)
-    keep = np.array([i for i, (ids, _) in enumerate(bags) if len(ids)], np.int64)
+    y = np.asarray(labels, np.int64)
+    flat, bounds, number, first = _lexicon(texts)
+    some = np.diff(first) > 0
+    if len(set(y[some].tolist())) < 2:
+        return Model(np.zeros(1 << BITS, np.float32), -50.0, window)
+    rng = np.random.default_rng(seed)
+    order = rng.permutation(np.flatnonzero(some))
+    held, keep = order[: len(order) // 5], order[len(order) // 5 :]
     if len(set(y[keep].tolist())) < 2:
-        return Model(np.zeros(1 << BITS, np.float32), -50.0)
-    frequency = np.bincount(np.concatenate([ids for ids, _ in bags]), minlength=1 << BITS)
+        held, keep = order[:0], order
+    row = np.repeat(np.arange(len(y)), np.diff(first))
+    pair = np.unique(row * len(bounds) + number)  # a word once a document
+    own_row, own_word = pair // len(bounds), pair % len(bounds)
+    at, own = _spread(bounds[own_word], bounds[own_word + 1])
+    frequency = np.bincount(np.unique(own_row[own] * (1 << BITS) + flat[at]) & ((1 << BITS) - 1), minlength=1 << BITS)
     learned = frequency >= min(min_docs, max(1, len(keep) // 20))
-    bags = [(ids[k], share[k]) for ids, share in bags for k in [learned[ids]]]
-    rng = np.random.default_rng(seed)
+    share = 1.0 / np.maximum(np.diff(bounds), 1)
     e = np.where(learned[:, None], rng.normal(0, 0.05, (1 << BITS, DIM)), 0).astype(np.float32)
     w = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     b = np.zeros(2, np.float32)
     weight = np.where(y == 1, len(keep) / 2 / max(1, (y[keep] == 1).sum()), len(keep) / 2 / max(1, (y[keep] == 0).sum())).astype(np.float32)
     squares_e, squares_w, squares_b = np.full(1 << BITS, 1e-6, np.float32), np.full(w.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)
-    for epoch in range(epochs):
-        rate = lr * (1 - epoch / epochs)
+    bag_first = np.searchsorted(own_row, np.arange(len(y) + 1))
+
+    def values() -> np.ndarray:
+        folded = e @ (w[:, 1] - w[:, 0]) * SCALE
+        run = np.concatenate([[0], np.cumsum(folded[flat], dtype=np.float64)])
+        return ((run[bounds[1:]] - run[bounds[:-1]]) * share)[number]
+
+    for epoch in range(warm + epochs):
+        rate = lr * (1 - epoch / (warm + epochs))
+        if epoch >= warm:
+            _, where = _peaks(values(), first, window)
         rng.shuffle(keep)
-        for at in range(0, len(keep), batch):
-            rows = keep[at : at + batch]
-            ids = np.concatenate([bags[i][0] for i in rows])
+        for start in range(0, len(keep), batch):
+            rows = keep[start : start + batch]
+            if epoch < warm:
+                place, doc = _spread(bag_first[rows], bag_first[rows + 1])
+                word = own_word[place]
+            else:
+                place, doc = _spread(where[rows], np.minimum(where[rows] + window, first[rows + 1]))
+                word = number[place]
+            count = np.bincount(doc, minlength=len(rows))
+            at, own = _spread(bounds[word], bounds[word + 1])
+            ids = flat[at]
+            ok = learned[ids]
+            ids, own = ids[ok], own[ok]
             if not len(ids):
                 continue
-            share = np.concatenate([bags[i][1] for i in rows]) * SCALE
-            own = np.repeat(np.arange(len(rows)), [len(bags[i][0]) for i in rows])
-            hidden = np.stack([np.bincount(own, e[ids, d] * share, len(rows)) for d in range(DIM)], 1).astype(np.float32)
+            amount = (share[word] / np.maximum(count, 1)[doc])[own] * SCALE
+            own = doc[own]
+            hidden = np.stack([np.bincount(own, e[ids, d] * amount, len(rows)) for d in range(DIM)], 1).astype(np.float32)
             z = hidden @ w + b
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             dz = (p - np.stack([1 - y[rows], y[rows]], 1)) * weight[rows, None] / len(rows)
             dh = dz @ w.T
             uniq, inverse = np.unique(ids, return_inverse=True)
-            grad = np.stack([np.bincount(inverse, dh[own, d] * share, len(uniq)) for d in range(DIM)], 1).astype(np.float32)
+            grad = np.stack([np.bincount(inverse, dh[own, d] * amount, len(uniq)) for d in range(DIM)], 1).astype(np.float32)
             grad += L2 * e[uniq]
             dw, db = hidden.T @ dz, dz.sum(0)
             squares_e[uniq] += (grad * grad).mean(1)
@@ -200,10 +227,16 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 10, lr: flo
             e[uniq] -= rate * grad / np.sqrt(squares_e[uniq])[:, None]
             w -= rate * dw / np.sqrt(squares_w)
             b -= rate * db / np.sqrt(squares_b)
-    return Model((e @ (w[:, 1] - w[:, 0]) * SCALE).astype(np.float32), float(b[1] - b[0]))
+    model = Model((e @ (w[:, 1] - w[:, 0]) * SCALE).astype(np.float32), float(b[1] - b[0]), window)
+    z = _peaks(values(), first, window)[0] + model.bias
+    clean = np.sort(z[held][y[held] == 0])
+    if len(clean):
+        limit = clean[max(0, int(np.ceil(len(clean) * (1 - max_false))) - 1)]
+        model.threshold = float(1 / (1 + np.exp(-np.clip(max(0.0, limit + 1e-3), 0, 30))))
+    return model
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 1500, label: str = "toxic", **options) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 1200, label: str = "toxic", **options) -> Model:
     """Trains on at most max_rows labelled documents of each class (the bound of the sample).
 
     The rows are those with the least hash of their id, so that the choice doesn't depend on order.
