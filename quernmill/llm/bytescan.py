@@ -142,3 +142,48 @@ def hash_words(text: str) -> np.ndarray:
     """Word hashes of one text that is already in lower case (for tests and small tables)."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     return Words(raw, np.array([0, len(raw)])).hash
+
+
+def lowered(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a text column in lower case; nulls are empty."""
+    import pyarrow.compute as pc
+
+    return buffers(pc.utf8_lower(column.fill_null("")))
+
+
+TERM_BITS = 40
+
+
+def bags(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of each row, cut to 40 bits: (hash, times, where each row starts among them).
+
+    One sort of (row, hash) packed into 64 bits; at most 2**24 rows, which a chunk never has.
+    """
+    rows = len(first) - 1
+    row = np.repeat(np.arange(rows, dtype=U64), np.diff(first))
+    key = np.sort((row << U64(TERM_BITS)) | (hashes >> U64(64 - TERM_BITS)))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    at = np.flatnonzero(new)
+    times = np.diff(np.append(at, len(key)))
+    key = key[at]
+    starts = np.searchsorted(key >> U64(TERM_BITS), np.arange(rows + 1, dtype=U64))
+    return key & U64((1 << TERM_BITS) - 1), times, starts
+
+
+def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word n-grams of each row, and where each row's start; a row of fewer words has one, of all of them."""
+    size = np.diff(words.first)
+    full = gram_starts(words.first, n)
+    grams = ngrams(words.hash, n)[full]
+    count = np.where(size > 0, np.maximum(size - n + 1, 1), 0)
+    first = np.concatenate([[0], np.cumsum(count)])
+    short = np.flatnonzero((size > 0) & (size < n))
+    out = np.zeros(first[-1], U64)
+    is_short = np.zeros(first[-1], bool)
+    is_short[first[short]] = True
+    out[~is_short] = grams
+    for r in short:
+        own = words.hash[words.first[r] : words.first[r + 1]]
+        out[first[r]] = mix(np.cumsum(own * _pow(BASE, len(own), "p"))[-1:] + U64(len(own)))[0]
+    return out, first

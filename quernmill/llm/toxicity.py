@@ -4,9 +4,9 @@ Every word, with a boundary mark at either end, is cut into character n-grams (i
 n-gram is hashed to a bucket that owns an embedding, and a word's vector is the mean of those of its
 n-grams.  Vectors are averaged over a window of words, and a linear softmax gives the window's
 probability of being toxic; a document has that of its highest window, over all windows of its whole
-text.  Embeddings and softmax are trained jointly by Adam in numpy, on a bounded sample of labelled
-documents.  Training first takes whole texts, then the highest window of each document, as scoring does.  A misspelling shares most of its n-grams with the word it distorts, so it is scored
-without having been seen.
+text.  Embeddings and softmax are trained jointly by Adagrad in numpy, on a bounded sample of labelled
+documents: first whole texts, then the highest window of each, as scoring does.  A misspelling
+shares most of its n-grams with the word it distorts, so it is scored without having been seen.
 
 For scoring, the product of each embedding with the softmax weights is folded into one number per
 bucket, so that a document takes one pass over its bytes.
@@ -127,21 +127,36 @@ def _peaks(value: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarra
 
 def _lexicon(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct words of some texts: n-gram buckets of each (flat, with bounds); and the texts as word numbers (flat, with bounds)."""
-    data, offs = padded(pa.array(texts, pa.string()))
-    words = B.Words(data, offs)
-    _, at, number = np.unique(words.hash, return_index=True, return_inverse=True)
-    starts, length = words.start[at] - 1, words.end[at] - words.start[at] + 2
-    had = np.stack([np.maximum(length - n + 1, 0) for n in LENGTHS], 1)
-    bounds = np.concatenate([[0], np.cumsum(had.sum(1))])
-    flat = np.empty(bounds[-1], np.int64)
-    to = bounds[:-1].copy()
-    for n, h in zip(LENGTHS, had.T, strict=True):
-        bucket, _ = grams(data, n, words.prefix, np.zeros(len(data) + 1, np.int32))
-        own = np.repeat(np.arange(len(at)), h)
-        inside = np.arange(len(own)) - np.repeat(np.cumsum(h) - h, h)
-        flat[to[own] + inside] = bucket[starts[own] + inside]
-        to += h
-    return flat, bounds, number, words.first
+    data_all, offs = padded(pa.array(texts, pa.string()))
+    seen, parts, sizes, hashes, firsts = [], [], [], [], [np.zeros(1, np.int64)]
+    for a, b in B.chunks(offs, 1 << 19):
+        data = data_all[offs[a] : offs[b]]
+        words = B.Words(data, offs[a : b + 1] - offs[a])
+        own_hash, at = np.unique(words.hash, return_index=True)
+        starts, length = words.start[at] - 1, words.end[at] - words.start[at] + 2
+        had = np.stack([np.maximum(length - n + 1, 0) for n in LENGTHS], 1)
+        bounds = np.concatenate([[0], np.cumsum(had.sum(1))])
+        flat = np.empty(bounds[-1], np.int32)
+        to = bounds[:-1].copy()
+        for n, h in zip(LENGTHS, had.T, strict=True):
+            bucket, _ = grams(data, n, words.prefix, np.zeros(len(data) + 1, np.int32))
+            own = np.repeat(np.arange(len(at)), h)
+            inside = np.arange(len(own)) - np.repeat(np.cumsum(h) - h, h)
+            flat[to[own] + inside] = bucket[starts[own] + inside]
+            to += h
+        seen.append(own_hash)
+        parts.append(flat)
+        sizes.append(np.diff(bounds))
+        hashes.append(words.hash)
+        firsts.append(words.first[1:] + firsts[-1][-1])
+    if not seen:
+        return np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+    uniq, at = np.unique(np.concatenate(seen), return_index=True)
+    size = np.concatenate(sizes)
+    place = np.concatenate([[0], np.cumsum(size)])
+    pick, _ = _spread(place[at], place[at] + size[at])
+    number = np.searchsorted(uniq, np.concatenate(hashes)).astype(np.int32)
+    return np.concatenate(parts)[pick], np.concatenate([[0], np.cumsum(size[at])]), number, np.concatenate(firsts)
 
 
 def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,8 +188,11 @@ def train(texts: list[str | None], labels: np.ndarray, warm: int = 2, epochs: in
     row = np.repeat(np.arange(len(y)), np.diff(first))
     pair = np.unique(row * len(bounds) + number)  # a word once a document
     own_row, own_word = pair // len(bounds), pair % len(bounds)
-    at, own = _spread(bounds[own_word], bounds[own_word + 1])
-    frequency = np.bincount(np.unique(own_row[own] * (1 << BITS) + flat[at]) & ((1 << BITS) - 1), minlength=1 << BITS)
+    bag_first = np.searchsorted(own_row, np.arange(len(y) + 1))
+    frequency = np.zeros(1 << BITS, np.int64)
+    for r in range(len(y)):
+        at, _ = _spread(bounds[own_word[bag_first[r] : bag_first[r + 1]]], bounds[own_word[bag_first[r] : bag_first[r + 1]] + 1])
+        frequency[np.unique(flat[at])] += 1
     learned = frequency >= min(min_docs, max(1, len(keep) // 20))
     share = 1.0 / np.maximum(np.diff(bounds), 1)
     e = np.where(learned[:, None], rng.normal(0, 0.05, (1 << BITS, DIM)), 0).astype(np.float32)
@@ -182,7 +200,6 @@ def train(texts: list[str | None], labels: np.ndarray, warm: int = 2, epochs: in
     b = np.zeros(2, np.float32)
     weight = np.where(y == 1, len(keep) / 2 / max(1, (y[keep] == 1).sum()), len(keep) / 2 / max(1, (y[keep] == 0).sum())).astype(np.float32)
     squares_e, squares_w, squares_b = np.full(1 << BITS, 1e-6, np.float32), np.full(w.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)
-    bag_first = np.searchsorted(own_row, np.arange(len(y) + 1))
 
     def values() -> np.ndarray:
         folded = e @ (w[:, 1] - w[:, 0]) * SCALE
@@ -236,7 +253,7 @@ def train(texts: list[str | None], labels: np.ndarray, warm: int = 2, epochs: in
     return model
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 1200, label: str = "toxic", **options) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 1000, label: str = "toxic", **options) -> Model:
     """Trains on at most max_rows labelled documents of each class (the bound of the sample).
 
     The rows are those with the least hash of their id, so that the choice doesn't depend on order.
