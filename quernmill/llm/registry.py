@@ -8,7 +8,12 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = {
+    "op1_fingerprints": "fingerprints",
+    "op3_near_duplicates": "neardup",
+    "op5_bpe": "bpe",
+    "op7_language_id": "langid",
     "op8_toxicity": "toxicity",
+    "op10_secret_scan": "secretscan",
 }
 
 
