@@ -25,7 +25,7 @@ from quernmill.session import table
 
 UNKNOWN = "und"
 PIECE = 4096
-LEVEL = 3
+LEVEL = 6
 MARGIN = 0.005
 LEAST = 6
 #: The sample: documents taken for each language, and bytes of a dictionary.
@@ -56,12 +56,17 @@ class Model:
         return {"languages": self.languages, "content": self.content, "_ready": None}
 
 
+def plain(raw: np.ndarray) -> bytes:
+    """Bytes with blanks for all that isn't a letter or beyond ASCII, so that only words are compared."""
+    return np.where(B.IS_WORD[raw] & ~((raw >= 48) & (raw < 58)), raw, np.uint8(32)).tobytes()
+
+
 def train(rows: list[tuple[str, str]], size: int = DICTIONARY_BYTES) -> Model:
     """Dictionaries from (language, text) rows; whole texts are taken, in order, until ``size`` bytes are there."""
     own: dict[str, bytes] = {}
     for lang, text in rows:
         if lang and text and len(own.get(lang, b"")) < size:
-            own[lang] = own.get(lang, b"") + text.lower().encode() + b"\n"
+            own[lang] = own.get(lang, b"") + plain(np.frombuffer(text.lower().encode(), np.uint8)) + b" "
     names = sorted(x for x in own if len(own[x]) >= 8)
     return Model(names, [own[x] for x in names])
 
@@ -78,7 +83,7 @@ def sizes(text: bytes, model: Model) -> np.ndarray:
 def classify_texts(column: pa.Array, model: Model) -> tuple[list[str], list[float | None]]:
     """Language and margin, in shares of the text's bytes, of each text."""
     raw, offs = B.lowered(column)
-    data = raw.tobytes()
+    data = plain(raw)
     names, margins = [], []
     for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
         if a == b or len(model.content) < 1:
