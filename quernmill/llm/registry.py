@@ -11,8 +11,10 @@ MODULES = {
     "op1_fingerprints": "fingerprints",
     "op3_near_duplicates": "neardup",
     "op5_bpe": "bpe",
+    "op6_pii": "pii",
     "op7_language_id": "langid",
     "op8_toxicity": "toxicity",
+    "op9_quality": "quality",
     "op10_secret_scan": "secretscan",
 }
 
