@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = {
     "op1_fingerprints": "fingerprints",
+    "op2_decontamination": "decontaminate",
     "op3_near_duplicates": "neardup",
     "op5_bpe": "bpe",
     "op6_pii": "pii",
