@@ -11,6 +11,7 @@ MODULES = {
     "op1_fingerprints": "fingerprints",
     "op2_decontamination": "decontaminate",
     "op3_near_duplicates": "neardup",
+    "op4_substring_repeats": "substrings",
     "op5_bpe": "bpe",
     "op6_pii": "pii",
     "op7_language_id": "langid",
