@@ -82,7 +82,7 @@ def fingerprint(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """(doc_id, fingerprint) for every row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in B.small(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), fingerprint_texts(batch.column(1), samples)], ["doc_id", "fingerprint"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint array<int>")

@@ -275,7 +275,7 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in B.small(batches):
             texts = batch.column(1)
             row, kind, start, end = find_texts(texts, shared.value)
             a, b, value = [], [], []
@@ -312,7 +312,7 @@ def mask(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in B.small(batches):
             yield batch.set_column(at, "text", mask_texts(batch.column(at), shared.value))
 
     out = docs.mapInArrow(run, docs.schema)

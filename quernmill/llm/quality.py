@@ -167,7 +167,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in B.small(batches):
             p = score_texts(batch.column(1), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(p >= shared.value.threshold)], ["doc_id", "p_good", "good"])
 

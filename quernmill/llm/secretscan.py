@@ -70,6 +70,10 @@ def unseen(docs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] =
     return rest.where("size(todo) > 0").select("blob", "path", "todo")
 
 
+def _finding(rule: Rule):
+    return lambda x: F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.version).alias("version"), F.sha2(x.cast("binary"), 256).alias("secret"))
+
+
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(new ledger rows, new findings): (blob, rule, version), and (blob, rule, version, secret, occurrences)."""
     todo = cut(unseen(docs, ledger, rules, path))
@@ -82,7 +86,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
         for anchor in r.anchors:
             near = near | F.contains("text", F.lit(anchor))
         found = F.when(F.array_contains("todo", r.key) & near, F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0)))
-        hits.append(F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda x, r=r: F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), F.sha2(x.cast("binary"), 256).alias("secret"))))
+        hits.append(F.transform(F.coalesce(found, F.array().cast("array<string>")), _finding(r)))
     found = texts.select("blob", F.explode(F.concat(*hits)).alias("hit")).select("blob", "hit.*")
     # rows that repeat a version are found as often; their hits are counted once
     copies = texts.groupBy("blob").count().where("count > 1")

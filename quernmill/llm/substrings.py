@@ -69,7 +69,7 @@ def segments(words: B.Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np
 
 def _keys(batches):
     """(node, key), distinct by document."""
-    for batch in batches:
+    for batch in B.small(batches):
         data, offs = B.lowered(batch.column(1))
         for a, b in B.chunks(offs):
             row, key, _, _ = segments(B.Words(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]))
@@ -82,7 +82,7 @@ def _keys(batches):
 
 def _segments(batches):
     """(key, seg, node, doc_id, start, tokens) of the segments whose key is among the row's ``keys``."""
-    for batch in batches:
+    for batch in B.small(batches):
         data, offs = B.lowered(batch.column(2))
         wanted = batch.column(3)
         for a, b in B.chunks(offs):

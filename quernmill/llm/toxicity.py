@@ -272,7 +272,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in B.small(batches):
             p = score_texts(batch.column(1), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(p >= shared.value.threshold)], ["doc_id", "p_toxic", "toxic"])
 
@@ -285,7 +285,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in B.small(batches):
             yield batch.filter(pa.array(score_texts(batch.column(at), shared.value) < shared.value.threshold))
 
     return docs.mapInArrow(run, docs.schema)
