@@ -116,8 +116,8 @@ def shared_windows(index: FMIndex, flat: np.ndarray, left: np.ndarray, right: np
 
     A query is searched from its end.  What it fails at is passed over: no window that holds both the
     symbol failed at and the end of the match can be shared, so the next search ends where the window
-    that starts behind the failure ends.  A window found is taken to the right as far as windows are
-    shared, each by a search of its own.
+    that starts behind the failure ends.  A window found is taken to the right as far as it is shared
+    as one, by bisection.
     """
     whole = reach_left(index, flat, left, right)
     out = [(np.flatnonzero(right - whole >= window), whole, right)]
@@ -132,9 +132,20 @@ def shared_windows(index: FMIndex, flat: np.ndarray, left: np.ndarray, right: np
         s = start[live]
         got = reach_left(index, flat, s, s + window)
         hit = got == s
+        start[live] = got
         if hit.any():
-            out.append((live[hit], s[hit], s[hit] + window))
-        start[live] = np.where(hit, s + 1, got)
+            own = live[hit]
+            begin = s[hit]
+            known, limit = begin + window, right[own]
+            open_ = np.flatnonzero(known < limit)
+            while len(open_):  # the farthest end, by bisection: what is shared is so up to any nearer end
+                middle = (known[open_] + limit[open_] + 1) // 2
+                ok = reach_left(index, flat, begin[open_], middle) == begin[open_]
+                known[open_[ok]] = middle[ok]
+                limit[open_[~ok]] = middle[~ok] - 1
+                open_ = open_[known[open_] < limit[open_]]
+            out.append((own, begin, known))
+            start[own] = known - window + 1
         live = live[start[live] <= stop[live]]
     query, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
     return query, a, b

@@ -36,8 +36,6 @@ WINDOW = 50
 GRAM = 10
 #: Symbols that a shard's index holds; one key's segments are never split.
 INDEX_WORDS = 400_000
-#: Suffixes are told apart to this depth, that of the longest segment at least.
-DEPTH = 2 * WINDOW - GRAM + 2
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -125,7 +123,7 @@ def shared_ranges(tokens: list[np.ndarray], owner: np.ndarray, many: np.ndarray,
         _, flat = np.unique(np.concatenate(tokens), return_inverse=True)
         _, own = np.unique(owner, return_inverse=True)
         own = np.where(many, own.max() + 1 + np.arange(len(own)), own)
-        index = M.FMIndex(flat, bounds, own, DEPTH)
+        index = M.FMIndex(flat, bounds, own, int(size.max()) + 1)
         q, a, b = M.shared_windows(index, flat, bounds[single], bounds[single + 1], window)
         q = single[q]
         out.append((q, a - bounds[q], b - bounds[q]))
