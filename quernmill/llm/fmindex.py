@@ -119,9 +119,15 @@ def shared_windows(index: FMIndex, flat: np.ndarray, left: np.ndarray, right: np
     that starts behind the failure ends.  A window found is taken to the right as far as it is shared
     as one, by bisection.
     """
+    # a long query is cut to pieces of 2 * window symbols, which share its windows out among them
+    pieces = np.maximum(1, -(-(right - left - window + 1) // (window + 1)))
+    origin = np.repeat(np.arange(len(left)), pieces)
+    nth = np.arange(len(origin)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    left = left[origin] + nth * (window + 1)
+    right = np.minimum(left + 2 * window, right[origin])
     whole = reach_left(index, flat, left, right)
-    out = [(np.flatnonzero(right - whole >= window), whole, right)]
-    out = [(q, a[q], b[q]) for q, a, b in out]
+    found = np.flatnonzero(right - whole >= window)
+    out = [(found, whole[found], right[found])]
     # windows not settled: those that start at or before the symbol the whole search failed at
     live = np.flatnonzero(whole > left)
     start = left.copy()
@@ -148,4 +154,4 @@ def shared_windows(index: FMIndex, flat: np.ndarray, left: np.ndarray, right: np
             start[own] = known - window + 1
         live = live[start[live] <= stop[live]]
     query, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-    return query, a, b
+    return origin[query], a, b
