@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list[str] = ["conversion", "vocabulary"]
+MODULES: list[str] = ["conversion", "vocabulary", "graph"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
