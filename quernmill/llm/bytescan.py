@@ -99,7 +99,7 @@ class Words:
         mask = np.zeros(n + 2, bool)
         mask[1:-1] = inside[data]
         change = mask[1:] != mask[:-1]
-        inner = offsets[1:-1]
+        inner = np.unique(offsets[1:-1])
         inner = inner[(inner > 0) & (inner < n)]
         cut = inner[mask[inner] & mask[inner + 1]]  # a word ends where its row ends
         edges = np.flatnonzero(change)
