@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernmill.llm import bytescan as B
@@ -179,14 +179,13 @@ def groups(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, one of each group, with all their columns."""
-    dropped = groups(docs).where("node <> root").select(F.col("node").alias("_gone"))
-    rows = docs.withColumn("_node", _node())
-    rows = rows.join(dropped, rows["_node"] == dropped["_gone"], "left_anti")
-    # rows that are repeated, id and text, hash to the same partition already
-    from pyspark.sql import Window
-
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_node").orderBy("_node")))
-    return rows.where("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    dropped = groups(docs).where("node <> root").select(F.col("node").alias("gone"))
+    # a row travels as one struct, so that its columns can have any names
+    rows = docs.select(_node().alias("node"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(dropped, F.col("node") == F.col("gone"), "left_anti")
+    # rows that repeat id and text have one node, by which they are partitioned already
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("node"))
+    return rows.withColumn("nth", nth).where("nth = 1").select("row.*")
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,14 +166,16 @@ def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size) + first[own], own
 
 
-def train(texts: list[str | None], labels: np.ndarray, warm: int = 2, epochs: int = 10, lr: float = 0.4, batch: int = 32, min_docs: int = 3, window: int = WINDOW, max_false: float = 0.01, seed: int = 7) -> Model:
+def train(texts: list[str | None], labels: np.ndarray, warm: int = 2, epochs: int = 10, lr: float = 0.4, batch: int = 32, min_docs: int = 3, window: int = WINDOW, false_cost: float = 5.0, drop: float = 1.0, seed: int = 7) -> Model:
     """Fits embeddings and softmax together; both classes weigh the same.
 
     The first epochs take the whole text of each document; those after them its highest window under
-    the weights so far, so that what raises clean documents is unlearned.  N-grams that fewer than
+    the weights so far, so that what raises clean documents is unlearned; of these, a share of ``drop``
+    is seen without half of its n-grams, so that a distorted word suffices.  N-grams that fewer than
     min_docs of the sample's documents have keep a zero vector: what they would learn is the label of
-    single documents.  A fifth of the sample is kept back; the threshold is the least of at least 0.5
-    that at most max_false of its clean documents reach.
+    single documents.  A fifth of the sample is kept back; the threshold, at least 0.5, is
+    that at which the share of its toxic documents found, less ``false_cost`` times that of its clean
+    ones, is greatest.
     """
     y = np.asarray(labels, np.int64)
     flat, bounds, number, first = _lexicon(texts)
@@ -223,6 +225,8 @@ def train(texts: list[str | None], labels: np.ndarray, warm: int = 2, epochs: in
             at, own = _spread(bounds[word], bounds[word + 1])
             ids = flat[at]
             ok = learned[ids]
+            if epoch >= warm:  # half of the windows lose a random half of their n-grams, as misspellings do
+                ok &= (rng.random(len(rows)) >= drop)[doc[own]] | (rng.random(len(ids)) < 0.5)
             ids, own = ids[ok], own[ok]
             if not len(ids):
                 continue
@@ -246,10 +250,11 @@ def train(texts: list[str | None], labels: np.ndarray, warm: int = 2, epochs: in
             b -= rate * db / np.sqrt(squares_b)
     model = Model((e @ (w[:, 1] - w[:, 0]) * SCALE).astype(np.float32), float(b[1] - b[0]), window)
     z = _peaks(values(), first, window)[0] + model.bias
-    clean = np.sort(z[held][y[held] == 0])
-    if len(clean):
-        limit = clean[max(0, int(np.ceil(len(clean) * (1 - max_false))) - 1)]
-        model.threshold = float(1 / (1 + np.exp(-np.clip(max(0.0, limit + 1e-3), 0, 30))))
+    clean, toxic = np.sort(z[held][y[held] == 0]), np.sort(z[held][y[held] == 1])
+    if len(clean) and len(toxic):
+        at = np.unique(np.concatenate([[0.0], clean[clean > 0] + 1e-3]))
+        gain = 1 - np.searchsorted(toxic, at) / len(toxic) - false_cost * (1 - np.searchsorted(clean, at) / len(clean))
+        model.threshold = float(1 / (1 + np.exp(-np.clip(at[gain.argmax()], 0, 30))))
     return model
 
 
