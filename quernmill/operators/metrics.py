@@ -25,9 +25,9 @@ def bleu(pairs: DataFrame, reference: str, hypothesis: str, *key: str, max_n: in
     sides = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), ngrams(column, n).alias("grams")) for n in range(1, max_n + 1) for side, column in ((0, "_r"), (1, "_h"))])
     each = rows.select(*key, F.explode(sides).alias("s")).select(*key, "s.n", "s.side", F.explode("s.grams").alias("gram"))
     counted = each.groupBy(*key, "n", "gram").agg(F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("h"))
-    precision = counted.groupBy(*key, "n").agg((F.sum(F.least("r", "h")) / F.sum("h")).alias("p"))
+    precision = counted.groupBy(*key, "n").agg(F.try_divide(F.sum(F.least("r", "h")), F.sum("h")).alias("p"))
     score = precision.groupBy(*key).agg(F.count_if(F.coalesce("p", F.lit(0.0)) > 0).alias("c"), F.exp(F.avg(F.when(F.col("p") > 0, F.ln("p")))).alias("g"))
-    penalty = F.least(F.lit(1.0), F.exp(1 - F.size("_r") / F.size("_h")))
+    penalty = F.least(F.lit(1.0), F.exp(1 - F.try_divide(F.size("_r"), F.size("_h"))))
     out = rows.join(score, list(key), "left").withColumn("bleu", F.when((F.size("_h") > 0) & (F.size("_r") > 0) & (F.col("c") == max_n), penalty * F.col("g")).otherwise(0.0))
     return out.drop("_r", "_h", "c", "g")
 
@@ -40,7 +40,7 @@ def entity_f1(reference: str, predicted: str) -> Column:
     empty = (F.size(r) == 0) & (F.size(p) == 0)
     one = (F.size(r) == 0) | (F.size(p) == 0)
     score = lambda x: F.when(empty, 1.0).when(one, 0.0).otherwise(x)
-    return F.struct(score(hits / F.size(p)).alias("precision"), score(hits / F.size(r)).alias("recall"), score(2.0 * hits / (F.size(r) + F.size(p))).alias("f1"))
+    return F.struct(score(F.try_divide(hits, F.size(p))).alias("precision"), score(F.try_divide(hits, F.size(r))).alias("recall"), score(F.try_divide(2.0 * hits, F.size(r) + F.size(p))).alias("f1"))
 
 
 def early_stop(scores: Column | str, patience: int, min_delta: float = 0.0, lower: bool = True) -> Column:

@@ -19,7 +19,7 @@ INSULTS = ["worst", "terrible", "hate", "fool", "idiot", "stupid"]
 GROUPS = ["they never", "they always", "those people", "every", "all"]
 SLURS = ["inferior", "dangerous", "criminal", "lazy", "stupid"]
 DECEPTIVE = r"(?:experts|scientists|doctors)\s+(?:are hiding|hate|don't want)|(?:hidden|secret)\s+(?:knowledge|cure|truth)|(?:proven|guaranteed|100%)\s+(?:fix|solution|cure)"
-PRIVATE = r"\b\d{3}[-.]?\d{2}[-.]?\d{4}\b|\b\d{16}\b|\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b|\b\d{3}[-.]?\d{3}[-.]?\d{4}\b"
+PRIVATE = r"\b\d{3}[.-]?\d{2,3}[.-]?\d{4}\b|\b\d{16}\b|\b[\w.%+-]+@[\d.a-zA-Z-]+\.[a-zA-Z]{2,}\b"
 
 
 @dataclass

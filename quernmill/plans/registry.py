@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list[str] = ["conversion", "vocabulary", "graph", "rules", "safety", "metrics", "heads", "streams"]
+MODULES: list[str] = ["conversion", "vocabulary", "graph", "rules", "safety", "metrics", "heads", "streams", "facade"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
