@@ -8,21 +8,43 @@ U64 = np.uint64
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Positions in the order of their suffixes, by prefix doubling; suffixes equal in ``depth`` symbols may stand in any order."""
-    _, rank = np.unique(text, return_inverse=True)
-    n, k = len(text), 1
-    order = np.argsort(rank, kind="stable")
+    """Positions in the order of their suffixes, by prefix doubling; suffixes equal in ``depth`` symbols may stand in any order.
+
+    Symbols are 0 and up.  As many as fit into 62 bits are compared at first; later rounds sort only
+    positions whose rank is still shared.
+    """
+    n = len(text)
+    bits = int(text.max() + 1).bit_length()
+    k = max(1, 62 // bits)
+    key = text.astype(np.int64) + 1
+    for j in range(1, k):
+        key <<= bits
+        key[: n - j] += text[j:] + 1
+    key = key[:n]
+    order = np.argsort(key)
+    new = np.ones(n, bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    rank = np.empty(n, np.int64)
+    # a rank is the place of the first of its group, so that groups can be split without renumbering others
+    rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
     while k < depth:
-        second = np.zeros(n, np.int64)
-        second[: n - k] = rank[k:] + 1
-        key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
-        new = np.ones(n, bool)
-        new[1:] = key[order[1:]] != key[order[:-1]]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) - 1
-        if rank[order[-1]] == n - 1:
+        shared = ~new
+        shared[:-1] |= ~new[1:]
+        place = np.flatnonzero(shared)
+        if not len(place):
             break
+        at = order[place]
+        second = np.zeros(len(at), np.int64)
+        inside = at + k < n
+        second[inside] = rank[at[inside] + k] + 1
+        key = rank[at] * (n + 2) + second
+        turn = np.argsort(key)
+        at, key = at[turn], key[turn]
+        order[place] = at
+        split = np.ones(len(at), bool)
+        split[1:] = key[1:] != key[:-1]
+        new[place] = split
+        rank[at] = place[np.flatnonzero(split)[np.cumsum(split) - 1]]
         k *= 2
     return order
 
@@ -51,15 +73,16 @@ class WaveletMatrix:
         low = self.words[level][word] & ((U64(1) << bit) - U64(1))
         return self.counts[level][word] + np.bitwise_count(low)
 
+    def walk(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where each position comes to lie on the way down its symbol's bits."""
+        for level in range(self.levels):
+            ones = self._ones(level, at)
+            at = np.where((symbol >> (self.levels - 1 - level)) & 1, ones + self.zeros[level], at - ones)
+        return at
+
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol occurs before each position."""
-        begin, end = np.zeros(len(at), np.int64), at
-        for level in range(self.levels):
-            one = ((symbol >> (self.levels - 1 - level)) & 1).astype(bool)
-            b, e = self._ones(level, begin), self._ones(level, end)
-            begin = np.where(one, self.zeros[level] + b, begin - b)
-            end = np.where(one, self.zeros[level] + e, end - e)
-        return end - begin
+        return self.walk(symbol, at) - self.walk(symbol, np.zeros(len(at), np.int64))
 
 
 class FMIndex:
@@ -82,15 +105,19 @@ class FMIndex:
         bwt = text[order - 1]
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
         self.bits = WaveletMatrix(bwt, max(1, int(sigma - 1).bit_length()))
+        every = np.arange(sigma)
+        # where a symbol's suffixes begin, less where its walk begins: a walk ends that much before its rank
+        self.shift = self.before[:-1] - self.bits.walk(every, np.zeros(sigma, np.int64))
         own = np.repeat(owner, size + 1)[order]
         self.changes = np.concatenate([[0], np.cumsum(own[1:] != own[:-1])])
         self.n = len(text)
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix intervals after one more symbol to the left."""
-        base = self.before[symbol + 1]
-        both = self.bits.rank(np.concatenate([symbol + 1, symbol + 1]), np.concatenate([low, high]))
-        return base + both[: len(low)], base + both[len(low) :]
+        symbol = symbol + 1
+        shift = self.shift[symbol]
+        both = self.bits.walk(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
+        return shift + both[: len(low)], shift + both[len(low) :]
 
     def shared(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Whether suffixes of at least two owners are in the interval."""
