@@ -159,8 +159,8 @@ def groups(docs: DataFrame) -> DataFrame:
     rows = docs.select(_node().alias("node"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(rows.mapInArrow(_sign, "node long, doc_id long, digest long, sig binary, bands array<long>"))
     # equal signatures: one of each goes on
-    same = signed.groupBy("digest").agg(F.min("node").alias("b"), F.collect_set("node").alias("all"))
-    exact = same.where("size(all) > 1").select(F.explode("all").alias("a"), "b").where("a <> b")
+    same = signed.groupBy("digest").agg(F.min("node").alias("b"), F.max("node").alias("most"))
+    exact = signed.select("digest", F.col("node").alias("a")).join(same.where("b <> most"), "digest").where("a <> b").select("a", "b")
     heads = signed.join(same.select(F.col("b").alias("node")), "node", "left_semi").select("node", "sig", "bands").dropDuplicates(["node"])
     keyed = heads.select("node", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.collect_set("node").alias("members")).where("size(members) > 1").select(F.array_sort("members").alias("members"))
