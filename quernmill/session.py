@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,3 +43,20 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quernmill-", dir=os.environ.get("TMPDIR")))
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, unless they find it by PYTHONPATH or, on this machine, in the working folder."""
+    context = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    there = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if context.master.startswith("local") and "cluster" not in context.master:
+        there.append(os.getcwd())
+    if root in there or context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="quernmill-"), "quernmill"), "zip", root, "quernmill")
+    context.addPyFile(archive)
