@@ -13,8 +13,7 @@ from quernmill.plans.base import Book
 from quernmill.plans.conversion import PAIRS_SQL, _markup, _markup_sql, pairs
 from quernmill.plans.graph import BOTH_SQL, SMALL_SQL, small_triples
 from quernmill.plans.safety import _ethical_category, docs
-from quernmill.plans.streams import _folder
-from quernmill.session import table
+from quernmill.session import shared_folder, table
 from quernmill.sources import readers as R
 
 book = Book()
@@ -23,7 +22,7 @@ QUERIES, SQL, query = book.queries, book.sql, book.query
 
 @query("s3_registry", "select p_name as text from part")
 def registry(spark, sf_dir):
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     table(spark, sf_dir, "part").select(F.col("p_name").alias("text")).write.json(folder)
     return R.load(spark, "samples", folder).select("text")
 
@@ -32,7 +31,7 @@ def registry(spark, sf_dir):
 def local_json(spark, sf_dir):
     from quernmill.plans.conversion import _documents
 
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     _documents(spark, sf_dir).write.json(folder)
     return C.document_relations(spark.read.schema(R.DOCUMENT).json(folder)).select("title", F.size("entities").alias("n"))
 
@@ -44,14 +43,14 @@ def triplet_set(spark, sf_dir):
 
 @query("s8_alpaca_rows", f"select instruction, response, nullif(context, '') as context from {PAIRS_SQL} where instruction <> '' and response <> ''")
 def alpaca_rows(spark, sf_dir):
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     pairs(spark, sf_dir).select("instruction", F.col("response").alias("output"), F.col("context").alias("input")).write.json(folder)
     return R.instruction_set(spark, folder)
 
 
 @query("s12_graph_data", "select count(*) as triples, 0::bigint as vectors from (select n_name from nation)")
 def graph_data(spark, sf_dir):
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     uri = lambda c: F.struct(F.col(c).alias("uri"))
     table(spark, sf_dir, "nation").select(uri("n_name").alias("start"), F.struct(F.lit("/r/IsA").alias("uri")).alias("rel"), uri("n_name").alias("end")).write.json(folder)
     _, triples = R.graph_data(spark, None, folder)
@@ -61,7 +60,7 @@ def graph_data(spark, sf_dir):
 @query("s15_prepared", f"select split, count(*) as n from (select case when conv_id % 5 = 0 then 'test' else 'train' end as split from {PAIRS_SQL} where instruction <> '' and response <> '') group by 1")
 def prepared(spark, sf_dir):
     """Read, converted, split and saved, and read again."""
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     rows = C.instructions(pairs(spark, sf_dir)).withColumn("split", F.when(F.col("conv_id") % 5 == 0, "test").otherwise("train"))
     R.save_splits(rows, folder)
     return spark.read.schema("text string, split string").json(folder).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
@@ -69,7 +68,7 @@ def prepared(spark, sf_dir):
 
 @query("s17_saved_config", "select 'high' as strictness, ['bad', 'worse'] as block, ['fine'] as allow")
 def saved_config(spark, sf_dir):
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     config = Z.SafetyConfig("high")
     config.add_terms(["bad", "worse"], ["fine"])
     config.save(spark, folder)
@@ -79,14 +78,14 @@ def saved_config(spark, sf_dir):
 
 @query("s18_audit_sink", f"select left(sha256(text), 16) as text_hash from documents where {_ethical_category} <> 'safe'")
 def audit_sink(spark, sf_dir):
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     S.write_audit(S.audit(S.regulate(docs(spark, sf_dir)), "sink"), folder)
     return spark.read.schema("text_hash string").json(folder)
 
 
 @query("s19_saved_state", "select count(*) as seen, count(*) filter (value > 0.5) as learned, 0::bigint as rejected, count(*) filter (value <= 0.5) as skipped from events")
 def saved_state(spark, sf_dir):
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     rows = table(spark, sf_dir, "events").select(Z.decision(F.col("value")).alias("decision"))
     Z.LearnerState().add(rows).save(spark, folder)
     s = Z.LearnerState.load(spark, folder)

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernmill.functions import text as T
 from quernmill.plans.base import Book
-from quernmill.session import table
+from quernmill.session import shared_folder, table
 from quernmill.sources import readers as S
 from quernmill.streaming import learner as N
 
@@ -19,11 +15,6 @@ book = Book()
 QUERIES, SQL, query = book.queries, book.sql, book.query
 
 
-def _folder(spark: SparkSession) -> str:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quernmill-", dir=os.environ.get("TMPDIR"))
-    return f"{shared}/{uuid.uuid4().hex}"
-
-
 def event_stream(spark, sf_dir) -> DataFrame:
     """The events table as a stream, in one pass over what is there."""
     name = f"{sf_dir}/[e]vents.parquet"
@@ -33,7 +24,7 @@ def event_stream(spark, sf_dir) -> DataFrame:
 
 def _drain(stream: DataFrame, spark: SparkSession) -> DataFrame:
     """What a stream gives until it is through, written to a table and read again."""
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
@@ -93,7 +84,7 @@ def rollup(spark, sf_dir):
 @query("s1_samples_json", "select p_name as text, [p_brand, p_type] as entities, [[p_type], ['a', 'b']] as concepts, [0, -1] as heads, ['0', p_brand] as head_names, 1 as should_respond from part")
 def samples_json(spark, sf_dir):
     """Samples written as JSON lines with mixed concepts and relations, and read again."""
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     line = F.concat(F.lit('{"text":"'), "p_name", F.lit('","entities":["'), "p_brand", F.lit('","'), "p_type", F.lit('"],"concepts":["'), "p_type", F.lit('",["a","b"]],"relations":[[0,1,"made_of"],["'), "p_brand", F.lit('","'), "p_type", F.lit('","is"]],"should_respond":1}'))
     table(spark, sf_dir, "part").select(line.alias("value")).write.text(folder)
     rows = S.samples(spark, folder)
@@ -107,7 +98,7 @@ def default_samples(spark, sf_dir):
 
 @query("s7_instruction_set", "select conv_id || ':' || turn as instruction, text as response, nullif(case when turn % 2 = 0 then role else '' end, '') as context from conversations where text <> ''")
 def instruction_set(spark, sf_dir):
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     rows = table(spark, sf_dir, "conversations")
     rows.select(F.concat("conv_id", F.lit(":"), "turn").alias("instruction"), F.col("text").alias("output"), F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise("").alias("input")).write.json(folder)
     return S.instruction_set(spark, folder)
@@ -115,7 +106,7 @@ def instruction_set(spark, sf_dir):
 
 @query("s9_vectors_text", "select 'e' || vec_id as entity, list_transform(embedding, lambda x: round(x::double, 4) + 0.0::double) as vec from embeddings")
 def vectors_text(spark, sf_dir):
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     rows = table(spark, sf_dir, "embeddings")
     lines = rows.select(F.concat_ws(" ", F.concat(F.lit("e"), "vec_id"), F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double"), 4).cast("string")), " ")).alias("value"))
     header = spark.range(1).select(F.lit("0 64").alias("value"))
@@ -125,7 +116,7 @@ def vectors_text(spark, sf_dir):
 
 @query("s11_graph_triples", "select '/c/en/' || lower(n_name) as src, '/r/PartOf' as rel, '/c/en/' || lower(r_name) as dst from nation join region on n_regionkey = r_regionkey")
 def graph_triples(spark, sf_dir):
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     uri = lambda c: F.struct(F.concat(F.lit("/c/en/"), F.lower(c)).alias("uri"))
     good = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.to_json(F.struct(uri("n_name").alias("start"), F.struct(F.lit("/r/PartOf").alias("uri")).alias("rel"), uri("r_name").alias("end"))).alias("value"))
@@ -135,7 +126,7 @@ def graph_triples(spark, sf_dir):
 
 @query("s13_saved_splits", f"select split, count(*) as n from (select case when ({T.order_key_sql('doc_id', seed='s')}) % 10 < 8 then 'train' else 'test' end as split from documents) group by 1")
 def saved_splits(spark, sf_dir):
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(T.order_key("doc_id", seed="s") % 10 < 8, "train").otherwise("test").alias("split"))
     S.save_splits(rows, folder)
     return spark.read.schema("doc_id bigint, text string, split string").json(folder).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
@@ -143,13 +134,13 @@ def saved_splits(spark, sf_dir):
 
 @query("s16_saved_memory", "select event_id, value as uncertainty from events")
 def saved_memory(spark, sf_dir):
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     S.save_memory(table(spark, sf_dir, "events").select("event_id", F.col("value").alias("uncertainty"), F.array(F.lit(1.0)).alias("embedding")), folder)
     return spark.read.parquet(folder)
 
 
 @query("s21_metric_log", "select event_type as tag, event_id as step, value from events")
 def metric_log(spark, sf_dir):
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     table(spark, sf_dir, "events").select(F.col("event_type").alias("tag"), F.col("event_id").alias("step"), "value").write.partitionBy("tag").parquet(folder)
     return spark.read.schema("step bigint, value double, tag string").parquet(folder).select("tag", "step", "value")
