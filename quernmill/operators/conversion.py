@@ -14,9 +14,9 @@ RELATION_NAMES = dict(
     sorted(
         x.split(":")
         for x in (
-            "P569:date_of_birth P570:date_of_death P571:inception P576:dissolved P577:publication_date P580:start_time P582:end_time P1198:unemployment_rate "
+            "P1198:unemployment_rate P582:end_time P580:start_time P577:publication_date P576:dissolved P571:inception P570:date_of_death P569:date_of_birth "
             "P17:country P27:country_of_citizenship P495:country_of_origin P205:basin_country P36:capital P1376:capital_of P30:continent P276:location P131:located_in_admin_territory P150:contains_admin_territory P706:located_on_terrain_feature P206:located_in_body_of_water P403:mouth_of_watercourse P840:narrative_location P159:headquarters_location P740:location_of_formation P937:work_location P551:residence P190:sister_city P1336:territory_claimed_by P1001:jurisdiction "
-            "P19:place_of_birth P20:place_of_death P22:father P25:mother P26:spouse P40:child P3373:sibling P69:educated_at P108:employer P39:position_held P102:member_of_political_party P140:religion P172:ethnic_group P166:award_received P800:notable_work P1412:languages_spoken P607:conflict P241:military_branch P54:member_of_sports_team P463:member_of P737:influenced_by "
+            "P3373:sibling P40:child P26:spouse P25:mother P22:father P20:place_of_death P19:place_of_birth P69:educated_at P108:employer P39:position_held P102:member_of_political_party P140:religion P172:ethnic_group P166:award_received P800:notable_work P1412:languages_spoken P607:conflict P241:military_branch P54:member_of_sports_team P463:member_of P737:influenced_by "
             "P6:head_of_government P35:head_of_state P194:legislative_body P37:official_language P488:chairperson P112:founded_by P127:owned_by P749:parent_organization P355:subsidiary P137:operator P1056:product P118:league "
             "P50:author P57:director P58:screenwriter P86:composer P161:cast_member P162:producer P170:creator P175:performer P176:manufacturer P178:developer P123:publisher P264:record_label P272:production_company P449:original_network P676:lyrics_by P674:characters P136:genre P364:original_language P400:platform P179:series "
             "P31:instance_of P279:subclass_of P361:part_of P527:has_part P171:parent_taxon P155:follows P156:followed_by P1365:replaces P1366:replaced_by P807:separated_from P710:participant P1344:participant_of"
