@@ -278,11 +278,13 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
         for batch in B.small(batches):
             texts = batch.column(1)
             row, kind, start, end = find_texts(texts, shared.value)
-            a, b, value = [], [], []
+            a, b, value, last = [], [], [], -1
             for r, s, e in zip(row.tolist(), start.tolist(), end.tolist(), strict=True):
-                raw = texts[r].as_py().encode()
-                a.append(len(raw[:s].decode(errors="replace")))
-                b.append(len(raw[:e].decode(errors="replace")))
+                if r != last:  # findings come row by row; characters are counted once a row
+                    raw, last = texts[r].as_py().encode(), r
+                    chars = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
+                a.append(int(chars[s]))
+                b.append(int(chars[e]))
                 value.append(raw[s:e].decode(errors="replace"))
             ids = batch.column(0).take(pa.array(row))
             yield pa.RecordBatch.from_arrays([ids, pa.array([KINDS[k] for k in kind], pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(value, pa.string())], ["doc_id", "kind", "start", "end", "value"])
