@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that are worked on at once; bounds the memory of a Python worker whatever the batch.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
