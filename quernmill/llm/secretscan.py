@@ -6,6 +6,9 @@ at those of the present versions and rules that the ledger lacks, each blob once
 and versions have it; a rule whose version is raised is scanned anew, the others are not.  Findings
 are kept by blob and are joined back to all paths that ever had it.
 
+Every rule has anchors, pieces of text one of which all its matches hold.  Texts without any are entered
+in the ledger as scanned, without being joined to it.
+
 A finding holds the SHA-256 of the secret instead of the secret.
 
 Defined results: a null text is no version; an empty one is a blob without findings; a secret that a
@@ -45,7 +48,7 @@ RULES = (
     Rule("stripe_key", 1, r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}\b", ("k_live_", "k_test_")),
     Rule("json_web_token", 1, r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", ("eyJ",)),
     Rule("private_key", 1, r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", ("PRIVATE KEY",)),
-    Rule("assigned_secret", 1, r"(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Aa]pi_?[Kk]ey|API_?KEY)\s{0,3}[:=]\s{0,3}[\"'][A-Za-z0-9+/_-]{16,}[\"']", ("oken", "OKEN", "ecret", "ECRET", "assword", "ASSWORD", "ey", "EY")),
+    Rule("assigned_secret", 1, r"(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Aa]pi_?[Kk]ey|API_?KEY)\s{0,3}[:=]\s{0,3}[\"'][A-Za-z0-9+/_-]{16,}[\"']", ("oken", "OKEN", "ecret", "ECRET", "assword", "ASSWORD", "pi_key", "pi_Key", "pikey", "piKey", "API_KEY", "APIKEY")),
 )
 
 
@@ -77,7 +80,11 @@ def _finding(rule: Rule):
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(new ledger rows, new findings): (blob, rule, version), and (blob, rule, version, secret, occurrences)."""
     todo = cut(unseen(docs, ledger, rules, path))
-    texts = docs.where("text is not null").select(F.col(path).alias("_path"), blob().alias("_blob"), "text")
+    # a text without an anchor matches no rule: it needn't be brought to its blob's ledger row
+    anchored = F.lit(False)
+    for anchor in sorted({a for r in rules for a in r.anchors}):
+        anchored = anchored | F.contains("text", F.lit(anchor))
+    texts = docs.where("text is not null").where(anchored).select(F.col(path).alias("_path"), blob().alias("_blob"), "text")
     # each blob's text comes from the one path that stands for it; the blob tells its versions apart
     texts = texts.join(todo, F.col("_path").eqNullSafe(F.col("path")) & (F.col("_blob") == F.col("blob")))
     hits = []
