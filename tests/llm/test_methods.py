@@ -139,6 +139,18 @@ def test_decontamination_finds_what_aligning_everything_finds(spark):
     assert sliced <= want and len(sliced) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("copies", [0, 1, 5])
+def test_edited_copies_are_found_beside_exact_ones(spark, copies):
+    rng = random.Random(71)
+    item = invented(rng, 40, 10**6)
+    broken = " ".join(f"z{k}" if k % 5 == 2 else w for k, w in enumerate(item.split()))
+    docs = [(d, f"{invented(rng, 30, 10**6)} {item if d else broken} {invented(rng, 30, 10**6)}") for d in range(copies + 1)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in decontaminate.matches(d, b).collect()}
+    assert got == pytest.approx({0: smith_waterman(words(docs[0][1]), words(item))} | {k: 1.0 for k in range(1, copies + 1)})
+    assert got[0] >= decontaminate.THRESHOLD
+
+
 def test_index_against_all_windows():
     rng = np.random.default_rng(8)
     for _ in range(25):
