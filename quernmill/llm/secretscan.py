@@ -4,7 +4,8 @@ Every version of every path is addressed by its content: its blob is the SHA-256
 ledger holds the (blob, rule, version of the rule) triples that have been scanned.  A scan looks only
 at those of the present versions and rules that the ledger lacks, each blob once however many paths
 and versions have it; a rule whose version is raised is scanned anew, the others are not.  Findings
-are kept by blob and are joined back to all paths that ever had it.
+are kept by blob and are joined back to all paths that ever had it.  ``update`` keeps the ledger and the
+findings in a folder; the query fills one in the shared folder and scans its table against it again.
 
 Every rule has anchors, pieces of text one of which all its matches hold.  Texts without any are entered
 in the ledger as scanned, without being joined to it.
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernmill.session import cut, table
+from quernmill.session import cut, shared_folder, table
 
 
 @dataclass(frozen=True)
@@ -109,11 +110,34 @@ def on_paths(found: DataFrame, docs: DataFrame, path: str = "doc_id") -> DataFra
     return versions(docs, path).join(found, "blob").select(F.col("path").alias(path), "blob", "rule", "version", "secret", "occurrences")
 
 
+LEDGER = "blob string, rule string, version int"
+FINDINGS = "blob string, rule string, version int, secret string, occurrences long"
+
+
+def _kept(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows kept at a path; none before the first are written."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def update(docs: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES, path: str = "doc_id") -> DataFrame:
+    """Scans what the ledger in a folder lacks, adds it to the ledger and the findings there, and returns all findings of the rules' present versions.
+
+    Findings are written first: if the ledger's rows are lost, the same findings are found again and count once.
+    """
+    spark = docs.sparkSession
+    new, found = scan(docs, _kept(spark, f"{folder}/ledger", LEDGER), rules, path)
+    _kept(spark, f"{folder}/findings", FINDINGS)
+    found.write.mode("append").parquet(f"{folder}/findings")
+    new.write.mode("append").parquet(f"{folder}/ledger")
+    return _kept(spark, f"{folder}/findings", FINDINGS).where(F.concat_ws("@", "rule", "version").isin([r.key for r in rules])).distinct()
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All findings in the documents, by path: a first scan, whose ledger is still empty."""
-    docs = table(spark, sf_dir, "documents")
-    _, found = scan(docs)
-    return on_paths(found, docs)
+    """All findings in the documents, by path: a first scan fills the ledger, a second looks at what it lacks."""
+    docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark)
+    update(docs, folder)
+    return on_paths(update(docs, folder), docs)
 
 
 def _sql() -> str:

@@ -289,6 +289,30 @@ def test_only_unseen_pairs_are_scanned(spark):
     assert {(r["rule"], r["version"]) for r in again.collect()} == {("github_token", 2)} and again.count() == 3
 
 
+def test_query_keeps_the_ledger_and_scans_against_it(spark, tmp_path, monkeypatch):
+    token = "ghp_" + "a1B2" * 9
+    docs = [(1, f"x {token} y {token}"), (2, f"x {token} y {token}"), (3, "clean"), (4, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    scans, plain = [], secretscan.scan
+
+    def counted(*args):
+        new, found = plain(*args)
+        scans.append(new.count())
+        return new, found
+
+    monkeypatch.setattr(secretscan, "shared_folder", lambda spark: f"{tmp_path}/kept", raising=False)
+    monkeypatch.setattr(secretscan, "scan", counted)
+    got = sorted((r["doc_id"], r["rule"], r["occurrences"]) for r in secretscan.op10_secret_scan(spark, str(tmp_path)).collect())
+    assert got == [(1, "github_token", 2), (2, "github_token", 2)]
+    assert scans == [2 * len(secretscan.RULES), 0]
+    assert spark.read.parquet(f"{tmp_path}/kept/ledger").distinct().count() == 2 * len(secretscan.RULES)
+    more = spark.createDataFrame([*docs, (3, f"now {token}")], "doc_id long, text string")
+    raised = tuple(secretscan.Rule(r.name, 2 if r.name == "github_token" else r.version, r.pattern, r.anchors) for r in secretscan.RULES)
+    found = secretscan.update(more, f"{tmp_path}/kept", raised)
+    assert sorted((r["version"], r["occurrences"]) for r in found.collect()) == [(2, 1), (2, 2)]
+    assert scans[2:] == [len(secretscan.RULES) + 2]
+
+
 @pytest.mark.parametrize("slack", [0, 1])
 def test_pipeline_against_plain_python(spark, tmp_path, slack):
     import corpus_pipeline
