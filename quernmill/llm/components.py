@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,15 +46,15 @@ def local_stars(batches):
         yield pa.RecordBatch.from_arrays([pa.array(members[at : at + (1 << 16)]), pa.array(roots[at : at + (1 << 16)])], ["a", "b"])
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, root) for every node of the edges (a, b) but the roots themselves; root is the component's least node.
 
     Each partition first reduces its edges to stars.  A round is a large-star and a small-star step and is cut
-    from its lineage by a checkpoint; the rounds end when a step changes nothing, after at most the
-    logarithm of the number of nodes squared.
+    from its lineage by a checkpoint; the rounds end when all edges are those of stars, which a step doesn't
+    change.  If ``rounds`` is given and they run out before, that is an error.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(local_stars, "a long, b long").distinct())
-    for _ in range(rounds):
+    for done in count(1):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
         # large star: neighbours greater than the node go to the least of node and neighbours
@@ -66,4 +68,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         edges = new
         if single:
             break
+        if done == rounds:
+            raise RuntimeError(f"components haven't converged after {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

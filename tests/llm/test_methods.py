@@ -107,6 +107,15 @@ def test_components_against_union_find(spark):
     assert {r["node"]: r["root"] for r in components.components(frame).collect()} == want
 
 
+def test_components_never_return_unfinished_edges(spark):
+    path = list(range(300))
+    random.Random(6).shuffle(path)
+    frame = spark.createDataFrame(list(zip(path, path[1:], strict=False)), "a long, b long").repartition(16)
+    with pytest.raises(RuntimeError):
+        components.components(frame, rounds=1)
+    assert {tuple(r) for r in components.components(frame).collect()} == {(x, 0) for x in range(1, 300)}
+
+
 def smith_waterman(p, q):
     h = [[0] * (len(p) + 1) for _ in range(len(q) + 1)]
     for i in range(1, len(q) + 1):
