@@ -106,8 +106,12 @@ def test_quality(docs, none, labels):
     assert quality.score(none, quality.fit(docs, labels)).count() == 0
 
 
-def test_secrets(docs, none):
+def test_secrets(docs, none, tmp_path):
     scanned, found = secretscan.scan(docs)
     assert found.count() == 0 and scanned.select("blob").distinct().count() == 9
     scanned, found = secretscan.scan(none)
-    assert scanned.count() == 0 and secretscan.on_paths(found, none).count() == 0
+    assert scanned.count() == 0 and found.count() == 0
+    assert secretscan.update(none, f"{tmp_path}/none").count() == 0
+    own = (secretscan.Rule("long", 1, r"x{200000}"), secretscan.Rule("tie", 1, "tie", ("tie",)))
+    got = secretscan.update(docs, f"{tmp_path}/some", own).collect()
+    assert {(r["doc_id"], r["rule"], r["occurrences"]) for r in got} == {(9, "long", 1), (11, "tie", 1), (12, "tie", 1)} and len(got) == 3

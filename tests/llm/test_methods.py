@@ -283,14 +283,24 @@ def test_chunks_cover_every_byte():
     assert quality.score_texts(pa.array(["a" * 3000]), model)[0] < 0.4
 
 
+TOKEN = "ghp_" + "a1B2" * 9
+
+
+def plain_findings(history, rules):
+    """(path, rule, version, occurrences) of every version (path, text), by re."""
+    return {(p, r.name, r.version, n) for p, t in history if t is not None for r in rules for n in Counter(re.findall(r.pattern, t)).values()}
+
+
+def findings(frame):
+    return {(r["doc_id"], r["rule"], r["version"], r["occurrences"]) for r in frame.collect()}
+
+
 def test_only_unseen_pairs_are_scanned(spark):
-    token = "ghp_" + "a1B2" * 9
-    first = spark.createDataFrame([(1, f"x {token} y {token}"), (2, f"x {token} y {token}"), (3, "clean")], "doc_id long, text string")
+    first = spark.createDataFrame([(1, f"x {TOKEN} y {TOKEN}"), (2, f"x {TOKEN} y {TOKEN}"), (3, "clean")], "doc_id long, text string")
     ledger, found = secretscan.scan(first)
     assert ledger.count() == 2 * len(secretscan.RULES)
     assert [(r["rule"], r["occurrences"]) for r in found.collect()] == [("github_token", 2)]
-    assert sorted(r["doc_id"] for r in secretscan.on_paths(found, first).collect()) == [1, 2]
-    later = first.unionByName(spark.createDataFrame([(3, f"now {token}")], "doc_id long, text string"))
+    later = first.unionByName(spark.createDataFrame([(3, f"now {TOKEN}")], "doc_id long, text string"))
     new, more = secretscan.scan(later, ledger)
     assert new.select("blob").distinct().count() == 1 and more.count() == 1
     raised = tuple(secretscan.Rule(r.name, 2 if r.name == "github_token" else r.version, r.pattern, r.anchors) for r in secretscan.RULES)
@@ -298,28 +308,66 @@ def test_only_unseen_pairs_are_scanned(spark):
     assert {(r["rule"], r["version"]) for r in again.collect()} == {("github_token", 2)} and again.count() == 3
 
 
-def test_query_keeps_the_ledger_and_scans_against_it(spark, tmp_path, monkeypatch):
-    token = "ghp_" + "a1B2" * 9
-    docs = [(1, f"x {token} y {token}"), (2, f"x {token} y {token}"), (3, "clean"), (4, None)]
+def test_ledger_over_several_scans_against_plain_python(spark, tmp_path):
+    """A second version, a new path for a known blob, a path that is gone, a raised rule and one without anchors."""
+    folder, history = f"{tmp_path}/kept", []
+    own = secretscan.Rule("mine@x", 1, r"zz_[A-Z0-9]{16}")
+    scans = [
+        ([(1, f"x {TOKEN} y {TOKEN}"), (2, "clean"), (2, "clean"), (3, None), (None, f"null {TOKEN}"), (4, "zz_ABCDEF1234567890")], secretscan.RULES),
+        ([(2, f"now {TOKEN}"), (5, f"x {TOKEN} y {TOKEN}")], secretscan.RULES),
+        ([(2, "clean again")], (*secretscan.RULES, own)),
+        ([(6, "zz_ABCDEF1234567890 and zz_ABCDEF1234567890")], (*secretscan.RULES, own)),
+        ([], (*secretscan.RULES, own)),
+        ([(4, "zz_ABCDEF1234567890"), (1, "x")], (secretscan.Rule("github_token", 2, r"gh[op]_[A-Za-z0-9]{36}", ("gh",)), own)),
+    ]
+    seen = set()
+    for rows, rules in scans:
+        history += rows
+        got = findings(secretscan.update(spark.createDataFrame(rows, "doc_id long, text string"), folder, rules))
+        texts = {t for _, t in rows if t is not None}
+        seen |= {(t, r.name, r.version) for t in texts for r in rules}
+        # a rule has only been tried on blobs that a scan with it had before it
+        want = plain_findings(history, rules)
+        want = {w for w in want if any((t, w[1], w[2]) in seen and w in plain_findings([(w[0], t)], rules) for p, t in history if p == w[0])}
+        assert got == want
+        assert spark.read.parquet(f"{folder}/ledger").count() == len(seen)
+    assert spark.read.parquet(f"{folder}/versions").count() == len({(p, t) for p, t in history if t is not None})
+
+
+def test_lost_ledger_rows_are_scanned_again_and_count_once(spark, tmp_path):
+    docs = spark.createDataFrame([(1, f"x {TOKEN}"), (2, "clean")], "doc_id long, text string")
+    first = findings(secretscan.update(docs, f"{tmp_path}/kept"))
+    spark.createDataFrame([], secretscan.LEDGER).write.mode("overwrite").parquet(f"{tmp_path}/kept/ledger")
+    assert findings(secretscan.update(docs, f"{tmp_path}/kept")) == first == {(1, "github_token", 1, 1)}
+
+
+def test_anchors_are_proved_from_the_pattern():
+    for pattern, anchors in (("a(?:bc|d)e", ("b",)), ("(?i)abc", ("abc",)), ("(?:ab)*c", ("ab",)), ("[a-z]+", ("a",)), ("ab?c", ("ab",))):
+        with pytest.raises(ValueError):
+            secretscan.Rule("r", 1, pattern, anchors)
+    for pattern, anchors in (("a(?:bc|d)e", ("a",)), ("(?:ab)+c", ("ab",)), ("ab?c", ("ab", "ac")), (r"\bx[yz]-\w*", ("xy-", "xz"))):
+        assert secretscan.Rule("r", 1, pattern, anchors).anchors == anchors
+
+
+def test_rules_of_one_name_and_version_are_an_error(spark):
+    with pytest.raises(ValueError):
+        secretscan.scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"), rules=(secretscan.RULES[0], secretscan.RULES[0]))
+
+
+def test_query_scans_against_its_ledger(spark, tmp_path, monkeypatch):
+    docs = [(1, f"x {TOKEN} y {TOKEN}"), (2, f"x {TOKEN} y {TOKEN}"), (3, "clean"), (4, None), (5, "token = 'abcdefghij0123456789'")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    scans, plain = [], secretscan.scan
+    scans, plain = [], secretscan.scan_rows
 
     def counted(*args):
         new, found = plain(*args)
         scans.append(new.count())
         return new, found
 
-    monkeypatch.setattr(secretscan, "shared_folder", lambda spark: f"{tmp_path}/kept", raising=False)
-    monkeypatch.setattr(secretscan, "scan", counted)
-    got = sorted((r["doc_id"], r["rule"], r["occurrences"]) for r in secretscan.op10_secret_scan(spark, str(tmp_path)).collect())
-    assert got == [(1, "github_token", 2), (2, "github_token", 2)]
-    assert scans == [2 * len(secretscan.RULES), 0]
-    assert spark.read.parquet(f"{tmp_path}/kept/ledger").distinct().count() == 2 * len(secretscan.RULES)
-    more = spark.createDataFrame([*docs, (3, f"now {token}")], "doc_id long, text string")
-    raised = tuple(secretscan.Rule(r.name, 2 if r.name == "github_token" else r.version, r.pattern, r.anchors) for r in secretscan.RULES)
-    found = secretscan.update(more, f"{tmp_path}/kept", raised)
-    assert sorted((r["version"], r["occurrences"]) for r in found.collect()) == [(2, 1), (2, 2)]
-    assert scans[2:] == [len(secretscan.RULES) + 2]
+    monkeypatch.setattr(secretscan, "shared_folder", lambda spark: f"{tmp_path}/kept")
+    monkeypatch.setattr(secretscan, "scan_rows", counted)
+    assert findings(secretscan.op10_secret_scan(spark, str(tmp_path))) == plain_findings(docs, secretscan.RULES) != set()
+    assert scans == [3 * (len(secretscan.RULES) - 1), 3]
 
 
 @pytest.mark.parametrize("slack", [0, 1])
