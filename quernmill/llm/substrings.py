@@ -7,13 +7,18 @@ Text is brought to shards by its content.  A window of ``WINDOW`` words has as k
 its ``GRAM``-word grams, so that equal windows have equal keys wherever they stand; neighbouring
 windows of one key are one segment.  Keys that only one document has are dropped after a count over
 all documents: none of their windows can occur elsewhere.  Of the other keys each distinct segment
-is sent to its key's shard once, however many documents hold it.  A shard is an FM-index of its
+is sent to its key's shard once, by one document that holds it.  A shard is an FM-index of its
 segments, a suffix array's Burrows-Wheeler transform in a wavelet matrix; each segment is then
 streamed through it by backward search, which gives how far to the left a match with another
 document reaches, and ranges of at least ``WINDOW`` words are kept (``fmindex.shared_windows``).  A
 segment that several documents hold as it is needs no search.  Last, the ranges found are joined back
 to all documents that hold the segment, and merged.
 
+A passage that very many documents have, each in a context of its own, gives its key as many distinct
+segments.  A key whose segments come to more than ``HEAVY_WORDS`` is split: its windows become keys
+themselves, which is exact as well, since a window's key then tells all of its words.  No index
+therefore holds more than ``INDEX_WORDS`` and one key's ``HEAVY_WORDS``.
+
 Words are told apart by 32 bits of their hash, in runs of 50 at least.
 
 Defined results: null and empty texts and those of fewer than ``WINDOW`` words have no range; rows
@@ -34,8 +39,10 @@ from quernmill.session import cut, table
 
 WINDOW = 50
 GRAM = 10
-#: Symbols that a shard's index holds; one key's segments are never split.
+#: Symbols after which a shard begins another index.
 INDEX_WORDS = 400_000
+#: Symbols of a key's distinct segments beyond which its windows are keys of their own.
+HEAVY_WORDS = 400_000
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -65,38 +72,54 @@ def segments(words: B.Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np
     return row[head], key[head], at[head], at[tail] + window
 
 
-def _keys(batches):
-    """(node, key), distinct by document."""
+def _hash_of(words: B.Words, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each range of words."""
+    n = len(words)
+    prefix = np.zeros(n + 1, B.U64)
+    np.cumsum(words.hash * B._pow(B.BASE, n, "p"), out=prefix[1:])
+    return B.mix((prefix[end] - prefix[start]) * B._pow(B.BASE_INV, n + 1, "q")[start] + (end - start).astype(B.U64))
+
+
+def _located(batches):
+    """(node, doc_id, key, seg, start, words) of every segment."""
     for batch in B.small(batches):
-        data, offs = B.lowered(batch.column(1))
+        data, offs = B.lowered(batch.column(2))
         for a, b in B.chunks(offs):
-            row, key, _, _ = segments(B.Words(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]))
-            order = np.lexsort((key, row))
-            row, key = row[order], key[order]
-            new = np.ones(len(row), bool)
-            new[1:] = (np.diff(row) > 0) | (key[1:] != key[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[new] + a)), pa.array(key[new].view(np.int64))], ["node", "key"])
+            words = B.Words(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+            row, key, start, end = segments(words)
+            seg = _hash_of(words, start, end)
+            for s in range(0, len(row), 1 << 16):
+                part = slice(s, s + (1 << 16))
+                at = pa.array(row[part] + a)
+                columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(key[part].view(np.int64)), pa.array(seg[part].view(np.int64)), pa.array(start[part] - words.first[row[part]]), pa.array(end[part] - start[part])]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "doc_id", "key", "seg", "start", "words"])
+
 
+def _tag(row: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """One hash of a row and a value."""
+    return B.mix(value ^ (row.astype(B.U64) * B.U64(0x9E3779B97F4A7C15)))
 
-def _segments(batches):
-    """(key, seg, node, doc_id, start, tokens) of the segments whose key is among the row's ``keys``."""
+
+def _tokens(batches):
+    """(key, seg, tokens, least, most) of the segments that each row (node, text, wanted) is asked for, once each."""
     for batch in B.small(batches):
-        data, offs = B.lowered(batch.column(2))
-        wanted = batch.column(3)
+        data, offs = B.lowered(batch.column(1))
         for a, b in B.chunks(offs):
             words = B.Words(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
             row, key, start, end = segments(words)
-            flat = wanted.slice(a, b - a)
-            lists = np.asarray(flat.flatten()).view(B.U64) if len(flat.flatten()) else np.zeros(0, B.U64)
-            owner = np.repeat(np.arange(b - a), np.asarray(flat.value_lengths().fill_null(0)))
-            # a pair (row, key) is looked up by one hash of both
-            tag = lambda r, k: B.mix(k ^ (r.astype(B.U64) * B.U64(0x9E3779B97F4A7C15)))
-            ok = np.isin(tag(row, key), tag(owner, lists))
-            row, key, start, end = row[ok], key[ok], start[ok], end[ok]
-            n = len(words)
-            prefix = np.zeros(n + 1, B.U64)
-            np.cumsum(words.hash * B._pow(B.BASE, n, "p"), out=prefix[1:])
-            seg = B.mix((prefix[end] - prefix[start]) * B._pow(B.BASE_INV, n + 1, "q")[start] + (end - start).astype(B.U64))
+            tag = _tag(row, _hash_of(words, start, end))
+            lists = batch.column(2).slice(a, b - a)
+            asked = lists.flatten()
+            seg = np.asarray(asked.field("seg"))
+            owner = np.repeat(np.arange(b - a), np.asarray(lists.value_lengths()))
+            order = np.argsort(tag, kind="stable")
+            want = _tag(owner, seg.view(B.U64))
+            place = np.searchsorted(tag[order], want)
+            ok = place < len(tag)
+            ok[ok] = tag[order[place[ok]]] == want[ok]
+            at = order[place[ok]]
+            most, seg, owner = np.asarray(asked.field("most"))[ok], seg[ok], owner[ok]
+            row, key, start, end = row[at], key[at], start[at], end[at]
             short = (words.hash >> B.U64(32)).astype(np.uint32)
             size = end - start
             for s in range(0, len(row), 4096):
@@ -105,11 +128,27 @@ def _segments(batches):
                 where = np.arange(count.sum()) + np.repeat(start[part] - (np.cumsum(count) - count), count)
                 bounds = np.concatenate([[0], np.cumsum(count * 4)]).astype(np.int32)
                 tokens = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(short[where].tobytes())])
-                at = pa.array(row[part] + a)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[part].view(np.int64)), pa.array(seg[part].view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(start[part] - words.first[row[part]]), tokens],
-                    ["key", "seg", "node", "doc_id", "start", "tokens"],
-                )
+                columns = [pa.array(key[part].view(np.int64)), pa.array(seg[part]), tokens, batch.column(0).take(pa.array(owner[part] + a)), pa.array(most[part])]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "seg", "tokens", "least", "most"])
+
+
+def _windows(batches):
+    """(node, doc_id, win, start) of every window in the ranges (start, words) that each row (node, doc_id, text, ranges) is asked for."""
+    for batch in B.small(batches):
+        data, offs = B.lowered(batch.column(2))
+        for a, b in B.chunks(offs):
+            words = B.Words(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+            lists = batch.column(3).slice(a, b - a)
+            asked = lists.flatten()
+            owner = np.repeat(np.arange(b - a), np.asarray(lists.value_lengths()))
+            start, count = np.asarray(asked.field("start")) + words.first[owner], np.asarray(asked.field("words")) - WINDOW + 1
+            row = np.repeat(owner, count)
+            at = np.arange(count.sum()) + np.repeat(start - (np.cumsum(count) - count), count)
+            for s in range(0, len(row), 1 << 16):
+                part = slice(s, s + (1 << 16))
+                win = _hash_of(words, at[part], at[part] + WINDOW)
+                to = pa.array(row[part] + a)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(to), batch.column(1).take(to), pa.array(win.view(np.int64)), pa.array(at[part] - words.first[row[part]])], ["node", "doc_id", "win", "start"])
 
 
 def shared_ranges(tokens: list[np.ndarray], owner: np.ndarray, many: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,18 +227,31 @@ def node() -> F.Column:
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), "text")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def _of_many(rows: DataFrame, key: str) -> DataFrame:
+    """The keys that rows of at least two documents have."""
+    return rows.groupBy(key).agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select(key)
+
+
+def repeats(docs: DataFrame, heavy_words: int = HEAVY_WORDS) -> DataFrame:
     """(doc_id, start_word, end_word) of each range that is repeated in another document."""
     rows = docs.where("text is not null").select(node().alias("node"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keys = cut(rows.select("node", "text").mapInArrow(_keys, "node long, key long"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
-    wanted = keys.join(shared, "key", "left_semi").groupBy("node").agg(F.collect_set("key").alias("keys"))
-    found = rows.join(wanted, "node").select("node", "doc_id", "text", "keys").mapInArrow(_segments, "key long, seg long, node long, doc_id long, start long, tokens binary")
-    distinct = found.groupBy("seg").agg(F.first("key").alias("key"), F.first("tokens").alias("tokens"), F.min("node").alias("least"), F.max("node").alias("most"))
-    shards = distinct.select("key", "seg", "tokens", "least", "most").repartition("key").sortWithinPartitions("key")
+    located = cut(rows.mapInArrow(_located, "node long, doc_id long, key long, seg long, start long, words long"))
+    some = cut(located.join(_of_many(located, "key"), "key", "left_semi"))
+    segs = some.groupBy("key", "seg").agg(F.min("node").alias("node"), F.max("node").alias("most"), F.first("words").alias("words"))
+    heavy = cut(segs.groupBy("key").agg(F.sum("words").alias("total")).where(F.col("total") > heavy_words).select("key"))
+    # the text of a segment comes from one document that holds it
+    wanted = segs.join(heavy, "key", "left_anti").groupBy("node").agg(F.collect_list(F.struct("seg", "most")).alias("wanted"))
+    texts = rows.select("node", "text").join(wanted, "node").dropDuplicates(["node"]).select("node", "text", "wanted")
+    shards = texts.mapInArrow(_tokens, "key long, seg long, tokens binary, least long, most long").select("key", "seg", "tokens", "least", "most").repartition("key").sortWithinPartitions("key")
     ranges = shards.mapInArrow(_search, "seg long, start long, end long")
-    held = found.select("seg", "node", "doc_id", F.col("start").alias("at"))
+    held = some.select("seg", "node", "doc_id", F.col("start").alias("at"))
     spans = held.join(ranges, "seg").select("node", "doc_id", F.struct((F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end")).alias("span"))
+    if not heavy.isEmpty():
+        asked = some.join(heavy, "key", "left_semi").select("node", "start", "words").distinct().groupBy("node").agg(F.collect_list(F.struct("start", "words")).alias("ranges"))
+        texts = rows.join(asked, "node").dropDuplicates(["node"]).select("node", "doc_id", "text", "ranges")
+        windows = cut(texts.mapInArrow(_windows, "node long, doc_id long, win long, start long"))
+        alike = windows.join(_of_many(windows, "win"), "win", "left_semi")
+        spans = spans.unionByName(alike.select("node", "doc_id", F.struct("start", (F.col("start") + WINDOW).alias("end")).alias("span")))
     return spans.groupBy("node").agg(F.first("doc_id").alias("doc_id"), F.collect_set("span").alias("spans")).select("doc_id", "spans").mapInArrow(_merged, "doc_id long, start_word long, end_word long")
 
 

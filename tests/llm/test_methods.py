@@ -206,13 +206,26 @@ def all_repeats(docs, window):
     return out
 
 
-def test_repeats_against_all_windows(spark):
+def repeated(spark, docs, **options):
+    return sorted(tuple(r) for r in substrings.repeats(spark.createDataFrame(docs, "doc_id long, text string"), **options).collect())
+
+
+@pytest.mark.parametrize("heavy", [substrings.HEAVY_WORDS, 300, 0])
+def test_repeats_against_all_windows(spark, heavy):
     rng = random.Random(9)
     shared = [invented(rng, n) for n in (49, 50, 51, 120, 400)]
     docs = [(i, " ".join([invented(rng, rng.randrange(0, 80)), rng.choice(shared), invented(rng, rng.randrange(0, 80))])) for i in range(40)]
     docs += [(100, "la " * 300), (101, "la " * 120 + invented(rng, 60)), (102, edited(rng, shared[4], 0.02))]
-    got = {tuple(r) for r in substrings.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == all_repeats(docs, substrings.WINDOW)
+    docs += docs[:3]  # repeated rows are one document
+    assert repeated(spark, docs, heavy_words=heavy) == sorted(all_repeats(docs, substrings.WINDOW))
+
+
+def test_a_passage_that_most_documents_have_is_split(spark):
+    """One passage in 300 documents, each time in another context: its keys are heavy, all others aren't."""
+    rng = random.Random(91)
+    passage = invented(rng, 70)
+    docs = [(i, f"{invented(rng, 45, 10**6)} {passage} {invented(rng, 45, 10**6)}") for i in range(300)] + [(400 + i, invented(rng, 100, 10**6)) for i in range(50)]
+    assert repeated(spark, docs, heavy_words=5000) == repeated(spark, docs) == [(i, 45, 115) for i in range(300)]
 
 
 def test_bpe_is_that_of_the_whole_text():
