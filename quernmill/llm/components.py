@@ -34,12 +34,19 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def local_stars(batches):
-    """Edges (a, b) of a partition in; edges (member, least member) of its components out."""
+def local_stars(batches, most: int = 1_000_000):
+    """Edges (a, b) of a partition in; edges (member, least member) of its components out, of up to about ``most`` nodes at a time."""
     forest = Forest()
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             forest.join(a, b)
+        if len(forest.up) > most:
+            yield from _stars(forest)
+            forest = Forest()
+    yield from _stars(forest)
+
+
+def _stars(forest: Forest):
     members = np.fromiter(forest.up, np.int64, len(forest.up))
     roots = np.fromiter((forest.find(x) for x in forest.up), np.int64, len(forest.up))
     for at in range(0, len(members), 1 << 16):

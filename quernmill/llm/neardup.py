@@ -14,6 +14,12 @@ member by member with each other, so that the links of a bucket connect just wha
 pairs would connect, though a bucket of similar documents costs linear time.  Connected documents
 are one group; that with the least id stays.
 
+A bucket of at most ``BUCKET`` different signatures is one row.  A larger one never is: by joins, its
+members are compared with its least one, and those not similar to that are a bucket again, until few
+are left.  A member that isn't similar to the least one can still be similar to one that is; as
+registers that differ are a metric, only those near enough to the border on either side can be, and
+these are compared in blocks of ``SIDE``.  So are, after ``STARS`` rounds, all that are left of a bucket.
+
 Texts of fewer than three words are one shingle, of all their words.
 
 Defined results: a null or empty text, or one without a word, is in a group of its own; repeated rows
@@ -37,6 +43,12 @@ BANDS = 24
 ROWS = 3
 SHINGLE = 3
 THRESHOLD = 0.45
+#: Signatures of a bucket that is verified as one row.
+BUCKET = 4096
+#: Signatures on either side of a block of a larger bucket.
+SIDE = 2048
+#: Rounds of comparing a larger bucket with its least signature.
+STARS = 6
 
 
 def signatures(terms: np.ndarray, weights: np.ndarray, starts: np.ndarray, m: int = REGISTERS) -> np.ndarray:
@@ -150,11 +162,113 @@ def _verify(batches):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
+def _agreeing(batches):
+    """(key, node, sig, lead, agree) of rows (key, node, sig, lead, lead_sig): the number of registers alike."""
+    for batch in batches:
+        n = batch.num_rows
+        one, other = (B.buffers(batch.column(k))[0].reshape(n, REGISTERS) for k in (2, 4))
+        agree = np.zeros(n, np.int64)
+        for a in range(0, n, 1 << 15):
+            agree[a : a + (1 << 15)] = (one[a : a + (1 << 15)] == other[a : a + (1 << 15)]).sum(1)
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(agree)], ["key", "node", "sig", "lead", "agree"])
+
+
+def block_edges(ids: np.ndarray, sigs: np.ndarray, others: np.ndarray, other_sigs: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Edges that connect what the similar pairs between two sides connect; at most one for each member."""
+    forest, edges = Forest(), []
+    for x, sig in zip(ids.tolist(), sigs, strict=True):
+        for y in others[(other_sigs == sig).sum(1) >= least].tolist():
+            if x != y and forest.find(x) != forest.find(y):
+                forest.join(x, y)
+                edges.append((x, y))
+    return edges
+
+
+def _blocked(batches):
+    least = int(np.ceil(THRESHOLD * REGISTERS))
+    for batch in batches:
+        for k in range(batch.num_rows):
+            sides = []
+            for column in (0, 1):
+                members = batch.column(column)[k].values
+                raw, _ = B.buffers(members.field("sig"))
+                sides += [members.field("node").to_numpy(zero_copy_only=False), raw.reshape(len(members), REGISTERS)]
+            found = np.array(block_edges(*sides, least), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+
+def _blocks(left: DataFrame, right: DataFrame | None, side: int) -> DataFrame:
+    """Edges of similar pairs between two sides (key, node, sig) of each key, or within one; both are cut into blocks of about ``side`` by hash."""
+    same = right is None
+    right = left if same else right
+    counts = lambda rows, name: rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / side).cast("int").alias(name))
+    sizes = counts(left, "m").join(counts(right, "n"), "key")
+    place = lambda count: F.pmod(F.xxhash64(F.col("node"), F.lit(5)), F.col(count)).cast("int")
+    member = F.struct("node", "sig")
+    one = left.join(sizes, "key").withColumn("i", place("m")).withColumn("j", F.explode(F.sequence(F.col("i") if same else F.lit(0), F.col("n") - 1)))
+    two = right.join(sizes, "key").withColumn("j", place("n")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j") if same else F.col("m") - 1)))
+    none = F.lit(None).cast(left.select(member.alias("x")).schema["x"].dataType)
+    both = one.select("key", "i", "j", member.alias("x"), none.alias("y")).unionByName(two.select("key", "i", "j", none.alias("x"), member.alias("y")))
+    listed = both.groupBy("key", "i", "j").agg(F.collect_list("x").alias("x"), F.collect_list("y").alias("y")).where("size(x) > 0 and size(y) > 0")
+    return listed.select("x", "y").mapInArrow(_blocked, "a long, b long")
+
+
+def star_edges(rows: DataFrame, bucket: int = BUCKET, side: int = SIDE, stars: int = STARS) -> tuple[list[DataFrame], DataFrame]:
+    """(edges, rest) of buckets (key, node, sig) of any size: the edges found, and smaller buckets whose own pairs are still to be compared."""
+    least = int(np.ceil(THRESHOLD * REGISTERS))
+    edges, small = [], []
+    for turn in range(stars):
+        lead = rows.groupBy("key").agg(F.min(F.struct("node", "sig")).alias("l")).select("key", F.col("l.node").alias("lead"), F.col("l.sig").alias("lead_sig"))
+        seen = cut(rows.join(lead, "key").select("key", "node", "sig", "lead", "lead_sig").mapInArrow(_agreeing, "key long, node long, sig binary, lead long, agree long"))
+        near, far = seen.where(F.col("agree") >= least), seen.where(F.col("agree") < least)
+        edges.append(near.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")))
+        # with d registers between a member and the least one, and e > d between that and another, these two differ in at least e - d
+        border = far.groupBy("key").agg(F.max("agree").alias("most"), F.count(F.lit(1)).alias("n"))
+        edge_of = near.groupBy("key").agg(F.min("agree").alias("fewest"))
+        inner = near.join(border, "key").where(F.col("agree") <= F.col("most") + (REGISTERS - least)).select("key", "node", "sig")
+        outer = far.join(edge_of, "key").where(F.col("fewest") <= F.col("agree") + (REGISTERS - least)).select("key", "node", "sig")
+        edges.append(_blocks(inner, outer, side))
+        sized = far.join(border.select("key", "n"), "key")
+        # what is left is another bucket
+        again = F.xxhash64("key", F.lit(turn)).alias("key")
+        small.append(sized.where(F.col("n") <= bucket).select(again, "node", "sig"))
+        rows = cut(sized.where(F.col("n") > bucket).select(again, "node", "sig"))
+        if rows.isEmpty():
+            break
+    else:
+        edges.append(_blocks(rows, None, side))
+    rest = small[0]
+    for more in small[1:]:
+        rest = rest.unionByName(more)
+    return edges, rest
+
+
+def _within(rows: DataFrame) -> DataFrame:
+    """Edges of buckets (key, node, sig), each verified as one row."""
+    listed = rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "sig"))).alias("members")).where("size(members) > 1").select("members")
+    return listed.mapInArrow(_verify, "a long, b long")
+
+
+def bucket_links(keyed: DataFrame, heads: DataFrame, bucket: int = BUCKET, side: int = SIDE, stars: int = STARS) -> DataFrame:
+    """Edges (a, b) that connect what comparing all pairs of each bucket would connect; keyed (node, key), heads (node, sig)."""
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node", F.lit(3))).alias("print")).where("n > 1")
+    # buckets that several bands have alike are verified once
+    sizes = sizes.groupBy("n", "least", "print").agg(F.min("key").alias("key")).select("key", "n")
+    many = cut(keyed.join(sizes, "key"))
+    edges = _within(many.where(F.col("n") <= bucket).select("key", "node").join(heads, "node"))
+    large = many.where(F.col("n") > bucket).select("key", "node")
+    if not large.isEmpty():
+        found, rest = star_edges(cut(large.join(heads, "node").select("key", "node", "sig")), bucket, side, stars)
+        for more in [*found, _within(rest)]:
+            edges = edges.unionByName(more)
+    return edges
+
+
 def _node() -> F.Column:
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), "text")
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, **sizes: int) -> DataFrame:
     """(node, doc_id, root, root_id) for each distinct document that is in a group with another and isn't the one that stays."""
     rows = docs.select(_node().alias("node"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(rows.mapInArrow(_sign, "node long, doc_id long, digest long, sig binary, bands array<long>"))
@@ -162,13 +276,7 @@ def groups(docs: DataFrame) -> DataFrame:
     same = signed.groupBy("digest").agg(F.min("node").alias("b"), F.max("node").alias("most"))
     exact = signed.select("digest", F.col("node").alias("a")).join(same.where("b <> most"), "digest").where("a <> b").select("a", "b")
     heads = signed.join(same.select(F.col("b").alias("node")), "node", "left_semi").select("node", "sig", "bands").dropDuplicates(["node"])
-    keyed = heads.select("node", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.collect_set("node").alias("members")).where("size(members) > 1").select(F.array_sort("members").alias("members"))
-    # a bucket that several bands have alike is verified once
-    buckets = buckets.groupBy(F.xxhash64("members").alias("bucket"), F.size("members").alias("n")).agg(F.first("members").alias("members"))
-    filled = buckets.select("bucket", "n", F.explode("members").alias("node")).join(heads.select("node", "sig"), "node")
-    listed = filled.groupBy("bucket", "n").agg(F.sort_array(F.collect_list(F.struct("node", "sig"))).alias("members")).select("members")
-    edges = listed.mapInArrow(_verify, "a long, b long").unionByName(exact)
+    edges = bucket_links(heads.select("node", F.explode("bands").alias("key")), heads.select("node", "sig"), **sizes).unionByName(exact)
     linked = components(edges)
     ids = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     named = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct()).join(ids, "node")
@@ -179,20 +287,20 @@ def groups(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, one of each group, with all their columns."""
-    dropped = groups(docs).where("node <> root").select(F.col("node").alias("gone"))
+    dropped = groups(docs).where("node <> root").select(F.col("node").alias("gone"), F.col("doc_id").alias("gone_id"))
     # a row travels as one struct, so that its columns can have any names
-    rows = docs.select(_node().alias("node"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.join(dropped, F.col("node") == F.col("gone"), "left_anti")
-    # rows that repeat id and text have one node, by which they are partitioned already
-    nth = F.row_number().over(Window.partitionBy("node").orderBy("node"))
+    rows = docs.select(_node().alias("node"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.lit(11), "text").alias("second"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(dropped, (F.col("node") == F.col("gone")) & F.col("id").eqNullSafe(F.col("gone_id")), "left_anti")
+    # rows that repeat id and text are one; other texts whose node is the same by chance stay apart
+    nth = F.row_number().over(Window.partitionBy("node", "id", "second").orderBy("node"))
     return rows.withColumn("nth", nth).where("nth = 1").select("row.*")
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the id of its group's document that stays, and whether it is that."""
     docs = table(spark, sf_dir, "documents")
-    found = groups(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _node().alias("node"))
-    return rows.join(found.select("node", "root", "root_id"), "node", "left").select(
+    found = groups(docs).select("node", F.col("doc_id").alias("id"), "root", "root_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _node().alias("own"))
+    return rows.join(found, (F.col("own") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("id")), "left").select(
         "doc_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("root_id")).alias("group_id"), (F.col("root").isNull() | (F.col("root") == F.col("node"))).alias("stays")
     )

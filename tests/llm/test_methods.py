@@ -96,6 +96,60 @@ def test_bucket_edges_connect_what_all_pairs_connect():
         assert [one.find(i) for i in range(n)] == [two.find(i) for i in range(n)]
 
 
+@pytest.mark.parametrize(("bucket", "side", "stars"), [(4096, 2048, 6), (8, 5, 6), (8, 5, 1), (2, 3, 2), (20, 7, 3)])
+def test_links_of_buckets_of_any_size_connect_what_all_pairs_connect(spark, bucket, side, stars):
+    """Near copies of one text, chains of ever farther ones, and strangers that share a bucket."""
+    rng = np.random.default_rng(41)
+    base = rng.integers(0, 250, neardup.REGISTERS).astype(np.uint8)
+    sigs = []
+    for k in range(90):
+        x = base.copy()
+        at = rng.permutation(neardup.REGISTERS)[: [6, 60, 70, 80, 128][k % 5]]
+        x[at] = rng.integers(0, 250, len(at))
+        sigs.append(x)
+    for k in range(40):  # a chain: each is similar to the one before it only
+        x = sigs[-1].copy()
+        at = rng.permutation(neardup.REGISTERS)[:55]
+        x[at] = rng.integers(0, 250, len(at))
+        sigs.append(x)
+    least = int(np.ceil(neardup.THRESHOLD * neardup.REGISTERS))
+    keys = {k: sorted(rng.choice(len(sigs), size, replace=False).tolist()) for k, size in enumerate((130, 130, 100, 40, 9, 3, 1))}
+    want, got = components.Forest(), components.Forest()
+    for members in keys.values():
+        for i in members:
+            for j in members:
+                if j < i and (sigs[i] == sigs[j]).sum() >= least:
+                    want.join(i, j)
+    keyed = spark.createDataFrame([(i, k) for k, members in keys.items() for i in members], "node long, key long")
+    heads = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sigs)], "node long, sig binary")
+    for r in neardup.bucket_links(keyed, heads, bucket, side, stars).collect():
+        got.join(r["a"], r["b"])
+    assert [got.find(i) for i in range(len(sigs))] == [want.find(i) for i in range(len(sigs))]
+
+
+def test_near_duplicates_of_a_large_bucket(spark):
+    """A boilerplate page in 120 versions is one group, whether or not its buckets fit a row."""
+    rng = random.Random(42)
+    page = invented(rng, 200, 10**6)
+    docs = [(i, edited(rng, page, 0.03)) for i in range(120)] + [(200 + i, invented(rng, 200, 10**6)) for i in range(30)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for sizes in ({}, {"bucket": 10, "side": 7, "stars": 2}):
+        got = {r["doc_id"]: r["root_id"] for r in neardup.groups(frame, **sizes).collect()}
+        assert got == {i: 0 for i in range(120)}
+
+
+def test_local_stars_in_pieces_connect_the_same():
+    rng, forest, want = random.Random(43), components.Forest(), components.Forest()
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges[k : k + 10]]), pa.array([b for _, b in edges[k : k + 10]])], ["a", "b"]) for k in range(0, 150, 10)]
+    for a, b in edges:
+        want.join(a, b)
+    for out in components.local_stars(iter(batches), 15):
+        for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True):
+            forest.join(a, b)
+    assert [forest.find(x) for x in range(200)] == [want.find(x) for x in range(200)]
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(1000 + i, 1001 + i) for i in range(100)]
