@@ -185,21 +185,46 @@ def test_alignment_against_the_plain_recurrence():
     assert np.allclose(got, [smith_waterman(p, q) for p, q in pairs])
 
 
-def test_decontamination_finds_what_aligning_everything_finds(spark):
+def scores(frame):
+    return {(r["doc_id"], r["item_id"]): round(r["score"], 9) for r in frame.collect()}
+
+
+@pytest.mark.parametrize("vocabulary", [900, 40])
+def test_decontamination_finds_what_aligning_everything_finds(spark, vocabulary):
+    """All pairs that align and share a trigram, with the score of aligning the whole document; and as many in slices."""
     rng = random.Random(7)
-    items = [(i, invented(rng, rng.randrange(12, 50), 900)) for i in range(20)]
+    items = [(i, invented(rng, rng.randrange(12, 50), vocabulary)) for i in range(20)]
+    items += [(30, items[3][1]), (31, edited(rng, items[4][1], 0.1))]
     docs = []
     for d in range(120):
-        text = invented(rng, rng.randrange(5, 300), 900)
+        text = invented(rng, rng.randrange(5, 300), vocabulary)
         if d % 3 == 0:
-            text += " " + edited(rng, rng.choice(items)[1], rng.choice([0, 0.1, 0.2])) + " " + invented(rng, 30, 900)
+            text += " " + edited(rng, rng.choice(items)[1], rng.choice([0, 0.1, 0.2])) + " " + invented(rng, 30, vocabulary)
         docs.append((d, text))
-    want = {(d, i) for d, t in docs for i, x in items if smith_waterman(words(t), words(x)) >= decontaminate.THRESHOLD}
+    trigrams = lambda t: set(zip(words(t), words(t)[1:], words(t)[2:], strict=False))
+    want = {(d, i): round(x, 9) for d, t in docs for i, y in items if trigrams(t) & trigrams(y) and (x := smith_waterman(words(t), words(y))) >= decontaminate.THRESHOLD}
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = scores(decontaminate.matches(d, b))
+    assert got == want and len(want) > 20
+    assert scores(decontaminate.matches(d, b, limit=300)) == want
+    clean = {k for k, _ in docs} - {k for k, _ in want}
+    assert {r["doc_id"] for r in decontaminate.keep_clean(d, b, limit=300).collect()} == clean
+
+
+def test_trigrams_that_the_corpus_is_full_of_are_no_seeds(spark):
+    """A common trigram joins nothing; copies of an item, exact or edited, however many, don't make its trigrams common."""
+    rng = random.Random(72)
+    items = [(i, f"{invented(rng, 10, 10**6)} one of the {invented(rng, 12, 10**6)}") for i in range(4)] + [(9, "one of the")]
+    broken = " ".join(f"z{k}" if k % 5 == 2 else w for k, w in enumerate(items[1][1].split()))
+    docs = [(d, f"{invented(rng, 9, 10**6)} one of the {invented(rng, 9, 10**6)}") for d in range(200)]
+    docs += [(1000 + d, items[0][1]) for d in range(200)] + [(2000 + d, f"{broken} {d}") for d in range(200)]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(d, b).collect()}
-    assert got <= want and len(got) >= 0.9 * len(want) > 20
-    sliced = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(d, b, limit=100).collect()}
-    assert sliced <= want and len(sliced) >= 0.9 * len(want)
+    grams = b.select("item_id", "text").mapInArrow(decontaminate._item_grams, "item long, size long, gram long").distinct()
+    seeds = {r["item"]: r["count"] for r in decontaminate.seeds_of(d, grams).groupBy("item").count().collect()}
+    assert seeds == dict.fromkeys(range(4), 23 - 1 + 21) | {9: 1}
+    got = set(scores(decontaminate.matches(d, b)))
+    assert {x for x in got if x[1] != 9} == {(1000 + k, 0) for k in range(200)} | {(2000 + k, 1) for k in range(200)}
+    assert {x[0] for x in got if x[1] == 9} == {k for k, t in docs if "one of the" in t}
 
 
 @pytest.mark.parametrize("copies", [0, 1, 5])
