@@ -74,8 +74,11 @@ def expand_entries(samples: DataFrame) -> DataFrame:
 
     Columns: text, entities, entity_spans, should_respond, response and any others.
     """
-    statement = (F.coalesce("should_respond", F.lit(0)) == 1) & ~T.is_question("text")
-    question = T.statement_to_question("text")
+    rest = [c for c in samples.columns if c not in ("text", "entity_spans", "should_respond", "response")]
+    # flat columns, each of which the optimizer computes once
+    statement, question = F.col("_statement"), F.col("_question")
+    samples = samples.withColumn("_statement", (F.coalesce("should_respond", F.lit(0)) == 1) & ~T.is_question("text"))
+    samples = samples.withColumn("_question", F.when(statement, T.statement_to_question("text")))
     as_is = F.struct(F.col("text"), F.col("entity_spans"), F.coalesce("should_respond", F.lit(0)).alias("should_respond"), F.col("response"), F.lit("as_is").alias("form"))
     silent = F.struct(F.col("text"), F.col("entity_spans"), F.lit(0).alias("should_respond"), F.lit(None).cast("string").alias("response"), F.lit("statement").alias("form"))
     asked = F.struct(
@@ -85,7 +88,6 @@ def expand_entries(samples: DataFrame) -> DataFrame:
         F.coalesce(F.nullif("response", F.lit("")), T.affirmation("text")).alias("response"),
         F.lit("question").alias("form"),
     )
-    rest = [c for c in samples.columns if c not in ("text", "entity_spans", "should_respond", "response")]
     return samples.select(*rest, F.explode(F.when(statement, F.array(silent, asked)).otherwise(F.array(as_is))).alias("row")).select(*rest, "row.*")
 
 
@@ -112,6 +114,12 @@ def relation_questions(samples: DataFrame, most: int = 3) -> DataFrame:
     return rows.select("title", "place", F.col("r.rel").alias("relation"), fill(ask[F.col("r.rel")]).alias("question"), fill(say[F.col("r.rel")]).alias("answer"))
 
 
+def find_relations(pairs: DataFrame, triples: DataFrame) -> DataFrame:
+    """Pairs (subject, object) with the relation of the first triple (subject, relation, object, position) that joins them, or null."""
+    first = triples.groupBy("subject", "object").agg(F.min_by("relation", "position").alias("relation"))
+    return pairs.join(first, ["subject", "object"], "left")
+
+
 def graph_questions(questions: DataFrame, triples: DataFrame, kinds: DataFrame) -> DataFrame:
     """Questions over a knowledge base (qid, question, answers, entities) to samples.
 
@@ -124,9 +132,10 @@ def graph_questions(questions: DataFrame, triples: DataFrame, kinds: DataFrame)
     ranked = kinds.groupBy("name").agg(F.min_by("kind", "rank").alias("kind"))
     typed = each.join(ranked, "name", "left").groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.array(F.coalesce("kind", F.lit("object"))).alias("c")))), lambda x: x["c"]).alias("concepts"))
     a, b = each.alias("a"), each.alias("b")
-    first = triples.groupBy("subject", "object").agg(F.min_by("relation", "position").alias("rel"))
-    pairs = a.join(b, (F.col("a.qid") == F.col("b.qid")) & (F.col("a.pos") != F.col("b.pos"))).join(first, (F.col("a.name") == F.col("subject")) & (F.col("b.name") == F.col("object")))
-    related = pairs.select(F.col("a.qid").alias("qid"), F.struct(F.col("a.pos").alias("head"), F.col("b.pos").alias("tail"), "rel").alias("r")).groupBy("qid").agg(F.array_sort(F.collect_list("r")).alias("relations"))
+    both = a.join(b, (F.col("a.qid") == F.col("b.qid")) & (F.col("a.pos") != F.col("b.pos")))
+    both = both.select(F.col("a.qid").alias("qid"), F.col("a.pos").alias("head"), F.col("b.pos").alias("tail"), F.col("a.name").alias("subject"), F.col("b.name").alias("object"))
+    pairs = find_relations(both, triples).where("relation is not null")
+    related = pairs.select("qid", F.struct("head", "tail", F.col("relation").alias("rel")).alias("r")).groupBy("qid").agg(F.array_sort(F.collect_list("r")).alias("relations"))
     n = F.size("answers")
     listed = F.when(n <= 1, F.array_join("answers", "")).otherwise(F.concat(F.array_join(F.slice("answers", F.lit(1), n - 1), ", "), F.lit(" and "), F.element_at("answers", -1)))
     return ents.join(typed, "qid", "left").join(related, "qid", "left").select("qid", F.col("question").alias("text"), F.col("all").alias("entities"), "concepts", F.coalesce("relations", F.array().cast("array<struct<head:int,tail:int,rel:string>>")).alias("relations"), listed.alias("response"))

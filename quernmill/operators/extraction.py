@@ -23,6 +23,48 @@ def entities(tokens: DataFrame, sample: str, position: str, threshold: float = 0
     return found.where(F.col("end") - F.col("start") + 1 >= least).select(sample, "start", "end", "type", "conf")
 
 
+def entity_texts(found: DataFrame, tokens: DataFrame, sample: str) -> DataFrame:
+    """Entities (sample, start, end, ...) with their text and characters, from tokens (sample, tokens) joined by blanks; end exclusive.
+
+    Characters are counted from the lengths of the tokens before, as a decoder without offsets does.
+    """
+    rows = found.join(tokens, sample)
+    size = lambda t: F.aggregate(F.transform(t, lambda w: F.length(w) + 1), F.lit(0), lambda a, b: a + b)
+    text = F.array_join(F.slice("tokens", F.col("start") + 1, F.col("end") - F.col("start") + 1), " ")
+    rows = rows.withColumn("text", text).withColumn("char_start", F.when(F.col("start") > 0, size(F.slice("tokens", F.lit(1), F.col("start")))).otherwise(0))
+    return rows.withColumn("char_end", F.col("char_start") + F.length("text")).drop("tokens")
+
+
+def extract(tokens: DataFrame, token_probs: DataFrame, concept_probs: DataFrame, relation_probs: DataFrame, sample: str, threshold: float = 0.5, relation_threshold: float = 0.3, most: int = 10) -> DataFrame:
+    """One row a sample: (sample, entities, concepts, relations) from token, concept and pair probabilities.
+
+    Entities are numbered by place; relations are kept between the numbers of entities that are there.
+    Concepts (sample, concept, p) are those of the whole text, which each entity gets.
+    """
+    found = entities(best_classes(token_probs, sample, "position"), sample, "position", threshold, 1, most)
+    named = entity_texts(found, tokens, sample)
+    order = Window.partitionBy(sample).orderBy("start", "type")
+    numbered = named.withColumn("n", F.row_number().over(order) - 1)
+    ents = numbered.groupBy(sample).agg(F.array_sort(F.collect_list(F.struct("n", "text", "type", "conf"))).alias("entities"))
+    tops = top_concepts(concept_probs, sample, "concept", "p").groupBy(sample).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "concept"))), lambda c: c["concept"]).alias("concepts"))
+    pairs = relations(relation_probs, sample, relation_threshold)
+    for side in ("i", "j"):
+        pairs = pairs.join(numbered.select(sample, F.col("n").alias(side)), [sample, side], "left_semi")
+    rels = pairs.groupBy(sample).agg(F.array_sort(F.collect_list(F.struct("i", "j", "type", "conf"))).alias("relations"))
+    return tokens.select(sample).join(ents, sample, "left").join(tops, sample, "left").join(rels, sample, "left").select(sample, *[F.coalesce(c, F.array().cast(k)).alias(c) for c, k in (("entities", ents.schema["entities"].dataType), ("concepts", tops.schema["concepts"].dataType), ("relations", rels.schema["relations"].dataType))])
+
+
+def padded(rows: DataFrame, batch: str, *columns: str, fill: int = 0) -> DataFrame:
+    """Lists filled to the longest of their batch, and ``attention``: 1 where the first list has something."""
+    own = Window.partitionBy(batch)
+    for c in columns:
+        rows = rows.withColumn("_m", F.max(F.size(c)).over(own))
+        if c == columns[0]:
+            rows = rows.withColumn("attention", F.concat(F.array_repeat(F.lit(1), F.size(c)), F.array_repeat(F.lit(0), F.col("_m") - F.size(c))))
+        rows = rows.withColumn(c, F.concat(F.col(c), F.array_repeat(F.lit(fill).cast(rows.schema[c].dataType.elementType), F.col("_m") - F.size(c))))
+    return rows.drop("_m")
+
+
 def top_concepts(probs: DataFrame, sample: str, concept: str, p: str, k: int = 3, threshold: float = 0.1) -> DataFrame:
     """The ``k`` most probable concepts at or above a threshold; the best one if none is."""
     place = F.row_number().over(Window.partitionBy(sample).orderBy(F.col(p).desc(), concept))

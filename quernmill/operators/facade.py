@@ -44,6 +44,18 @@ class SafetyConfig:
     def add_constraint(self, name: str, category: str, broken: Callable) -> None:
         self.constraints.append(S.Constraint(name, category, broken))
 
+    def check(self, docs: DataFrame) -> DataFrame:
+        """Rows with their verdicts by this configuration."""
+        return S.regulate(docs, self.keywords, self.strictness, constraints=self.constraints)
+
+    def check_batch(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Safe and unsafe rows, judged."""
+        return S.split_safe(self.check(docs))
+
+    def statistics(self, docs: DataFrame, source: str = "batch") -> DataFrame:
+        """Audit statistics of rows judged by this configuration."""
+        return S.audit_statistics(S.audit(self.check(docs), source))
+
     def save(self, spark: SparkSession, path: str) -> None:
         row = (self.strictness, self.keywords.block, self.keywords.allow)
         spark.createDataFrame([row], "strictness string, block array<string>, allow array<string>").write.mode("overwrite").json(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernmill.functions import text as T
@@ -40,7 +40,7 @@ def link(names: DataFrame, mapping: DataFrame, nodes: DataFrame, fuzzy: bool = T
     if not fuzzy:
         return found
     rest = exact.where("node is null and normal <> ''").select("name", F.replace("normal", F.lit(" "), F.lit("_")).alias("w"))
-    labels = nodes.where(F.startswith("node", F.lit("/c/en/"))).select("node", "place", F.substring("node", 7, 10000).alias("l")).where("l <> ''")
+    labels = nodes.where(F.startswith("node", F.lit("/c/en/"))).select("node", "place", F.substr("node", F.lit(7)).alias("l")).where("l <> ''")
     # what holds the other has its first three letters somewhere; shorter ones only match up to four letters
     head = lambda c: F.substring(c, 1, 3)
     windows = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda i: F.substring(c, i, F.lit(n)))
@@ -85,6 +85,24 @@ def paths(triples: DataFrame, pairs: DataFrame, max_length: int = 3, max_paths:
     return found
 
 
+def commit(triples: DataFrame, pending: DataFrame) -> DataFrame:
+    """The graph with pending relations (src, rel, dst) added; what it has already, or what is pending twice, is there as often."""
+    return triples.select("src", "rel", "dst").unionByName(pending.select("src", "rel", "dst"))
+
+
+def add_relations(spark: SparkSession, folder: str, pending: DataFrame) -> DataFrame:
+    """Appends pending relations to the graph kept in a folder, and returns the graph."""
+    pending.select("src", "rel", "dst").write.mode("append").parquet(folder)
+    return spark.read.schema("src string, rel string, dst string").parquet(folder)
+
+
+def query_paths(triples: DataFrame | None, pairs: DataFrame, max_length: int = 3, max_paths: int | None = 10) -> DataFrame:
+    """Paths of pairs; none without a graph."""
+    if triples is None:
+        return pairs.limit(0).select("src", "dst", F.lit("").alias("path"), F.lit(0).alias("steps"))
+    return paths(triples, pairs, max_length, max_paths)
+
+
 def verify(claims: DataFrame, triples: DataFrame) -> DataFrame:
     """(src, rel, dst, confidence) of claims: 1.0 if stated, 0.9 if the inverse is, 0.5 if a path of two steps joins them, else 0.0."""
     own = claims.select("src", "rel", "dst").distinct()

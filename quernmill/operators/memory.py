@@ -6,10 +6,11 @@ any engine then keeps the same rows.  The fold itself, in arrival order, is in `
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernmill.functions.text import order_key
+from quernmill.operators.blocks import against, greatest
 from quernmill.operators.rules import dot, norm
 
 
@@ -30,7 +31,7 @@ def most_uncertain(rows: DataFrame, most: int, uncertainty: str, *key: str) -> D
 
 def balanced(rows: DataFrame, most: int, concept: str, *key: str, seed: str = "balanced") -> DataFrame:
     """At most ``most`` rows over the number of concepts, of each concept."""
-    n = rows.select(concept).distinct().count()
+    n = rows.agg(F.count_distinct(concept)).first()[0]
     place = F.row_number().over(Window.partitionBy(concept).orderBy(order_key(*key, seed=seed), *key))
     return rows.withColumn("_n", place).where(F.col("_n") <= max(1, most // max(1, n))).drop("_n")
 
@@ -49,7 +50,40 @@ def diversity_threshold(vectors: DataFrame, id_column: str, vec: str, sample: in
 def nearest_distance(vectors: DataFrame, memory: DataFrame, id_column: str, vec: str) -> DataFrame:
     """(id, distance) of each vector to the nearest other in memory, which holds few."""
     m = memory.select(F.col(id_column).alias("_j"), F.col(vec).alias("_v"))
-    return vectors.join(m, F.col(id_column) != F.col("_j")).groupBy(id_column).agg(F.min(distance(vec, "_v")).alias("distance"))
+    near = against(vectors, m, id_column, vec, "_j", "_v", greatest(1), eps=1e-12)
+    return near.groupBy(id_column).agg((1 - F.max("similarity")).alias("distance"))
+
+
+def concept_counts(rows: DataFrame, concept: str, known: DataFrame | None = None) -> DataFrame:
+    """(concept, n): entries by concept; known concepts (concept) without any are kept at zero."""
+    counts = rows.groupBy(F.col(concept).alias("concept")).agg(F.count(F.lit(1)).alias("n"))
+    if known is None:
+        return counts
+    names = known.select("concept").unionByName(counts.select("concept")).distinct()
+    return names.join(counts, "concept", "left").select("concept", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def changed_counts(before: DataFrame, added: DataFrame, removed: DataFrame, concept: str) -> DataFrame:
+    """Counts (concept, n) after entries are added and removed; a concept left without any stays at zero."""
+    one = lambda rows, by: rows.select(F.col(concept).alias("concept"), F.lit(by).cast("long").alias("n"))
+    return before.select("concept", "n").unionByName(one(added, 1)).unionByName(one(removed, -1)).groupBy("concept").agg(F.greatest(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def hybrid(rows: DataFrame, memory: DataFrame, id_column: str, vec: str, uncertainty: str, weight: float = 0.5) -> DataFrame:
+    """New rows, not in memory, that would displace an entry: their uncertainty alone exceeds the least score in memory.
+
+    An entry's score is its uncertainty and its distance to the nearest other entry, weighted.
+    """
+    held = memory.join(nearest_distance(memory, memory, id_column, vec), id_column)
+    least = held.agg(F.min((1 - weight) * F.col(uncertainty) + weight * F.col("distance")).alias("_least"))
+    new = rows.join(memory.select(id_column), id_column, "left_anti")
+    return new.crossJoin(least).where(F.col(uncertainty) > F.col("_least")).drop("_least")
+
+
+def cleared(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """Empties the memory kept in a folder, and returns what is there then: nothing."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(folder)
+    return spark.read.schema(schema).parquet(folder)
 
 
 def weighted_draw(rows: DataFrame, most: int, weight: str, *key: str, seed: str = "draw") -> DataFrame:

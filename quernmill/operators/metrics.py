@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernmill.functions.text import words
+from quernmill.functions.text import mentioned
+from quernmill.operators.conversion import responds
 
 EPS = 1e-10
 
@@ -16,20 +21,62 @@ def ngrams(tokens: Column | str, n: int) -> Column:
     return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, F.lit(n)), "\x01"))).otherwise(F.array().cast("array<string>"))
 
 
-def bleu(pairs: DataFrame, reference: str, hypothesis: str, *key: str, max_n: int = 4) -> DataFrame:
-    """Adds ``bleu``: the brevity penalty times the geometric mean of clipped n-gram precisions; any that is zero makes it zero.
+def _bleu(reference: str, hypothesis: str, max_n: int) -> float:
+    """The brevity penalty times the geometric mean of clipped n-gram precisions; any that is zero makes it zero."""
+    r, h = reference.lower().split(), hypothesis.lower().split()
+    if not r or not h:
+        return 0.0
+    total = 0.0
+    for n in range(1, max_n + 1):
+        known = Counter(zip(*(r[i:] for i in range(n)), strict=False))
+        hits = sum(min(k, known[g]) for g, k in Counter(zip(*(h[i:] for i in range(n)), strict=False)).items() if g in known)
+        if not hits:
+            return 0.0
+        total += math.log(hits / (len(h) - n + 1))
+    return min(1.0, math.exp(1 - len(r) / len(h))) * math.exp(total / max_n)
+
+
+def bleu(pairs: DataFrame, reference: str, hypothesis: str, max_n: int = 4) -> DataFrame:
+    """Adds ``bleu``; null or empty texts on either side give 0.
+
+    N-grams are counted within the row, in Arrow batches, so that nothing is shuffled.
+    """
+
+    @F.pandas_udf("double")
+    def score(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+        return pd.Series([_bleu(r, h, max_n) for r, h in zip(reference, hypothesis, strict=True)], dtype=float)
+
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return pairs.withColumn("bleu", score(text(reference), text(hypothesis)))
+
 
-    N-grams are counted by one exploded aggregate over both sides, so that no list is searched.
+def evaluate(samples: DataFrame, *order: str, most: int | None = None, generated: str = "generated") -> DataFrame:
+    """Samples that are to be responded to, the first ``most`` in order, with ``bleu`` and ``entity`` (precision, recall, f1) where something was generated.
+
+    Columns: should_respond, response, entities and the text generated; the entities of a generated text
+    are those of the sample that it mentions.
     """
-    rows = pairs.withColumn("_r", words(F.lower(reference))).withColumn("_h", words(F.lower(hypothesis)))
-    sides = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), ngrams(column, n).alias("grams")) for n in range(1, max_n + 1) for side, column in ((0, "_r"), (1, "_h"))])
-    each = rows.select(*key, F.explode(sides).alias("s")).select(*key, "s.n", "s.side", F.explode("s.grams").alias("gram"))
-    counted = each.groupBy(*key, "n", "gram").agg(F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("h"))
-    precision = counted.groupBy(*key, "n").agg(F.try_divide(F.sum(F.least("r", "h")), F.sum("h")).alias("p"))
-    score = precision.groupBy(*key).agg(F.count_if(F.coalesce("p", F.lit(0.0)) > 0).alias("c"), F.exp(F.avg(F.when(F.col("p") > 0, F.ln("p")))).alias("g"))
-    penalty = F.least(F.lit(1.0), F.exp(1 - F.try_divide(F.size("_r"), F.size("_h"))))
-    out = rows.join(score, list(key), "left").withColumn("bleu", F.when((F.size("_h") > 0) & (F.size("_r") > 0) & (F.col("c") == max_n), penalty * F.col("g")).otherwise(0.0))
-    return out.drop("_r", "_h", "c", "g")
+    rows = samples.where(responds())
+    rows = rows.orderBy(*order).limit(most) if most is not None else rows
+    some = F.coalesce(F.col(generated), F.lit("")) != ""
+    rows = bleu(rows, "response", generated).withColumn("bleu", F.when(some, F.col("bleu")))
+    return rows.withColumn("_p", mentioned(generated, "entities")).withColumn("entity", F.when(some, entity_f1("entities", "_p"))).drop("_p")
+
+
+METRICS = ("bleu", "precision", "recall", "f1")
+
+
+def mean_metrics(evaluated: DataFrame, *by: str) -> DataFrame:
+    """Rows (by, n, means): how many results, and the mean of each metric over those that have it."""
+    entity = lambda c: F.col("bleu") if c == "bleu" else F.col(f"entity.{c}")
+    return evaluated.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.avg(entity(c)).alias(f"avg_{c}") for c in METRICS])
+
+
+def compared(means: DataFrame, side: str = "side", one: str = "train", other: str = "eval", metrics: tuple[str, ...] = ("avg_bleu", "avg_f1")) -> DataFrame:
+    """(metric, one, other, difference) of the means of two sides; a mean that is missing counts as 0."""
+    long = means.select(side, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics])).alias("x")).select(side, "x.*")
+    pick = lambda s: F.coalesce(F.max(F.when(F.col(side) == s, F.col("v"))), F.lit(0.0)).alias(s)
+    return long.groupBy("metric").agg(pick(one), pick(other)).withColumn("difference", F.col(other) - F.col(one))
 
 
 def entity_f1(reference: str, predicted: str) -> Column:
@@ -90,6 +137,55 @@ def overall(epistemic: Column, entity: Column, concept: Column, relation: Column
     return 0.4 * epistemic + 0.3 * entity + 0.2 * concept + 0.1 * relation
 
 
+ESTIMATE = ("entropy", "epistemic", "aleatoric", "entity", "concept", "relation", "overall")
+
+
+def _variances(passes: DataFrame, sample: str, position: str, klass: str, p: str, name: str) -> DataFrame:
+    cell = passes.groupBy(sample, position, klass).agg(F.coalesce(F.var_samp(p), F.lit(0.0)).alias("v"))
+    return cell.groupBy(sample).agg(F.avg("v").alias(name))
+
+
+def _with_variances(rows: DataFrame, concepts: DataFrame | None, relations: DataFrame | None, sample: str, names: tuple[str, ...]) -> DataFrame:
+    for name, passes in (("concept", concepts), ("relation", relations)):
+        rows = rows.join(_variances(passes, sample, *names, name), sample, "left") if passes is not None else rows.withColumn(name, F.lit(0.0))
+    return rows.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("concept", "relation")})
+
+
+def dropout_estimate(entities: DataFrame, concepts: DataFrame | None, relations: DataFrame | None, sample: str, position: str = "position", klass: str = "class", p: str = "p") -> DataFrame:
+    """(sample, ESTIMATE) from passes with dropout on."""
+    rows = monte_carlo(entities, sample, position, klass, p).withColumnRenamed("variance", "entity")
+    rows = _with_variances(rows, concepts, relations, sample, (position, klass, p))
+    return rows.withColumn("overall", overall(*[F.col(c) for c in ("epistemic", "entity", "concept", "relation")])).select(sample, *ESTIMATE)
+
+
+def ensemble_estimate(entities: DataFrame, concepts: DataFrame | None, sample: str, position: str = "position", klass: str = "class", p: str = "p") -> DataFrame:
+    """(sample, ESTIMATE) from the passes of several models: their disagreement, from which no aleatoric part can be told."""
+    rows = monte_carlo(entities, sample, position, klass, p).withColumnRenamed("variance", "entity").drop("epistemic", "aleatoric")
+    rows = _with_variances(rows, concepts, None, sample, (position, klass, p))
+    return rows.withColumns({"epistemic": F.col("entity"), "aleatoric": F.lit(0.0), "overall": F.col("entity")}).select(sample, *ESTIMATE)
+
+
+def estimate(method: str, dropout: dict[str, DataFrame], ensemble: dict[str, DataFrame] | None, sample: str) -> DataFrame:
+    """(sample, ESTIMATE) by ``mc_dropout``, ``ensemble`` or ``combined``; without an ensemble, or for any other method, by dropout.
+
+    Passes are given by kind: entities, concepts, relations.  Combined is the mean of both, but for the
+    aleatoric part and relations, which are those by dropout.
+    """
+    one = dropout_estimate(dropout["entities"], dropout.get("concepts"), dropout.get("relations"), sample)
+    if not ensemble or method not in ("ensemble", "combined"):
+        return one
+    other = ensemble_estimate(ensemble["entities"], ensemble.get("concepts"), sample)
+    if method == "ensemble":
+        return other
+    both = one.join(other.select(sample, *[F.col(c).alias(f"_{c}") for c in ESTIMATE]), sample)
+    return both.select(sample, *[F.col(c) if c in ("aleatoric", "relation") else ((F.col(c) + F.col(f"_{c}")) / 2).alias(c) for c in ESTIMATE])
+
+
+def uncertain(score: Column | str, threshold: float = 0.5) -> Column:
+    """Whether a score is above the threshold; one that equals it isn't."""
+    return (F.col(score) if isinstance(score, str) else score) > threshold
+
+
 def decision(uncertainty: Column, threshold: float = 0.5, force: bool = False) -> Column:
     """What a learner does with a sample: learn if it is uncertain (or forced), else skip."""
-    return F.when(F.lit(force) | (uncertainty > threshold), "learn").otherwise("skip_confident")
+    return F.when(F.lit(force) | uncertain(uncertainty, threshold), "learn").otherwise("skip_confident")

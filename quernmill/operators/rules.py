@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernmill.operators.blocks import above, against, greatest
+from quernmill.operators.vocabulary import ranked
+
 KEY = ["concept_a", "concept_b", "relation"]
 
 
@@ -58,12 +61,51 @@ def prune(rules: DataFrame, most: int = 200, room: int = 10) -> DataFrame:
 
 
 def conflicts(rules: DataFrame, id_column: str = "rule_id") -> DataFrame:
-    """Pairs of rules of one key and opposite polarity."""
+    """(key, positive, negative, first_positive, first_negative) of each key that has rules of either polarity: how many of each, and the least ids.
+
+    Every rule of a key conflicts with all those of the other polarity; the pairs aren't spelt out.
+    """
+    side = lambda p: F.when(F.col("polarity") == p, F.col(id_column))
+    counted = rules.groupBy(*KEY).agg(F.count(side(1)).alias("positive"), F.count(side(-1)).alias("negative"), F.min(side(1)).alias("first_positive"), F.min(side(-1)).alias("first_negative"))
+    return counted.where("positive > 0 and negative > 0")
+
+
+def conflicting_pairs(rules: DataFrame, id_column: str = "rule_id") -> DataFrame:
+    """The pairs themselves, of the rules of few keys: (key, first_id, second_id)."""
     a, b = rules.alias("a"), rules.alias("b")
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in KEY] + [F.col(f"a.{id_column}") < F.col(f"b.{id_column}"), F.col("a.polarity") == -F.col("b.polarity")]
     return a.join(b, on).select(*[F.col(f"a.{k}").alias(k) for k in KEY], F.col(f"a.{id_column}").alias("first_id"), F.col(f"b.{id_column}").alias("second_id"))
 
 
+def config_rows(rules: DataFrame) -> DataFrame:
+    """Rules as configuration rows (concept_a, concept_b, relation, weight, polarity): those of a weight above 0, as JSON too."""
+    columns = [*KEY, "weight", "polarity"]
+    return rules.where("weight > 0").select(*columns, F.to_json(F.struct(*columns)).alias("rule"))
+
+
+def statistics(rules: DataFrame, concepts: DataFrame, pending: DataFrame) -> DataFrame:
+    """One row: how many concepts, rules, positive and negative ones, pending relations, and the mean confidence."""
+    counts = rules.agg(F.count(F.lit(1)).alias("rules"), F.count_if(F.col("polarity") == 1).alias("positive"), F.count_if(F.col("polarity") == -1).alias("negative"), F.avg("confidence").alias("mean_confidence"))
+    one = concepts.agg(F.countDistinct("name").alias("concepts"))
+    return counts.crossJoin(one).crossJoin(pending.agg(F.count(F.lit(1)).alias("pending")))
+
+
+def process_samples(samples: DataFrame, known: DataFrame, capacity: int = 2048, min_frequency: int = 3, min_confidence: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(concepts, rules, relations) that samples (entities, concepts, relations) update a model with.
+
+    Their concepts are added to the known (name, id) ones as long as there is room; each relation is a
+    positive observation of all pairs of its head's and tail's concepts; and it is an edge between its
+    entities.  A relation whose places aren't there is left out.
+    """
+    names = samples.select(F.explode(F.flatten("concepts")).alias("name"))
+    rels = samples.select("entities", "concepts", F.explode("relations").alias("r"))
+    at = lambda c, k: F.get(c, F.col(f"r.{k}"))
+    observed_ = rels.select(F.explode(at("concepts", "head")).alias("concept_a"), at("concepts", "tail").alias("_t"), F.col("r.rel").alias("relation"))
+    observed_ = observed_.select("concept_a", F.explode("_t").alias("concept_b"), "relation", F.lit(True).alias("positive"))
+    edges = rels.select(at("entities", "head").alias("src"), F.col("r.rel").alias("rel"), at("entities", "tail").alias("dst")).where("src is not null and dst is not null")
+    return add_concepts(known, names, capacity), observed(observed_, min_frequency, min_confidence), edges
+
+
 def for_concepts(rules: DataFrame, concepts: DataFrame) -> DataFrame:
     """Rules with one of some concepts (column concept) on either side."""
     one = rules.join(concepts.select(F.col("concept").alias("concept_a")), "concept_a", "left_semi")
@@ -93,12 +135,27 @@ def cosine(a: Column | str, b: Column | str, eps: float = 1e-8) -> Column:
 
 def add_concepts(known: DataFrame, new: DataFrame, capacity: int = 2048) -> DataFrame:
     """(name, id): known concepts, then new names in their order, as long as there is room."""
-    fresh = new.select("name").distinct().join(known.select("name"), "name", "left_anti")
-    top = known.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("_m"))
-    added = fresh.crossJoin(top).select("name", (F.row_number().over(Window.orderBy("name")) + F.col("_m")).cast("int").alias("id"))
+    fresh = new.select("name").where("name is not null").distinct().join(known.select("name"), "name", "left_anti")
+    top = known.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
+    added = ranked(fresh, F.col("name"), name="n").select("name", (F.col("n") + top).cast("int").alias("id"))
     return known.select("name", F.col("id").cast("int").alias("id")).unionByName(added.where(F.col("id") < capacity))
 
 
+def grow_bank(bank: DataFrame, new: DataFrame, capacity: int = 2048, threshold: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """(bank, hierarchy) after new concepts (name, vec, parent) are added to a bank (id, name, vec).
+
+    If there isn't room for all, similar concepts of the bank are merged first and numbered anew; new
+    names are then added in their order as long as there is room.  The hierarchy has (parent, name) of
+    those added that have a parent.
+    """
+    fresh = new.dropDuplicates(["name"]).join(bank.select("name"), "name", "left_anti")
+    if bank.count() + fresh.count() > capacity:
+        bank = ranked(merged_concepts(bank, threshold), F.col("id"), name="n").select((F.col("n") - 1).cast("int").alias("id"), "name", "vec")
+    top = bank.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
+    added = ranked(fresh, F.col("name"), name="n").withColumn("id", (F.col("n") + top).cast("int")).where(F.col("id") < capacity)
+    return bank.select(F.col("id").cast("int").alias("id"), "name", "vec").unionByName(added.select("id", "name", "vec")), added.where("parent is not null").select("parent", "name")
+
+
 def moved_embedding(old: Column | str, new: Column | str, rate: float = 0.1) -> Column:
     """The weighted mean of an old and a new vector, at unit length."""
     mean = F.zip_with(old, new, lambda x, y: x * (1 - rate) + y * rate)
@@ -107,13 +164,27 @@ def moved_embedding(old: Column | str, new: Column | str, rate: float = 0.1) ->
 
 def similar_pairs(vectors: DataFrame, threshold: float, id_column: str = "id", vec: str = "vec") -> DataFrame:
     """(i, j, similarity) of all pairs i < j above a threshold."""
-    unit = vectors.select(F.col(id_column).alias("i"), F.transform(vec, lambda x: x / F.greatest(norm(vec), F.lit(1e-12))).alias("u"))
-    other = unit.select(F.col("i").alias("j"), F.col("u").alias("v"))
-    return unit.join(other, F.col("i") < F.col("j")).select("i", "j", dot("u", "v").alias("similarity")).where(F.col("similarity") > threshold)
+    bank = vectors.select(F.col(id_column).alias("_j"), F.col(vec).alias("_v"))
+    return against(vectors, bank, id_column, vec, "_j", "_v", above(threshold)).select(F.col(id_column).alias("i"), F.col("other").alias("j"), "similarity")
+
+
+def similar_concepts(vectors: DataFrame, k: int = 5, id_column: str = "id", vec: str = "vec") -> DataFrame:
+    """(of_id, id, similarity) of the ``k`` concepts most similar to each, itself excluded, ties by id."""
+    bank = vectors.select(F.col(id_column).alias("_j"), F.col(vec).alias("_v"))
+    near = against(vectors, bank, id_column, vec, "_j", "_v", greatest(k)).select(F.col(id_column).alias("of_id"), F.col("other").alias("id"), "similarity")
+    return near.withColumn("_n", F.row_number().over(Window.partitionBy("of_id").orderBy(F.col("similarity").desc(), "id"))).where(F.col("_n") <= k).drop("_n")
 
 
-def merged_concepts(vectors: DataFrame, threshold: float = 0.9, **columns: str) -> DataFrame:
-    """Concepts that stay when of each similar pair the later one goes."""
-    name = columns.get("id_column", "id")
-    gone = similar_pairs(vectors, threshold, **columns).select(F.col("j").alias(name)).distinct()
-    return vectors.join(gone, name, "left_anti")
+def merged_concepts(vectors: DataFrame, threshold: float = 0.9, id_column: str = "id", vec: str = "vec") -> DataFrame:
+    """Concepts that stay when of each similar pair the later one goes into the first one that it is similar to.
+
+    One that stays has its vector averaged with each of those that go into it in turn, in their order,
+    at unit length each time.
+    """
+    into = similar_pairs(vectors, threshold, id_column, vec).groupBy("j").agg(F.min("i").alias("i"))
+    given = into.join(vectors.select(F.col(id_column).alias("j"), F.col(vec).alias("_v")), "j").groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "_v"))).alias("_l"))
+    kept = vectors.join(into.select(F.col("j").alias(id_column)), id_column, "left_anti").join(given.select(F.col("i").alias(id_column), "_l"), id_column, "left")
+    half = lambda a, b: F.zip_with(a, b, lambda x, y: (x + y) / 2)
+    unit = lambda v: F.transform(v, lambda x: x / F.greatest(norm(v), F.lit(1e-12)))
+    folded = F.aggregate("_l", F.col(vec), lambda s, x: unit(half(s, x["_v"])))
+    return kept.withColumn(vec, F.when(F.col("_l").isNull(), F.col(vec)).otherwise(folded)).drop("_l")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernmill.functions.text import any_of, contains_any, preview
-from quernmill.operators.rules import cosine
+from quernmill.operators.blocks import against, greatest
 
 #: Similarity from which an example counts as harmful, and whether all layers are always asked.
 STRICTNESS = {"low": (0.85, False), "medium": (0.70, False), "high": (0.60, True), "maximum": (0.50, True)}
@@ -30,49 +30,52 @@ class Keywords:
     block: list[str] = field(default_factory=list)
     patterns: dict[str, list[str]] = field(default_factory=dict)
 
-    def check(self, text: str) -> Column:
-        """struct(safe, category, rules): an allowed term passes at once; blocked terms are all named; else the first pattern that matches."""
-        low = F.lower(F.col(text))
-        terms = F.filter(F.array(*[F.lit(t.lower()) for t in self.block]).cast("array<string>"), lambda t: F.contains(low, t))
-        verdict = lambda safe, category, rules: F.struct(F.lit(safe).alias("safe"), F.lit(category).alias("category"), rules.alias("rules"))
+    def judged(self, rows: DataFrame, text: str, low: str) -> DataFrame:
+        """Adds ``_k_category`` and ``_k_rules``; an allowed term passes at once, blocked terms are all named, else the first pattern that matches counts.
+
+        The columns are flat and each is computed once, however often a later step refers to it.
+        """
         none = F.array().cast("array<string>")
-        out = None
-        when = lambda c, v: F.when(c, v) if out is None else out.when(c, v)
-        if self.allow:
-            out = when(contains_any(low, [t.lower() for t in self.allow]), verdict(True, "safe", none))
-        if self.block:
-            out = when(F.size(terms) > 0, verdict(False, "unknown", F.transform(terms, lambda t: F.concat(F.lit("blocklist:"), t))))
+        terms = F.filter(F.array(*[F.lit(t.lower()) for t in self.block]).cast("array<string>"), lambda t: F.contains(F.col(low), t))
+        rows = rows.withColumn("_k_terms", terms if self.block else none)
+        found = F.when(contains_any(low, [t.lower() for t in self.allow]), "safe") if self.allow else F.when(F.lit(False), "safe")
+        found = found.when(F.size("_k_terms") > 0, "unknown")
         for category, patterns in self.patterns.items():
-            for p in patterns:
-                out = when(F.col(text).rlike(f"(?iu){p}"), verdict(False, category, F.array(F.lit(f"pattern:{category}"))))
-        safe = verdict(True, "safe", none)
-        return safe if out is None else out.otherwise(safe)
+            if patterns:
+                found = found.when(any_of([F.col(text).rlike(f"(?iu){p}") for p in patterns]), category)
+        rows = rows.withColumn("_k_category", found.otherwise("safe"))
+        named = F.when(F.col("_k_category") == "safe", none).when((F.col("_k_category") == "unknown") & (F.size("_k_terms") > 0), F.transform("_k_terms", lambda t: F.concat(F.lit("blocklist:"), t)))
+        return rows.withColumn("_k_rules", named.otherwise(F.array(F.concat(F.lit("pattern:"), "_k_category")))).drop("_k_terms")
+
+    def check(self, rows: DataFrame, text: str = "text") -> DataFrame:
+        """Adds ``safe``, ``category`` and ``rules``."""
+        out = self.judged(rows.withColumn("_low", F.lower(text)), text, "_low")
+        return out.withColumn("safe", F.col("_k_category") == "safe").withColumnsRenamed({"_k_category": "category", "_k_rules": "rules"}).drop("_low")
 
 
-def names_a_person(entity: Column) -> Column:
-    return contains_any(F.lower(entity), TITLES)
+def names_a_person(low: Column) -> Column:
+    """Whether an entity in lower case holds a title."""
+    return contains_any(low, TITLES)
 
 
-def insulted(text: str, entity: Column) -> Column:
-    """Whether an insult stands within 50 characters of an entity's first mention."""
-    low, name = F.lower(F.col(text)), F.lower(entity)
-    at = F.instr(low, name)
+def insulted(low: str, name: Column) -> Column:
+    """Whether an insult stands within 50 characters of an entity's first mention; both in lower case."""
+    at = F.instr(F.col(low), name)
     begin = F.greatest(at - 50, F.lit(1))
-    near = F.substring(low, begin, at - begin + F.length(entity) + 50)
-    return (at > 0) & contains_any(near, INSULTS)
+    near = F.substring(F.col(low), begin, at - begin + F.length(name) + 50)
+    return (at > 0) & near.rlike("|".join(INSULTS))
 
 
-def attacks_person(text: str, entities: str) -> Column:
-    return F.exists(F.coalesce(F.col(entities), F.array().cast("array<string>")), lambda e: names_a_person(e) & insulted(text, e))
+def attacks_person(low: str, entities: str) -> Column:
+    return F.exists(F.coalesce(F.col(entities), F.array().cast("array<string>")), lambda e: names_a_person(e) & insulted(low, e))
 
 
-def denigrates_group(text: str) -> Column:
-    low = F.lower(F.col(text))
+def denigrates_group(low: str) -> Column:
     return contains_any(low, GROUPS) & contains_any(low, SLURS)
 
 
-def deceives(text: str) -> Column:
-    return F.lower(F.col(text)).rlike(DECEPTIVE)
+def deceives(low: str) -> Column:
+    return F.col(low).rlike(DECEPTIVE)
 
 
 def exposes(text: str) -> Column:
@@ -81,68 +84,90 @@ def exposes(text: str) -> Column:
 
 @dataclass
 class Constraint:
-    """A named rule and what breaks it, from the text and entity columns."""
+    """A named rule and what breaks it, from the columns of the text, the text in lower case, and the entities in lower case."""
 
     name: str
     category: str
-    broken: Callable[[str, str], Column]
+    broken: Callable[[str, str, str], Column]
 
 
 CONSTRAINTS = [
-    Constraint("no_personal_attacks", "harassment", attacks_person),
-    Constraint("no_group_denigration", "hate_speech", lambda text, entities: denigrates_group(text)),
-    Constraint("no_deceptive_claims", "misinformation", lambda text, entities: deceives(text)),
-    Constraint("respect_privacy", "privacy_violation", lambda text, entities: exposes(text)),
+    Constraint("no_personal_attacks", "harassment", lambda text, low, entities: attacks_person(low, entities)),
+    Constraint("no_group_denigration", "hate_speech", lambda text, low, entities: denigrates_group(low)),
+    Constraint("no_deceptive_claims", "misinformation", lambda text, low, entities: deceives(low)),
+    Constraint("respect_privacy", "privacy_violation", lambda text, low, entities: exposes(text)),
 ]
 
 
-def ethical(text: str, entities: str, constraints: list[Constraint] = CONSTRAINTS) -> Column:
-    """struct(safe, category, rules): all that are broken, and the gravest one's category."""
-    broken = F.array_compact(F.array(*[F.when(c.broken(text, entities), F.struct(F.lit(c.name).alias("n"), F.lit(c.category).alias("c"))) for c in constraints]))
-    grade = F.array(*[F.lit(s) for s in SEVERITY])
-    ranked = F.array_sort(F.transform(broken, lambda b: F.struct(F.when(F.array_position(grade, b["c"]) > 0, F.array_position(grade, b["c"])).otherwise(99).alias("r"), b["c"].alias("c"))))
-    return F.struct((F.size(broken) == 0).alias("safe"), F.coalesce(F.get(ranked, F.lit(0))["c"], F.lit("safe")).alias("category"), F.transform(broken, lambda b: b["n"]).alias("rules"))
+def lowered(rows: DataFrame, text: str = "text", entities: str = "entities") -> DataFrame:
+    """Adds ``_low`` and ``_names``, text and entities in lower case."""
+    return rows.withColumn("_low", F.lower(text)).withColumn("_names", F.transform(entities, lambda e: F.lower(e)))
 
 
-def closest(vectors: DataFrame, harmful: DataFrame, key: str) -> DataFrame:
-    """(key, similarity, category) of the nearest harmful vector (vec, category, example); similarity 0 if none is positive.
+def broken(rows: DataFrame, constraints: list[Constraint] = CONSTRAINTS, text: str = "text", ask: Column | None = None) -> DataFrame:
+    """Adds ``_e_rules``, the names of what lowered rows break, and ``_e_category``, that of the gravest; nothing is broken where ``ask`` is false."""
+    ask = F.lit(True) if ask is None else ask
+    # the names of the broken ones, joined, are one flat column, so that nothing is evaluated twice
+    rows = rows.withColumn("_e_names", F.concat(*[F.when(ask & c.broken(text, "_low", "_names"), f"{i},").otherwise("") for i, c in enumerate(constraints)]))
+    rows = rows.withColumn("_e_places", F.filter(F.split("_e_names", ","), lambda x: x != ""))
+    name = F.array(*[F.lit(c.name) for c in constraints])
+    grade = F.array(*[F.struct(F.lit(SEVERITY.index(c.category) if c.category in SEVERITY else 99).alias("r"), F.lit(c.category).alias("c")) for c in constraints])
+    gravest = F.array_min(F.transform("_e_places", lambda i: F.get(grade, i.cast("int"))))["c"]
+    rows = rows.withColumn("_e_rules", F.transform("_e_places", lambda i: F.get(name, i.cast("int")))).withColumn("_e_category", F.coalesce(gravest, F.lit("safe")))
+    return rows.drop("_e_names", "_e_places")
 
-    The harmful examples are few and maintained by hand; they meet every row.
-    """
-    other = harmful.select(F.col("vec").alias("_h"), F.col("category").alias("_c"), F.col("example").alias("_e"))
-    rows = vectors.crossJoin(other).select(key, F.struct(cosine("vec", "_h").alias("s"), (-F.col("_e")).alias("e"), F.col("_c").alias("c")).alias("m"))
-    best = rows.groupBy(key).agg(F.max("m").alias("m"))
-    return best.select(key, F.greatest(F.col("m.s"), F.lit(0.0)).alias("similarity"), F.when(F.col("m.s") > 0, F.col("m.c")).otherwise("safe").alias("nearest"))
+
+def ethical(rows: DataFrame, constraints: list[Constraint] = CONSTRAINTS, text: str = "text", entities: str = "entities") -> DataFrame:
+    """Adds ``safe``, ``category`` and ``rules``: all constraints that are broken, and the gravest one's category."""
+    out = broken(lowered(rows, text, entities), constraints, text)
+    return out.withColumn("safe", F.size("_e_rules") == 0).withColumnsRenamed({"_e_category": "category", "_e_rules": "rules"}).drop("_low", "_names")
+
+
+HARMFUL = "example bigint, category string, vec array<double>"
+
+
+def add_harmful(spark: SparkSession, folder: str, examples: DataFrame) -> DataFrame:
+    """Appends harmful examples (example, category, vec) to those kept in a folder, and returns all."""
+    examples.select(*[F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in HARMFUL.split(", ")]).write.mode("append").parquet(folder)
+    return spark.read.schema(HARMFUL).parquet(folder)
+
+
+def closest(vectors: DataFrame, harmful: DataFrame, key: str) -> DataFrame:
+    """(key, similarity, nearest) of the nearest harmful vector (vec, category, example) to each vec; 0 and safe if none is positive."""
+    found = against(vectors, harmful, key, "vec", "example", "vec", greatest(1, other_only=False))
+    named = found.join(harmful.select(F.col("example").alias("other"), "category"), "other")
+    best = named.groupBy(key).agg(F.max(F.struct(F.col("similarity").alias("s"), (-F.col("other")).alias("e"), F.col("category").alias("c"))).alias("m"))
+    rows = vectors.select(key).join(best, key, "left")
+    return rows.select(key, F.greatest(F.coalesce("m.s", F.lit(0.0)), F.lit(0.0)).alias("similarity"), F.when(F.col("m.s") > 0, F.col("m.c")).otherwise("safe").alias("nearest"))
 
 
-def regulate(docs: DataFrame, keywords: Keywords | None = None, strictness: str = "medium", text: str = "text", entities: str = "entities") -> DataFrame:
+def regulate(docs: DataFrame, keywords: Keywords | None = None, strictness: str = "medium", text: str = "text", entities: str = "entities", constraints: list[Constraint] = CONSTRAINTS) -> DataFrame:
     """Adds ``verdict``: struct(is_safe, category, confidence, reasons, triggered_rules).
 
     Keywords, then similarity (columns similarity and nearest, if there), then constraints; a later
     layer is asked only while the text is safe, or always if strictness is high.  The last layer that
-    fails gives the category.
+    fails gives the category.  Each layer is a flat column, which the optimizer doesn't copy into all
+    that refer to it.
     """
     limit, always = STRICTNESS.get(strictness, STRICTNESS["medium"])
-    safe = F.struct(F.lit(True).alias("safe"), F.lit("safe").alias("category"), F.array().cast("array<string>").alias("rules"))
-    rows = docs.withColumn("_k", (keywords or Keywords()).check(text))
-    if "similarity" in docs.columns:
-        alike = (F.col("similarity") >= limit) & (F.lit(always) | F.col("_k.safe"))
-    else:
-        alike = F.lit(False)
+    own = "similarity" in docs.columns
+    rows = (keywords or Keywords()).judged(lowered(docs, text, entities), text, "_low")
+    passed = F.col("_k_category") == "safe"
+    alike = (F.col("similarity") >= limit) & (F.lit(always) | passed) if own else F.lit(False)
     rows = rows.withColumn("_s", F.coalesce(alike, F.lit(False)))
-    ask = F.lit(always) | (F.col("_k.safe") & ~F.col("_s"))
-    rows = rows.withColumn("_e", F.when(ask, ethical(text, entities)).otherwise(safe))
-    similarity = F.col("similarity") if "similarity" in docs.columns else F.lit(None).cast("double")
-    nearest = F.col("nearest") if "nearest" in docs.columns else F.lit(None).cast("string")
-    fine = F.col("_k.safe") & ~F.col("_s") & F.col("_e.safe")
+    rows = broken(rows, constraints, text, None if always else passed & ~F.col("_s"))
+    similarity, nearest = (F.col("similarity"), F.col("nearest")) if own else (F.lit(None).cast("double"), F.lit(None).cast("string"))
+    kept = F.size("_e_rules") == 0
+    none = F.array().cast("array<string>")
+    fine = passed & ~F.col("_s") & kept
     verdict = F.struct(
         fine.alias("is_safe"),
-        F.when(~F.col("_e.safe"), F.col("_e.category")).when(F.col("_s"), nearest).otherwise(F.col("_k.category")).alias("category"),
-        F.when(fine, 1.0).otherwise(F.greatest(F.when(~F.col("_k.safe"), 0.9), F.when(F.col("_s"), similarity), F.when(~F.col("_e.safe"), 0.8))).alias("confidence"),
-        F.array_compact(F.array(F.when(~F.col("_k.safe"), "Failed keyword filter"), F.when(F.col("_s"), "Similar to known harmful content"), F.when(~F.col("_e.safe"), F.concat(F.lit("Violated ethical constraints: "), F.array_join("_e.rules", ", "))))).alias("reasons"),
-        F.concat(F.col("_k.rules"), F.when(F.col("_s"), F.array(F.lit("semantic_similarity"))).otherwise(F.array().cast("array<string>")), F.transform("_e.rules", lambda r: F.concat(F.lit("ethical:"), r))).alias("triggered_rules"),
+        F.when(~kept, F.col("_e_category")).when(F.col("_s"), nearest).otherwise(F.col("_k_category")).alias("category"),
+        F.when(fine, 1.0).otherwise(F.greatest(F.when(~passed, 0.9), F.when(F.col("_s"), similarity), F.when(~kept, 0.8))).alias("confidence"),
+        F.array_compact(F.array(F.when(~passed, "Failed keyword filter"), F.when(F.col("_s"), "Similar to known harmful content"), F.when(~kept, F.concat(F.lit("Violated ethical constraints: "), F.array_join("_e_rules", ", "))))).alias("reasons"),
+        F.concat("_k_rules", F.when(F.col("_s"), F.array(F.lit("semantic_similarity"))).otherwise(none), F.transform("_e_rules", lambda r: F.concat(F.lit("ethical:"), r))).alias("triggered_rules"),
     )
-    return rows.withColumn("verdict", verdict).drop("_k", "_s", "_e")
+    return rows.withColumn("verdict", verdict).drop("_low", "_names", "_k_category", "_k_rules", "_s", "_e_rules", "_e_category")
 
 
 def split_safe(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,8 @@ from quernmill.functions.text import order_key
 from quernmill.session import cut
 
 ENTITY_TYPES = ["person", "location", "organization", "object", "animal", "attribute", "temporal", "quantity", "event", "concept"]
+#: Ranges of draws that a mixture counts.
+BINS = 4096
 PRIORITY = ["animal", "person", "location", "attribute", "predator"]
 
 
@@ -26,12 +28,9 @@ def ranked(rows: DataFrame, *order: Column, name: str = "n") -> DataFrame:
 
 
 def vocabulary(names: DataFrame, column: str, base: int = 0) -> DataFrame:
-    """(name, id): distinct names in their order, numbered from ``base``.
-
-    A vocabulary is assumed to fit one task's sort; duplicates go before that.
-    """
+    """(name, id): distinct names in their order, numbered from ``base``."""
     distinct = names.select(F.col(column).alias("name")).where("name is not null").distinct()
-    return distinct.select("name", (F.row_number().over(Window.orderBy("name")) - 1 + base).cast("int").alias("id"))
+    return ranked(distinct, F.col("name"), name="n").select("name", (F.col("n") - 1 + base).cast("int").alias("id"))
 
 
 def capacities(concepts: Column, relations: Column, types: Column | None = None) -> Column:
@@ -43,8 +42,8 @@ def type_map(concepts: DataFrame, most: int | None = None, priority: list[str] =
     """(concept, id) from (concept, position): the priority names that occur, in their order, then others by frequency, ties by first position."""
     rank = F.array_position(F.array(*[F.lit(p) for p in priority]), F.col("concept"))
     counted = concepts.groupBy("concept").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("first"))
-    order = Window.orderBy(F.when(rank == 0, len(priority) + 1).otherwise(rank), F.when(rank == 0, -F.col("n")), "first", "concept")
-    out = counted.select("concept", (F.row_number().over(order) - 1).cast("int").alias("id"))
+    keyed = counted.withColumn("_r", F.when(rank == 0, len(priority) + 1).otherwise(rank)).withColumn("_n", F.when(rank == 0, -F.col("n")))
+    out = ranked(keyed, F.col("_r"), F.col("_n"), F.col("first"), F.col("concept"), name="_id").select("concept", (F.col("_id") - 1).cast("int").alias("id"))
     return out.where(F.col("id") < most) if most is not None else out
 
 
@@ -57,12 +56,30 @@ def splits(rows: DataFrame, *key: str, train: float = 0.8, val: float = 0.1, see
 
 
 def mixture(rows: DataFrame, source: str, ratios: dict[str, float], *key: str, seed: str = "mix") -> DataFrame:
-    """Of each source as many rows as its ratio of the total asks for, if it has them; sources without a ratio are left out."""
+    """Of each source as many rows as its ratio of the total asks for, if it has them; sources without a ratio are left out.
+
+    The rows of a source are those with the least draws.  Draws are counted in ``BINS`` ranges first, so
+    that only the one range where a source's quota ends is ordered; the rest is kept or left as it is.
+    """
     total = rows.count()
-    most = F.create_map(*[F.lit(x) for s, r in ratios.items() for x in (s, int(total * r))])
-    chosen = rows.where(F.col(source).isin(list(ratios))).withColumn("_k", order_key(*key, seed=seed))
-    place = F.row_number().over(Window.partitionBy(source).orderBy("_k", *key))
-    return chosen.withColumn("_n", place).where(F.col("_n") <= most[F.col(source)]).drop("_n", "_k")
+    most = F.create_map(*[F.lit(x) for s, r in ratios.items() for x in (s, int(total * r))]) if ratios else F.create_map().cast("map<string,int>")
+    drawn = rows.where(F.col(source).isin(list(ratios))).withColumn("_k", order_key(*key, seed=seed)).withColumn("_b", F.floor(F.col("_k") / (2**32 // BINS)).cast("int"))
+    bins = drawn.groupBy(F.col(source).alias("_s"), F.col("_b").alias("_bin")).agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy("_s").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row a source: the range where its quota ends, and what is left of the quota there
+    last = bins.withColumn("_a", before).where((F.col("_a") < most[F.col("_s")]) & (F.col("_a") + F.col("_c") >= most[F.col("_s")]))
+    last = last.select("_s", F.col("_bin").alias("_last"), (most[F.col("_s")] - F.col("_a")).alias("_left"))
+    placed = drawn.join(F.broadcast(last), F.col(source) == F.col("_s"), "left").where((most[F.col(source)] > 0) & (F.col("_last").isNull() | (F.col("_b") <= F.col("_last"))))
+    edge = placed.where(F.col("_b") == F.col("_last"))
+    edge = edge.withColumn("_n", F.row_number().over(Window.partitionBy(source).orderBy("_k", *key))).where(F.col("_n") <= F.col("_left"))
+    inside = placed.where(F.col("_last").isNull() | (F.col("_b") < F.col("_last")))
+    return inside.select(*rows.columns).unionByName(edge.select(*rows.columns))
+
+
+def distinct_names(samples: DataFrame, *columns: str) -> DataFrame:
+    """(kind, name) of the distinct names of some columns."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("name")) for c in columns]))
+    return samples.select(kinds.alias("x")).select("x.*").where("name is not null").distinct()
 
 
 def batches(rows: DataFrame, size: int, *key: str, seed: str = "batch") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quernmill.functions import text as T
 from quernmill.operators import conversion as C
+from quernmill.operators import stages
 from quernmill.session import table
 
 QUERIES = {}
@@ -73,22 +74,27 @@ def affirmation(spark, sf_dir):
     return sentences(spark, sf_dir).select("conv_id", "turn", T.affirmation("text").alias("response"))
 
 
-@query(
-    "p7_expand_entries",
-    f"""with c as (select *, case when role = 'user' then 1 else 0 end as r from {_stripped.format('conversations')}),
+EXPANDED_SQL = f"""with c as (select *, case when role = 'user' then 1 else 0 end as r from {_stripped.format('conversations')}),
  e as (select *, r = 1 and not {_is_question_sql} as split from c)
  select conv_id, turn, 'statement' as form, text, 0 as should_respond, null::varchar as response from e where split
  union all select conv_id, turn, 'question', {_question_sql}, 1, 'Yes, ' || regexp_replace(lower(text), '\\.+$', '') || '.' from e where split
- union all select conv_id, turn, 'as_is', text, r, null from e where not split""",
-)
+ union all select conv_id, turn, 'as_is', text, r, null from e where not split"""
+
+
+def _samples(spark, sf_dir) -> DataFrame:
+    """Turns as samples without entities."""
+    return sentences(spark, sf_dir).select("conv_id", "turn", "text", F.array().cast("array<string>").alias("entities"), F.array().cast(C.SPANS).alias("entity_spans"), F.when(F.col("role") == "user", 1).otherwise(0).alias("should_respond"), F.lit(None).cast("string").alias("response"))
+
+
+@query("p7_expand_entries", EXPANDED_SQL)
 def expand_entries(spark, sf_dir):
-    rows = sentences(spark, sf_dir).select("conv_id", "turn", "text", F.array().cast("array<string>").alias("entities"), F.array().cast(C.SPANS).alias("entity_spans"), F.when(F.col("role") == "user", 1).otherwise(0).alias("should_respond"), F.lit(None).cast("string").alias("response"))
-    return C.expand_entries(rows).select("conv_id", "turn", "form", "text", "should_respond", "response")
+    return C.expand_entries(_samples(spark, sf_dir)).select("conv_id", "turn", "form", "text", "should_respond", "response")
 
 
 @query("p5_recalculated_spans")
 def recalculated_spans(spark, sf_dir):
-    rows = sentences(spark, sf_dir).where("role = 'user'").select("conv_id", "turn", T.statement_to_question("text").alias("question"), F.slice(T.words("text"), 1, 3).alias("entities"), F.array().cast(C.SPANS).alias("original"))
+    """The spans, in its question, of each name of a turn."""
+    rows = sentences(spark, sf_dir).select("conv_id", "turn", T.statement_to_question("text").alias("question"), T.capitalised_words("text").alias("entities"), F.array().cast(C.SPANS).alias("original"))
     return rows.select("conv_id", "turn", F.posexplode(T.recalculated_spans("question", "entities", "original")).alias("place", "span")).select("conv_id", "turn", "place", "span.start", "span.end")
 
 
@@ -165,8 +171,9 @@ def graph_questions(spark, sf_dir):
     "select c_custkey, arg_min(o_orderpriority, o_orderkey) as relation from customer left join orders on c_custkey = o_custkey group by 1",
 )
 def first_relation(spark, sf_dir):
-    first = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min_by("o_orderpriority", "o_orderkey").alias("relation"))
-    return table(spark, sf_dir, "customer").join(first, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "relation")
+    triples = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject"), F.lit(1).alias("object"), F.col("o_orderpriority").alias("relation"), F.col("o_orderkey").alias("position"))
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject"), F.lit(1).alias("object"))
+    return C.find_relations(asked, triples).select(F.col("subject").alias("c_custkey"), "relation")
 
 
 def pairs(spark, sf_dir) -> DataFrame:
@@ -191,7 +198,7 @@ def instructions(spark, sf_dir):
 
 @query("p18_instruction_pairs", f"select conv_id, turn, instruction, response, nullif(context, '') as context from {PAIRS_SQL} where instruction <> '' and response <> ''")
 def instruction_pairs(spark, sf_dir):
-    return pairs(spark, sf_dir).where("instruction <> '' and response <> ''").select("conv_id", "turn", "instruction", "response", F.nullif("context", F.lit("")).alias("context"))
+    return stages.instruction_projection(pairs(spark, sf_dir)).select("conv_id", "turn", "instruction", "response", "context")
 
 
 def _markup(spark, sf_dir):
@@ -235,7 +242,7 @@ def find_span(spark, sf_dir):
 @query("p17_entity_samples", "select p_partkey, p_name as text, [p_brand, p_type] as entities, [['brand'], ['type']] as concepts from part")
 def entity_samples(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("text"), F.array("p_brand", "p_type").alias("entities"), F.array(F.lit("brand"), F.lit("type")).alias("entity_types"))
-    return rows.select("p_partkey", "text", "entities", F.transform("entity_types", lambda t: F.array(t)).alias("concepts"))
+    return stages.entity_projection(rows)
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quernmill.operators import conversion as C
@@ -29,16 +30,38 @@ def registry(spark, sf_dir):
 
 @query("s4_local_json", "select title, n from (select n_name as title, 4::int as n from nation where exists (select 1 from supplier where s_nationkey = n_nationkey))")
 def local_json(spark, sf_dir):
+    """Documents from files of one JSON list over many lines, one of which is broken."""
     from quernmill.plans.conversion import _documents
 
     folder = shared_folder(spark)
-    _documents(spark, sf_dir).write.json(folder)
-    return C.document_relations(spark.read.schema(R.DOCUMENT).json(folder)).select("title", F.size("entities").alias("n"))
+    rows = _documents(spark, sf_dir)
+    lists = rows.groupBy(F.length("title").alias("k")).agg(F.collect_list(F.struct(*rows.columns)).alias("l")).select("k", F.to_json("l", {"pretty": "true"}).alias("value"))
+    lists.unionByName(spark.createDataFrame([(0, '[{"title": "broken", ')], "k int, value string")).write.partitionBy("k").text(folder)
+    return R.load(spark, "documents", f"{folder}/*").select("title", F.size("entities").alias("n"))
 
 
-@query("s6_triplet_set", f"select s_suppkey, 2::int as n from {_markup_sql}")
+def _dealt(rows, spark):
+    """Rows as JSON lines over several files, in an order that file names and lines tell."""
+    folder = shared_folder(spark)
+    rows.write.json(folder)
+    return folder
+
+
+@query("s5_capped_raw_rows", f"select instruction, response from (select *, row_number() over (order by conv_id, turn) as n from {PAIRS_SQL}) where n <= 40 and n % 3 <> 0 and instruction <> '' and response <> ''")
+def capped_raw_rows(spark, sf_dir):
+    """The first forty raw rows, of which every third lacks a response."""
+    rows = pairs(spark, sf_dir).orderBy("conv_id", "turn")
+    n = F.row_number().over(Window.orderBy("conv_id", "turn"))
+    rows = rows.select("conv_id", "turn", "instruction", F.when(n % 3 == 0, "").otherwise(F.col("response")).alias("response")).repartitionByRange(3, "conv_id", "turn").sortWithinPartitions("conv_id", "turn")
+    return R.load(spark, "instructions", _dealt(rows.select("instruction", "response"), spark), most=40).select("instruction", "response")
+
+
+@query("s6_triplet_set", f"select text, n from (select lower(n_name) || ' hosts ' || s_name as text, 2::int as n, row_number() over (order by s_suppkey) as k from {_markup_sql} where s_suppkey % 2 = 1) where k <= 30")
 def triplet_set(spark, sf_dir):
-    return C.triplet_samples(_markup(spark, sf_dir).drop("s_name", "n_name", "r_name")).select("s_suppkey", F.size("relations").alias("n"))
+    """The first thirty converted rows of a set, half of which has no triple."""
+    rows = _markup(spark, sf_dir).repartitionByRange(3, "s_suppkey").sortWithinPartitions("s_suppkey")
+    folder = _dealt(rows.select("context", F.when(F.col("s_suppkey") % 2 == 1, F.col("triplets")).otherwise("none").alias("triplets")), spark)
+    return R.load(spark, "triplets", folder, most=30).select("text", F.size("relations").alias("n"))
 
 
 @query("s8_alpaca_rows", f"select instruction, response, nullif(context, '') as context from {PAIRS_SQL} where instruction <> '' and response <> ''")
@@ -48,22 +71,28 @@ def alpaca_rows(spark, sf_dir):
     return R.instruction_set(spark, folder)
 
 
-@query("s12_graph_data", "select count(*) as triples, 0::bigint as vectors from (select n_name from nation)")
+@query("s12_graph_data", "select (select count(*) from nation) as triples, (select count(*) from embeddings) as vectors, 0::bigint as others, (select sum(vec_id) from embeddings)::bigint as ids")
 def graph_data(spark, sf_dir):
-    folder = shared_folder(spark)
+    """Vectors and triples of one kind of graph; of another kind no triples."""
+    from quernmill.plans.streams import in_one_file, vector_lines
+
+    triples, vectors = shared_folder(spark), in_one_file(vector_lines(spark, sf_dir))
     uri = lambda c: F.struct(F.col(c).alias("uri"))
-    table(spark, sf_dir, "nation").select(uri("n_name").alias("start"), F.struct(F.lit("/r/IsA").alias("uri")).alias("rel"), uri("n_name").alias("end")).write.json(folder)
-    _, triples = R.graph_data(spark, None, folder)
-    return triples.agg(F.count(F.lit(1)).alias("triples"), F.lit(0).cast("long").alias("vectors"))
+    table(spark, sf_dir, "nation").select(uri("n_name").alias("start"), F.struct(F.lit("/r/IsA").alias("uri")).alias("rel"), uri("n_name").alias("end")).write.json(triples)
+    v, t = R.graph_data(spark, vectors, triples)
+    _, none = R.graph_data(spark, vectors, triples, "wikidata")
+    counts = t.agg(F.count(F.lit(1)).alias("triples")).crossJoin(v.agg(F.count(F.lit(1)).alias("vectors"), F.sum(F.substring("entity", 2, 20).cast("long")).alias("ids")))
+    return counts.select("triples", "vectors", F.lit(0 if none is None else 1).cast("long").alias("others"), "ids")
 
 
-@query("s15_prepared", f"select split, count(*) as n from (select case when conv_id % 5 = 0 then 'test' else 'train' end as split from {PAIRS_SQL} where instruction <> '' and response <> '') group by 1")
+@query("s15_prepared", f"select split, count(*) as n from (select case when length(instruction) % 5 = 0 then 'test' else 'train' end as split from {PAIRS_SQL} where instruction <> '' and response <> '') group by 1")
 def prepared(spark, sf_dir):
-    """Read, converted, split and saved, and read again."""
+    """Read by kind, converted, split, saved, and read again."""
     folder = shared_folder(spark)
-    rows = C.instructions(pairs(spark, sf_dir)).withColumn("split", F.when(F.col("conv_id") % 5 == 0, "test").otherwise("train"))
-    R.save_splits(rows, folder)
-    return spark.read.schema("text string, split string").json(folder).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    pairs(spark, sf_dir).select("instruction", "response", F.length("instruction").cast("string").alias("context")).write.json(folder)
+    convert = lambda rows: C.instructions(rows.withColumn("size", F.col("context").cast("int")))
+    rows = R.prepare(spark, "instructions", folder, shared_folder(spark), F.when(F.col("size") % 5 == 0, "test").otherwise("train"), convert)
+    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s17_saved_config", "select 'high' as strictness, ['bad', 'worse'] as block, ['fine'] as allow")
@@ -109,7 +138,7 @@ def added_patterns(spark, sf_dir):
     config = Z.SafetyConfig()
     config.add_pattern(r"\bthe\b", "bias")
     config.add_pattern("(broken", "bias")
-    return docs(spark, sf_dir).select("doc_id", config.keywords.check("text")["safe"].alias("safe"))
+    return config.keywords.check(docs(spark, sf_dir)).select("doc_id", "safe")
 
 
 @query("r17_valid_rules", "select o_orderkey as id from orders where o_orderkey % 20 < 16 and o_orderkey % 7 < 5")
@@ -127,20 +156,24 @@ def path_vectors(spark, sf_dir):
     return Z.path_vectors(found, vectors).select("src", "dst", "place", "entity")
 
 
-@query("m8_memory_counts", "select event_type as concept, count(*) as n from events group by 1 union all select 'none', 0")
+@query("m8_memory_counts", "select event_type as concept, count(*) filter (event_type <> 'purchase' and event_id % 3 <> 0) as n from events group by 1 union all select 'none', 0")
 def memory_counts(spark, sf_dir):
-    """Entries by concept, a concept without any kept at zero."""
-    known = table(spark, sf_dir, "events").select(F.col("event_type").alias("concept")).distinct().unionByName(spark.createDataFrame([("none",)], "concept string"))
-    counts = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("concept")).agg(F.count(F.lit(1)).alias("n"))
-    return known.join(counts, "concept", "left").select("concept", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    """Entries by concept after all purchases and a third of the rest are removed: a concept without any stays at zero."""
+    events = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("concept"))
+    known = spark.createDataFrame([("none",)], "concept string")
+    gone = F.col("event_id") % 3 == 0
+    before = Y.concept_counts(events.where(~gone), "concept", known)
+    return Y.changed_counts(before, events.where(gone), events.where(gone | (F.col("concept") == "purchase")), "concept")
 
 
-@query("m11_cleared_memory", "select event_id from events where false")
+@query("m11_cleared_memory", "select event_id, value as uncertainty from events where event_id % 7 = 0")
 def cleared_memory(spark, sf_dir):
-    return Y.reservoir(table(spark, sf_dir, "events").select("event_id"), 0, "event_id")
-
-
-@query("x8_combined_penalty", "select round(0.4 * sum(pow(a, 2)) + 0.1 * sum(abs(a)), 4) as penalty from (select c_acctbal / 1000 as a from customer)")
-def combined_penalty(spark, sf_dir):
-    a = F.col("c_acctbal") / 1000
-    return table(spark, sf_dir, "customer").agg(F.round(0.4 * F.sum(a * a) + 0.1 * F.sum(F.abs(a)), 4).alias("penalty"))
+    """A memory saved, cleared and filled again: only what came after is there."""
+    folder = shared_folder(spark)
+    events = table(spark, sf_dir, "events").select("event_id", F.col("value").alias("uncertainty"))
+    R.save_memory(events, folder)
+    none = Y.cleared(spark, folder, events.schema)
+    if not none.isEmpty():
+        raise RuntimeError("memory isn't empty")
+    events.where("event_id % 7 = 0").write.mode("append").parquet(folder)
+    return spark.read.schema(events.schema).parquet(folder)

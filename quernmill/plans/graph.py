@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quernmill.operators import graph as G
 from quernmill.plans.base import Book
-from quernmill.session import table
+from quernmill.session import shared_folder, table
 
 book = Book()
 QUERIES, SQL, query = book.queries, book.sql, book.query
@@ -62,9 +62,9 @@ def fuzzy_links(spark, sf_dir):
     return G.link(names, mapping, nodes)
 
 
-@query("k4_entity_mapping", "select distinct p_brand as name, '/c/en/' || lower(p_brand) as node from part where p_size > 5")
+@query("k4_entity_mapping", "select distinct p_brand as name, '/c/en/' || lower(p_brand) as node from part")
 def entity_mapping(spark, sf_dir):
-    part = table(spark, sf_dir, "part").where("p_size > 5")
+    part = table(spark, sf_dir, "part")
     nodes = part.select(F.concat(F.lit("/c/en/"), F.lower("p_brand")).alias("node")).distinct().withColumn("place", F.lit(0))
     none = part.limit(0).select(F.col("p_name").alias("key"), F.col("p_name").alias("node"))
     return G.link(part.select(F.col("p_brand").alias("name")), none, nodes, fuzzy=False).select("name", "node")
@@ -115,16 +115,25 @@ def verify_facts(spark, sf_dir):
     return G.verify(claims, small_triples(spark, sf_dir))
 
 
-@query("k9_count_paths", f"with e as (select * from {BOTH_SQL.format(SMALL_SQL)}) select x.src as src, y.dst as dst, count(*) as n from e x join e y on x.dst = y.src where x.src in (select r_name from region) and y.dst <> x.src group by all")
-def count_paths(spark, sf_dir):
-    region = table(spark, sf_dir, "region").select(F.col("r_name").alias("src"))
-    both = G.edges_both_ways(small_triples(spark, sf_dir))
-    a = both.join(F.broadcast(region), "src", "left_semi").select("src", F.col("dst").alias("mid"))
-    return a.join(both.select(F.col("src").alias("mid"), "dst"), "mid").where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+@query(
+    "k9_query_paths",
+    f"""with e as (select * from {BOTH_SQL.format(TRIPLES_SQL)}), ends as (select c_name as src, n_name as dst from customer, nation), p as (
+ select src, dst, rel || '>' || dst as path, 1 as steps from e join ends using (src, dst)
+ union all select x.src, y.dst, x.rel || '>' || x.dst || '|' || y.rel || '>' || y.dst, 2 from e x join e y on x.dst = y.src join ends on ends.src = x.src and ends.dst = y.dst where x.dst <> x.src and x.dst <> y.dst and y.dst <> x.src)
+ select src, dst, path, steps from p qualify row_number() over (partition by src, dst order by steps, path) <= 10""",
+)
+def query_paths(spark, sf_dir):
+    """Paths of at most two steps from every customer to every nation, over all edges; none without a graph."""
+    ends = table(spark, sf_dir, "customer").select(F.col("c_name").alias("src")).crossJoin(F.broadcast(table(spark, sf_dir, "nation").select(F.col("n_name").alias("dst"))))
+    return G.query_paths(triples(spark, sf_dir), ends, 2).unionByName(G.query_paths(None, ends))
 
 
-@query("k10_append_edges", f"select count(*) as n, count(distinct (src, rel, dst)) as n_distinct from (select * from {SMALL_SQL} union all select s_name, 'supplies', p_name from supplier join part on s_suppkey = p_partkey)")
+@query("k10_append_edges", f"select rel, count(*) as n, count(distinct (src, dst)) as n_distinct from (select * from {TRIPLES_SQL} union all select s_name, 'supplies', p_name from supplier join part on s_suppkey = p_partkey union all select * from {SMALL_SQL}) group by 1")
 def append_edges(spark, sf_dir):
+    """Relations added in two goes to a graph that is kept, one of them there before."""
+    folder = shared_folder(spark)
     supplier, part = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part")
     new = supplier.join(part, F.col("s_suppkey") == F.col("p_partkey")).select(F.col("s_name").alias("src"), F.lit("supplies").alias("rel"), F.col("p_name").alias("dst"))
-    return small_triples(spark, sf_dir).unionByName(new).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src", "rel", "dst").alias("n_distinct"))
+    G.add_relations(spark, folder, triples(spark, sf_dir))
+    kept = G.add_relations(spark, folder, G.commit(new, small_triples(spark, sf_dir)))
+    return kept.groupBy("rel").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src", "dst").alias("n_distinct"))

@@ -42,10 +42,21 @@ def entities(spark, sf_dir):
     return _entities(spark, sf_dir).select("id", "start", "end", F.col("type").cast("int").alias("type"), F.round("conf", 6).alias("conf"))
 
 
-@query("e2_entity_texts", r"""select doc_id, array_to_string(string_split(text, ' ')[1:3], ' ') as entity, length(array_to_string(string_split(text, ' ')[1:3], ' ')) as char_end from documents""")
+_tokens_sql = f"(select id, list_transform(range(1, 17), lambda i: 't' || floor(abs(vec[i]) * 1000)::int) as tokens from {VECTORS_SQL})"
+
+
+def _tokens(spark, sf_dir) -> DataFrame:
+    """Sixteen words of a vector."""
+    v = vectors(spark, sf_dir)
+    return v.select("id", F.transform(F.slice("vec", 1, 16), lambda x: F.concat(F.lit("t"), F.floor(F.abs(x) * 1000).cast("int"))).alias("tokens"))
+
+
+_texts = f"""(select e.*, array_to_string(tokens[e.start + 1:e."end" + 1], ' ') as text, case when e.start > 0 then length(array_to_string(tokens[1:e.start], ' ')) + 1 else 0 end as char_start from {_ents} e join {_tokens_sql} using (id))"""
+
+
+@query("e2_entity_texts", f'select id, start::int as start, text, char_start::int as char_start, (char_start + length(text))::int as char_end from {_texts}')
 def entity_texts(spark, sf_dir):
-    entity = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
-    return table(spark, sf_dir, "documents").select("doc_id", entity.alias("entity"), F.length(entity).cast("long").alias("char_end"))
+    return X.entity_texts(_entities(spark, sf_dir), _tokens(spark, sf_dir), "id").select("id", "start", "text", "char_start", "char_end")
 
 
 @query("e3_top_concepts", f"select id, position::int as concept, place::int as place from (select *, row_number() over (partition by id order by round(p, 9) desc, position) as place from (select id, position, max(p) as p from {CELLS_SQL} group by 1, 2)) where place <= 3 and (p >= 0.4 or place = 1)")
@@ -67,6 +78,29 @@ def relations(spark, sf_dir):
     return X.relations(_pairs(spark, sf_dir), "id", 0.3).select("id", "i", "j", F.col("type").cast("int").alias("type"), F.round("conf", 6).alias("conf"))
 
 
+_numbered = f"(select *, row_number() over (partition by id order by start, type) - 1 as n from {_texts})"
+
+
+@query(
+    "e5_extracted",
+    f"""with e as {_numbered}, r as (select x.* from {_rels} x where exists (select 1 from e where e.id = x.id and e.n = x.i) and exists (select 1 from e where e.id = x.id and e.n = x.j)),
+ c as (select id, position, row_number() over (partition by id order by p desc, position) as place, p from (select id, position, max(p) as p from {CELLS_SQL} group by 1, 2))
+ select v.id, (select coalesce(list(text order by n), []) from e where e.id = v.id) as entities, (select list(position::int order by place) from c where c.id = v.id and place <= 3) as concepts, (select coalesce(list([i::int, j::int, type::int] order by i, j), []) from r where r.id = v.id) as relations from {VECTORS_SQL} v""",
+)
+def extracted(spark, sf_dir):
+    """Entities, concepts and relations of each sample in one go."""
+    c = cells(spark, sf_dir)
+    concepts = c.groupBy("id", F.col("position").alias("concept")).agg(F.max("p").alias("p"))
+    rows = X.extract(_tokens(spark, sf_dir), c.select("id", "position", "class", "p"), concepts, _pairs(spark, sf_dir), "id", 0.3, 0.3, 2)
+    return rows.select("id", F.transform("entities", lambda e: e["text"]).alias("entities"), "concepts", F.transform("relations", lambda r: F.array(r["i"].cast("int"), r["j"].cast("int"), r["type"].cast("int"))).alias("relations"))
+
+
+@query("b1_padded_batches", "with p as (select p_partkey, p_partkey // 64 as batch, list_transform(string_split(p_name, ' '), lambda w: length(w)::int) as ids from part), m as (select *, max(len(ids)) over (partition by batch) as n from p) select p_partkey, list_concat(ids, list_transform(range(n - len(ids)), lambda x: 0::int)) as ids, list_concat(list_transform(ids, lambda x: 1::int), list_transform(range(n - len(ids)), lambda x: 0::int)) as attention from m")
+def padded_batches(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.floor(F.col("p_partkey") / 64).alias("batch"), F.transform(F.split("p_name", " "), lambda w: F.length(w)).alias("ids"))
+    return X.padded(rows, "batch", "ids").select("p_partkey", "ids", "attention")
+
+
 _labels = f"""(with e as (select id, row_number() over (partition by id order by start) - 1 as n, conf from {_ents}), s as (select *, row_number() over (partition by id order by n) - 1 as k from e where conf >= 0.4),
  r as (select x.id, count(*) as n_relations from {_rels} x join s a on a.id = x.id and a.n = x.i join s b on b.id = x.id and b.n = x.j group by 1)
  select id, count(*) as n_entities, coalesce(max(n_relations), 0) as n_relations, avg(conf) as confidence from s left join r using (id) group by id having count(*) >= 2)"""
@@ -161,35 +195,76 @@ def top_nodes(spark, sf_dir):
     return L.top_nodes(cells(spark, sf_dir).select("id", "position", F.col("x").alias("p")), "id", 5).select("id", "position", F.col("place").cast("int").alias("place"))
 
 
-@query("l6_node_types", f"select id, class::int as class, round(avg(p), 6) as p from {CELLS_SQL} group by all")
+@query(
+    "l6_node_types",
+    f"""with n as (select id, position, place - 1 as node from (select *, row_number() over (partition by id order by score desc, position) as place from (select id, position, max(x) as score from {CELLS_SQL} group by 1, 2)) where place <= 5),
+ g as (select id, node, class, coalesce(x, 0) as x from (select id, k as node, c as class from {VECTORS_SQL}, range(7) a(k), range(4) b(c)) left join (select n.id, node, class, x from n join {CELLS_SQL} c on c.id = n.id and c.position = n.position) using (id, node, class))
+ select id, node::int as node, class::int as class, round(exp(x) / sum(exp(x)) over (partition by id, node), 6) as p from g""",
+)
 def node_types(spark, sf_dir):
-    return cells(spark, sf_dir).groupBy("id", "class").agg(F.round(F.avg("p"), 6).alias("p"))
+    """Type probabilities of the five best nodes, and of two that only fill up."""
+    c = cells(spark, sf_dir)
+    nodes = L.top_nodes(c.select("id", "position", F.col("x").alias("p")), "id", 5)
+    return L.node_types(c.select("id", "position", "class", "x"), nodes, "id", 7).select("id", "node", "class", F.round("p", 6).alias("p"))
+
+
+#: Layers (weights by output, bias) of a scorer over two vectors of two numbers, and of graph networks without and with a relation's.
+SCORER = [([[1.0, -2.0, 0.5, 1.5], [-1.0, 0.3, 2.0, -0.7], [0.2, 0.4, -0.6, 0.8]], [0.1, -0.2, 0.05]), ([[30.0, -20.0, 10.0], [-15.0, 25.0, 40.0]], [0.5, -0.25])]
+PAIR = [([[0.5, -1.0, 1.5, 0.25], [1.0, 0.75, -0.5, 2.0]], [0.1, 0.2]), ([[1.0, -0.5], [0.3, 1.2]], [0.05, -0.1])]
+PAIR2 = [([[-0.4, 0.9, 0.6, -1.1], [0.7, 0.2, 1.3, -0.8]], [0.0, 0.3]), ([[0.8, 0.4], [-1.0, 0.6]], [0.2, 0.1])]
+TRIPLE = [([[0.5, -1.0, 1.5, 0.25, 0.7], [1.0, 0.75, -0.5, 2.0, -0.9]], [0.1, 0.2]), ([[1.0, -0.5], [0.3, 1.2]], [0.05, -0.1])]
+
 
+def _dense_sql(xs: list[str], layer, act: bool) -> list[str]:
+    out = ["(" + " + ".join(f"{x} * {w}" for x, w in zip(xs, ws, strict=True)) + f" + {b})" for ws, b in zip(*layer, strict=True)]
+    return [f"greatest({x}, 0)" for x in out] if act else out
 
-@query("l7_pair_scores", f"with t as (select id, l as position, vec[l * 4 + 1:l * 4 + 4] as v from {VECTORS_SQL}, range(16) b(l)) select a.id, a.position::int as i, b.position::int as j, round(greatest(-0.01, least(0.01, list_dot_product(a.v, b.v))), 6) as score from t a join t b on a.id = b.id and a.position < b.position")
+
+@query(
+    "l7_pair_scores",
+    f"""with t as (select id, l as position, 60 * vec[l * 2 + 1] as a, 60 * vec[l * 2 + 2] as b from {VECTORS_SQL}, range(6) b(l)), p as (select x.id, x.position as i, y.position as j, greatest(-4, least(4, x.a)) as f1, greatest(-4, least(4, x.b)) as f2, greatest(-4, least(4, y.a)) as f3, greatest(-4, least(4, y.b)) as f4 from t x join t y on x.id = y.id and x.position < y.position),
+ h as (select id, i, j, {', '.join(f'{x} as h{k}' for k, x in enumerate(_dense_sql(['f1', 'f2', 'f3', 'f4'], SCORER[0], True)))} from p) select id, i::int as i, j::int as j, [{', '.join(f'round(greatest(-50, least(50, {x})), 6)' for x in _dense_sql(['h0', 'h1', 'h2'], SCORER[1], False))}] as scores from h""",
+)
 def pair_scores(spark, sf_dir):
-    nodes = vectors(spark, sf_dir).select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice("vec", i * 4 + 1, F.lit(4)))).alias("position", "vec"))
-    return L.pair_scores(nodes, "id", 0.01).select("id", "i", "j", F.round("score", 6).alias("score"))
+    """A scorer over the vectors of both nodes, features clamped to 4 and scores to 50."""
+    nodes = vectors(spark, sf_dir).select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.transform(F.slice("vec", i * 2 + 1, F.lit(2)), lambda x: 60 * x))).alias("position", "vec"))
+    return L.pair_scores(nodes, "id", SCORER, 4.0).select("id", "i", "j", F.transform("scores", lambda x: F.round(x, 6)).alias("scores"))
 
 
-def _messages(spark, sf_dir, how):
-    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
-    nodes = customer.select(F.concat(F.lit("c"), "c_custkey").alias("node"), F.col("c_acctbal").alias("value")).unionByName(nation.select(F.concat(F.lit("n"), "n_nationkey").alias("node"), F.lit(0.0).alias("value")))
-    edges = customer.select(F.concat(F.lit("c"), "c_custkey").alias("src"), F.concat(F.lit("n"), "c_nationkey").alias("dst"))
-    return L.pass_messages(nodes, edges, how).select("node", F.round("message", 4).alias("message"))
+_nodes_sql = f"(select id, l as node, vec[l * 2 + 1] as a, vec[l * 2 + 2] as b from {VECTORS_SQL}, range(4) b(l))"
+_edges_sql = f"(select id, x as src, y as dst, vec[20 + x * 4 + y] as r from {VECTORS_SQL}, range(4) p(x), range(4) q(y) where vec[20 + x * 4 + y] > 0)"
 
 
-_messages_sql = "select 'n' || n_nationkey as node, round(coalesce({0}(c_acctbal), 0), 4) as message from nation left join customer on c_nationkey = n_nationkey group by n_nationkey union all select 'c' || c_custkey, 0.0 from customer"
+def _graph(spark, sf_dir):
+    """Four nodes of two numbers a vector, and edges where other of its numbers are above 0, with these as relations."""
+    v = vectors(spark, sf_dir)
+    nodes = v.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("vec", i * 2 + 1, F.lit(2)))).alias("node", "vec"))
+    edges = v.select("id", F.posexplode(F.slice("vec", 20, 16)).alias("k", "r")).where("r > 0")
+    return nodes, edges.select("id", F.floor(F.col("k") / 4).cast("int").alias("src"), (F.col("k") % 4).alias("dst"), F.array("r").alias("relation"))
 
 
-@query("l8_mean_messages", _messages_sql.format("avg"))
+def _round_sql(nodes: str, layers, how: str) -> str:
+    inputs = ["u.a", "u.b", "v.a", "v.b"] + (["e.r"] if len(layers[0][0][0]) == 5 else [])
+    sent = f"(select e.id, src as node, {', '.join(f'{x} as h{k}' for k, x in enumerate(_dense_sql(inputs, layers[0], True)))} from {_edges_sql} e join {nodes} u on u.id = e.id and u.node = src join {nodes} v on v.id = e.id and v.node = dst)"
+    m = _dense_sql(["h0", "h1"], layers[1], False)
+    by = "/ 4" if how == "mean" else ""
+    got = f"(select id, node, sum({m[0]}) {by} as ma, sum({m[1]}) {by} as mb from {sent} group by 1, 2)"
+    added = f"(select n.id, n.node, n.a + coalesce(ma, 0) as a, n.b + coalesce(mb, 0) as b from {nodes} n left join {got} g on g.id = n.id and g.node = n.node)"
+    return f"(select id, node, (a - (a + b) / 2) / sqrt(pow((a - b) / 2, 2) + 1e-5) as a, (b - (a + b) / 2) / sqrt(pow((a - b) / 2, 2) + 1e-5) as b from {added})"
+
+
+@query("l8_mean_messages", f"select id, node::int as node, [round(a, 5), round(b, 5)] as vec from {_round_sql(_round_sql(_nodes_sql, PAIR, 'mean'), PAIR2, 'mean')}")
 def mean_messages(spark, sf_dir):
-    return _messages(spark, sf_dir, "mean")
+    """Two rounds of averaged messages over masked edges."""
+    nodes, edges = _graph(spark, sf_dir)
+    return L.message_passing(nodes, edges.drop("relation"), "id", [PAIR, PAIR2]).select("id", "node", F.transform("vec", lambda x: F.round(x, 5)).alias("vec"))
 
 
-@query("l9_sum_messages", _messages_sql.format("sum"))
+@query("l9_sum_messages", f"select id, node::int as node, [round(a, 5), round(b, 5)] as vec from {_round_sql(_nodes_sql, TRIPLE, 'sum')}")
 def sum_messages(spark, sf_dir):
-    return _messages(spark, sf_dir, "sum")
+    """A round of summed messages that know the relation of their edge."""
+    nodes, edges = _graph(spark, sf_dir)
+    return L.message_passing(nodes, edges, "id", [TRIPLE], "sum").select("id", "node", F.transform("vec", lambda x: F.round(x, 5)).alias("vec"))
 
 
 @query("l10_pair_index", "select a.n_nationkey as i, b.n_nationkey as j, (row_number() over (order by a.n_nationkey, b.n_nationkey) - 1)::int as place from nation a join nation b on a.n_nationkey < b.n_nationkey")
@@ -206,9 +281,18 @@ def token_labels(spark, sf_dir):
     return X.token_labels(spans, "id", 8, 6)
 
 
-@query("l12_cross_entropy", f"select position::int as position, round(avg(-ln(greatest(p, 1e-12))), 6) as loss from {CELLS_SQL} where class = position % 4 group by 1")
-def cross_entropy(spark, sf_dir):
-    return cells(spark, sf_dir).where("class = position % 4").groupBy("position").agg(F.round(F.avg(L.cross_entropy("p")), 6).alias("loss"))
+_label = "case when (id + position) % 5 = 0 then -100 else (id + position) % 4 end"
+
+
+@query("l12_losses", f"with e as (select 0.5 * avg(-ln(greatest(p, 1e-12))) as loss from {CELLS_SQL} where class = {_label}), c as (select 2.0 * avg(-ln(greatest(p, 1e-12))) as loss from {CELLS_SQL} where position = 0 and class = id % 4) select part, round(loss, 6)::double as loss from (select 'entity' as part, loss from e union all select 'concept', loss from c union all select 'total', e.loss + c.loss from e, c)")
+def losses(spark, sf_dir):
+    """Weighted losses of tokens, some labels ignored, and of concepts; a part without labels is left out; and their sum."""
+    c = cells(spark, sf_dir).select("id", "position", "class", "p")
+    at = F.col("id") + F.col("position")
+    labels = c.select("id", "position").distinct().withColumn("label", F.when(at % 5 == 0, L.IGNORED).otherwise(at % 4))
+    concept = c.where("position = 0").select("id", "class", "p")
+    parts = {"entity": L.mean_cross_entropy(c, labels, "id", "position"), "concept": L.mean_cross_entropy(concept, concept.select("id").distinct().withColumn("label", F.col("id") % 4), "id"), "lm": L.mean_cross_entropy(c, labels.withColumn("label", F.lit(L.IGNORED)), "id", "position")}
+    return L.total_loss(parts, {"entity": 0.5, "concept": 2.0}).select("part", F.round("loss", 6).alias("loss"))
 
 
 _rules_sql = "(select * from (values (1, 0, 1, 2, 1.0::double, 1), (2, 1, 1, 3, 0.5, -1), (3, 2, 3, 0, 2.0, 1)) r(rule_id, a, b, r, weight, polarity))"
@@ -244,7 +328,26 @@ def path_importance(spark, sf_dir):
     return L.path_importance(rows).select("parameter", F.round("omega", 6).alias("omega"))
 
 
-@query("x7_distillation", f"with s as (select id, list_transform(range(1, 5), lambda k: exp(vec[k])) as a, list_transform(range(5, 9), lambda k: exp(vec[k])) as b from {VECTORS_SQL}), p as (select id, list_transform(a, lambda x: x / list_sum(a)) as p, list_transform(b, lambda x: x / list_sum(b)) as q from s) select id, round(4 * list_sum(list_transform(range(1, 5), lambda k: p[k] * (ln(p[k] + 1e-10) - ln(q[k] + 1e-10)))), 6) as loss from p")
+_soft = lambda at, t: f"list_transform(range({at}, {at + 4}), lambda k: exp(vec[k] / {t}) / (exp(vec[{at}] / {t}) + exp(vec[{at + 1}] / {t}) + exp(vec[{at + 2}] / {t}) + exp(vec[{at + 3}] / {t})))"
+_distilled = f"(select 0.5 * (4 * avg(list_sum(list_transform(range(1, 5), lambda k: p[k] * (ln(p[k]) - ln(q[k]))))) + sum(list_sum(list_transform(range(1, 5), lambda k: pow(c[k] - d[k], 2)))) / (4 * count(*))) as penalty from (select {_soft(1, 2.0)} as p, {_soft(5, 2.0)} as q, {_soft(9, 1.0)} as c, {_soft(13, 1.0)} as d from {VECTORS_SQL}))"
+
+
+def _distillation(spark, sf_dir):
+    rows = vectors(spark, sf_dir).select(F.slice("vec", 1, 4).alias("t"), F.slice("vec", 5, 4).alias("s"), M.softmax(F.slice("vec", 9, 4)).alias("c"), M.softmax(F.slice("vec", 13, 4)).alias("d"))
+    return L.distillation(rows, "t", "s", "c", "d")
+
+
+@query("x7_distillation", f"select round(penalty, 6) as penalty from {_distilled}")
 def distillation(spark, sf_dir):
-    rows = vectors(spark, sf_dir).select("id", M.softmax(F.slice("vec", 1, 4)).alias("p"), M.softmax(F.slice("vec", 5, 4)).alias("q"))
-    return rows.select("id", F.round(L.distillation("p", "q"), 6).alias("loss"))
+    return _distillation(spark, sf_dir).select(F.round("penalty", 6).alias("penalty"))
+
+
+@query("x8_combined_penalty", f"select round((select 0.4 * sum(abs(vec[1]) * pow(vec[2] - vec[3], 2)) from {VECTORS_SQL}) + (select 0.2 * sum(omega * pow(label, 2)) from (select label, sum(-vec[1] * vec[2]) / (pow(sum(vec[2]), 2) + 0.1) as omega from {VECTORS_SQL} group by 1)) + (select penalty from {_distilled}), 5) as penalty")
+def combined_penalty(spark, sf_dir):
+    """All three penalties, the second by the importance of what was passed."""
+    rows = vectors(spark, sf_dir)
+    at = lambda k: F.get("vec", F.lit(k))
+    ewc = L.ewc_penalty(rows.select(F.abs(at(0)).alias("fisher"), at(1).alias("now"), at(2).alias("best")), 0.4)
+    omega = L.path_importance(rows.select(F.col("label").alias("parameter"), at(0).alias("gradient"), at(1).alias("delta")))
+    si = L.path_penalty(omega.select("omega", F.col("parameter").alias("now"), F.lit(0).alias("best")), 0.2)
+    return L.combined_penalty(ewc=ewc, si=si, lwf=_distillation(spark, sf_dir), none=None).select(F.round("penalty", 5).alias("penalty"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernmill.functions import text as T
+from quernmill.operators import facade as Z
 from quernmill.operators import memory as Y
 from quernmill.operators import metrics as M
 from quernmill.plans.base import Book
@@ -27,7 +28,7 @@ _bleu = f"""with p as (select conv_id, turn, {_tokens.format('response')} as r,
 
 
 def _scored(spark, sf_dir) -> DataFrame:
-    return M.bleu(instruction_pairs(spark, sf_dir), "response", "instruction", "conv_id", "turn")
+    return M.bleu(instruction_pairs(spark, sf_dir), "response", "instruction")
 
 
 @query("v1_bleu", _bleu)
@@ -55,26 +56,43 @@ def entity_f1(spark, sf_dir):
     return rows.select("conv_id", "turn", M.entity_f1("r", "h").alias("f")).select("conv_id", "turn", *[F.round(f"f.{c}", 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query("v4_evaluated", f"with b as ({_bleu}) select count(*) as n, count(*) filter (bleu > 0) as scored from b")
+def _samples(spark, sf_dir) -> DataFrame:
+    """Instruction pairs as samples: what was generated is the instruction, for every fifth nothing; entities are the response's capitalised words."""
+    rows = instruction_pairs(spark, sf_dir).withColumn("side", F.when(F.col("conv_id") % 4 == 0, "eval").otherwise("train"))
+    generated = F.when(F.col("conv_id") % 5 == 0, "").otherwise(F.col("instruction"))
+    return rows.select("conv_id", "turn", "side", F.lit(1).alias("should_respond"), "response", T.capitalised_words("response").alias("entities"), generated.alias("generated"))
+
+
+_names = r"list_filter(regexp_split_to_array(response, '\s+'), lambda x: regexp_matches(x, '^\p{Lu}') and length(x) > 1)"
+_evaluated = f"""with s as (select conv_id, turn, case when conv_id % 4 = 0 then 'eval' else 'train' end as side, conv_id % 5 = 0 as silent, instruction, {_names} as names from {PAIRS_SQL} where regexp_replace(response, '^\\s+|\\s+$', '', 'g') <> ''),
+ b as ({_bleu}), t as (select s.*, bleu, list_distinct(list_transform(names, lambda x: trim(lower(x)))) as r, list_distinct(list_transform(list_filter(names, lambda x: contains(lower(instruction), lower(x))), lambda x: trim(lower(x)))) as p from s join b using (conv_id, turn)),
+ u as (select *, case when silent then null when len(r) = 0 and len(p) = 0 then 1.0 when len(r) = 0 or len(p) = 0 then 0.0 else 2.0::double * len(list_intersect(r, p)) / (len(r) + len(p)) end::double as f1, case when not silent then bleu end as score from t)"""
+
+
+@query("v4_evaluated", f"{_evaluated} select conv_id, turn, score as bleu, round(f1, 6) as f1 from u order by conv_id, turn limit 200")
 def evaluated(spark, sf_dir):
-    return _scored(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.round("bleu", 6) > 0).alias("scored"))
+    rows = M.evaluate(_samples(spark, sf_dir), "conv_id", "turn", most=200)
+    return rows.select("conv_id", "turn", F.round("bleu", 6).alias("bleu"), F.round("entity.f1", 6).alias("f1"))
 
 
-@query("v5_mean_metrics", "select lang, round(avg(case when quality = 1 then n_chars end), 6) as mean_good, round(avg(toxic), 9) as toxic_share, count(quality) as n from documents left join labels using (doc_id) group by 1")
+@query("v5_mean_metrics", f"{_evaluated} select side, count(*) as n, round(avg(score), 5) as avg_bleu, round(avg(f1), 6) as avg_f1 from u group by 1")
 def mean_metrics(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return rows.groupBy("lang").agg(F.round(F.avg(F.when(F.col("quality") == 1, F.col("n_chars"))), 6).alias("mean_good"), F.round(F.avg("toxic"), 9).alias("toxic_share"), F.count("quality").alias("n"))
+    means = M.mean_metrics(M.evaluate(_samples(spark, sf_dir)), "side")
+    return means.select("side", "n", F.round("avg_bleu", 5).alias("avg_bleu"), F.round("avg_f1", 6).alias("avg_f1"))
 
 
-_half = T.order_key_sql("doc_id", seed="half")
+@query("v6_train_against_eval", f"{_evaluated}, m as (select avg(score) filter (side = 'train') as bt, avg(score) filter (side = 'eval') as be, avg(f1) filter (side = 'train') as ft, avg(f1) filter (side = 'eval') as fe from u) select metric, round(train, 5) as train, round(eval, 5) as eval, round(difference, 5) as difference from (select 'avg_bleu' as metric, coalesce(bt, 0) as train, coalesce(be, 0) as eval, coalesce(be, 0) - coalesce(bt, 0) as difference from m union all select 'avg_f1', coalesce(ft, 0), coalesce(fe, 0), coalesce(fe, 0) - coalesce(ft, 0) from m)")
+def train_against_eval(spark, sf_dir):
+    found = M.compared(M.mean_metrics(M.evaluate(_samples(spark, sf_dir)), "side"))
+    return found.select("metric", *[F.round(c, 5).alias(c) for c in ("train", "eval", "difference")])
 
 
-@query("v6_train_against_eval", f"with r as (select case when {_half} % 2 = 0 then 'train' else 'eval' end as side, quality, toxic from labels) select metric, round(train, 9) as train, round(eval, 9) as eval, round(train - eval, 9) as difference from (select 'quality' as metric, avg(quality) filter (side = 'train') as train, avg(quality) filter (side = 'eval') as eval from r union all select 'toxic', avg(toxic) filter (side = 'train'), avg(toxic) filter (side = 'eval') from r)")
-def train_against_eval(spark, sf_dir):
-    rows = table(spark, sf_dir, "labels").withColumn("side", F.when(T.order_key("doc_id", seed="half") % 2 == 0, "train").otherwise("eval"))
-    long = rows.select("side", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("quality", "toxic")])).alias("x")).select("side", "x.*")
-    wide = long.groupBy("metric").pivot("side", ["train", "eval"]).agg(F.avg("v"))
-    return wide.select("metric", F.round("train", 9).alias("train"), F.round("eval", 9).alias("eval"), F.round(F.col("train") - F.col("eval"), 9).alias("difference"))
+@query("v8_report", f"{_evaluated} select count(*) as n, round(avg(score), 5) as bleu from u")
+def report(spark, sf_dir):
+    """The report's means, beside its first results."""
+    rows = M.evaluate(_samples(spark, sf_dir))
+    *first, last = Z.report(rows.select("response", "generated", "bleu"))
+    return spark.createDataFrame([(rows.count(), round(last["means"]["bleu"], 5))], "n long, bleu double") if len(first) <= 3 else None
 
 
 @query(
@@ -121,17 +139,55 @@ def entropy(spark, sf_dir):
     return vectors(spark, sf_dir).select("id", M.softmax("vec").alias("p")).select("id", F.round(M.entropy("p"), 6).alias("entropy"))
 
 
-@query("u3_ensemble", f"select id, round(variance, 6) as disagreement, 0.0::double as aleatoric, round(variance, 6) as overall from {_mc}")
+#: Passes from vectors: read backwards they stand for concepts, rotated for relations, and scaled for those of an ensemble.
+
+
+def _passes_of(spark, sf_dir, scale: float = 2.0, backwards: bool = False, shift: int = 0) -> DataFrame:
+    vec = F.reverse("vec") if backwards else F.col("vec")
+    vec = F.concat(F.slice(vec, shift + 1, 64), F.slice(vec, 1, shift)) if shift else vec
+    rows = vectors(spark, sf_dir).select("id", vec.alias("vec")).select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: M.softmax(F.transform(F.slice("vec", i * 4 + 1, F.lit(4)), lambda x: scale * x)))).alias("cell", "ps"))
+    return rows.select("id", F.floor(F.col("cell") / 4).alias("pass"), (F.col("cell") % 4).alias("position"), F.posexplode("ps").alias("class", "p"))
+
+
+def _passes_sql(scale: float = 2.0, backwards: bool = False, shift: int = 0) -> str:
+    vec = "list_reverse(vec)" if backwards else "vec"
+    vec = f"list_concat({vec}[{shift + 1}:64], {vec}[1:{shift}])" if shift else vec
+    e = lambda k: f"exp({scale} * vec[s * 16 + l * 4 + {k}])"
+    return f"(select id, s as pass, l as position, k as class, {e('k + 1')} / ({e('1')} + {e('2')} + {e('3')} + {e('4')}) as p from (select id, {vec} as vec from {VECTORS_SQL}), range(4) a(s), range(4) b(l), range(4) c(k))"
+
+
+def _stats_sql(passes: str) -> str:
+    return f"(select id, avg(v) as variance, avg(t) as entropy, avg(a) as aleatoric, avg(t) - avg(a) as epistemic from (select id, position, avg(v) as v, sum(-m * ln(m + 1e-10)) as t, sum(h) as a from (select id, position, class, avg(p) as m, var_samp(p) as v, avg(-p * ln(p + 1e-10)) as h from {passes} group by all) group by 1, 2) group by 1)"
+
+
+_one = f"(select e.id, e.entropy, e.epistemic, e.aleatoric, e.variance as entity, c.variance as concept, r.variance as relation, 0.4 * e.epistemic + 0.3 * e.variance + 0.2 * c.variance + 0.1 * r.variance as overall from {_stats_sql(_passes_sql())} e join {_stats_sql(_passes_sql(backwards=True))} c using (id) join {_stats_sql(_passes_sql(shift=8))} r using (id))"
+_two = f"(select e.id, e.entropy, e.variance as epistemic, 0.0::double as aleatoric, e.variance as entity, c.variance as concept, 0.0::double as relation, e.variance as overall from {_stats_sql(_passes_sql(4.0))} e join {_stats_sql(_passes_sql(4.0, True))} c using (id))"
+
+
+def _estimated(spark, sf_dir, method: str, with_ensemble: bool = True) -> DataFrame:
+    dropout = {"entities": _passes_of(spark, sf_dir), "concepts": _passes_of(spark, sf_dir, backwards=True), "relations": _passes_of(spark, sf_dir, shift=8)}
+    ensemble = {"entities": _passes_of(spark, sf_dir, 4.0), "concepts": _passes_of(spark, sf_dir, 4.0, True)}
+    rows = M.estimate(method, dropout, ensemble if with_ensemble else None, "id")
+    return rows.select("id", *[F.round(c, 6).alias(c) for c in M.ESTIMATE])
+
+
+_all6 = _round6(*M.ESTIMATE)
+
+
+@query("u3_ensemble", f"select id, {_all6} from {_two}")
 def ensemble(spark, sf_dir):
-    rows = M.monte_carlo(passes(spark, sf_dir), "id", "position", "class", "p")
-    return rows.select("id", F.round("variance", 6).alias("disagreement"), F.lit(0.0).alias("aleatoric"), F.round("variance", 6).alias("overall"))
+    return _estimated(spark, sf_dir, "ensemble")
 
 
-@query("u4_combined", f"select id, round((0.4 * epistemic + 0.6 * variance + variance) / 2, 6) as overall, round(aleatoric, 6) as aleatoric from {_mc}")
+@query("u4_combined", f"select a.id, {', '.join(f'round(a.{c}, 6) as {c}' if c in ('aleatoric', 'relation') else f'round((a.{c} + b.{c}) / 2, 6) as {c}' for c in M.ESTIMATE)} from {_one} a join {_two} b using (id)")
 def combined(spark, sf_dir):
-    rows = M.monte_carlo(passes(spark, sf_dir), "id", "position", "class", "p")
-    v = F.col("variance")
-    return rows.select("id", F.round((M.overall(F.col("epistemic"), v, v, v) + v) / 2, 6).alias("overall"), F.round("aleatoric", 6).alias("aleatoric"))
+    return _estimated(spark, sf_dir, "combined")
+
+
+@query("u4_without_ensemble", f"select id, {_all6} from {_one}")
+def without_ensemble(spark, sf_dir):
+    """What is asked of an ensemble that isn't there is estimated by dropout."""
+    return _estimated(spark, sf_dir, "combined", False)
 
 
 @query("u5_ranked_samples", f"select id, round(entropy, 6) as entropy, row_number() over (order by round(entropy, 6) desc, id)::int as place from {_mc}")
@@ -144,7 +200,7 @@ def ranked_samples(spark, sf_dir):
 
 @query("u6_uncertain", "select event_id, value > 0.5 as uncertain from events")
 def uncertain(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", (F.col("value") > 0.5).alias("uncertain"))
+    return table(spark, sf_dir, "events").select("event_id", M.uncertain("value").alias("uncertain"))
 
 
 def _entries(spark, sf_dir) -> DataFrame:
@@ -184,12 +240,10 @@ def balanced(spark, sf_dir):
     return Y.balanced(_entries(spark, sf_dir), 1000, "concept", "event_id").select("event_id", "concept")
 
 
-@query("m7_hybrid", f"select v.id as id from {VECTORS_SQL} v join (select v.id as id, min({_dist.format('v.vec', 'm.vec')}) as d from {VECTORS_SQL} v join {_memory_sql} m on v.id <> m.id group by 1) n on v.id = n.id order by round(0.5 * (v.label / 10) + 0.5 * d, 6) desc, v.id limit 100")
+@query("m7_hybrid", f"with m as {_memory_sql}, h as (select a.id, 0.5 * (a.label / 10) + 0.5 * min({_dist.format('a.vec', 'b.vec')}) as score from m a join m b on a.id <> b.id group by a.id, a.label) select id from {VECTORS_SQL} where id not in (select id from m) and label / 10 > (select min(score) from h)")
 def hybrid(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    near = Y.nearest_distance(v.select("id", "vec"), Y.reservoir(v.select("id", "vec"), 100, "id"), "id", "vec")
-    rows = v.join(near, "id").withColumn("score", F.round(0.5 * (F.col("label") / 10) + 0.5 * F.col("distance"), 6))
-    return Y.most_uncertain(rows, 100, "score", "id").select("id")
+    v = vectors(spark, sf_dir).select("id", "vec", (F.col("label") / 10).alias("uncertainty"))
+    return Y.hybrid(v, Y.reservoir(v, 100, "id"), "id", "vec", "uncertainty").select("id")
 
 
 @query("m9_weighted_draw", f"select event_id from {_entries_sql} order by ln((({T.order_key_sql('event_id', seed='draw')}) + 0.5::double) / 4294967296.0::double) / importance desc, event_id limit 64")

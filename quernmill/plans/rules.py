@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernmill.operators import rules as R
@@ -85,11 +85,16 @@ def pruned_rules(spark, sf_dir):
     return R.prune(R.upsert(_raw_rules(spark, sf_dir), "rule_id"), 200)
 
 
-@query("r8_conflicting_rules", f"select a.concept_a, a.concept_b, a.relation, a.rule_id as first_id, b.rule_id as second_id from {_raw_sql} a join {_raw_sql} b on a.concept_a = b.concept_a and a.concept_b = b.concept_b and a.relation = b.relation and a.rule_id < b.rule_id and a.polarity = -b.polarity")
+@query("r8_conflicting_rules", f"select concept_a, concept_b, relation, count(*) filter (polarity = 1) as positive, count(*) filter (polarity = -1) as negative, min(rule_id) filter (polarity = 1) as first_positive, min(rule_id) filter (polarity = -1) as first_negative from {_raw_sql} group by all having count(distinct polarity) = 2")
 def conflicting_rules(spark, sf_dir):
     return R.conflicts(_raw_rules(spark, sf_dir))
 
 
+@query("r4_config_rows", f"select concept_a, concept_b, relation, round(weight, 9) as weight, polarity from ({_positive}) where weight > 0")
+def config_rows(spark, sf_dir):
+    return R.config_rows(R.mine_positive(pairs(spark, sf_dir), 5, 0.005)).select(*R.KEY, F.round("weight", 9).alias("weight"), "polarity")
+
+
 @query("r9_rules_for_concepts", f"select * from {_raw_sql} where concept_a = 'BUILDING' or concept_b in (select n_name from nation where n_regionkey = 1)")
 def rules_for_concepts(spark, sf_dir):
     concepts = table(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_name").alias("concept")).unionByName(spark.createDataFrame([("BUILDING",)], "concept string"))
@@ -111,28 +116,68 @@ def moved_embeddings(spark, sf_dir):
     return moved.select("id", F.transform("v", lambda x: F.round(x, 6)).alias("vec"))
 
 
-@query("r12_kept_concepts", f"with u as (select id, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) as u from {VECTORS_SQL}) select id from u where id not in (select b.id from u a join u b on a.id < b.id where list_dot_product(a.u, b.u) > 0.3)")
+_unit = "list_transform({0}, lambda x: x / greatest(sqrt(list_dot_product({0}, {0})), 1e-12))"
+
+
+@query(
+    "r12_kept_concepts",
+    f"""with recursive v as (select id, vec from {VECTORS_SQL}), p as (select b.id as j, min(a.id) as i from v a join v b on a.id < b.id where {COSINE.format('a.vec', 'b.vec')} > 0.3 group by 1),
+ l as (select i, vec, row_number() over (partition by i order by j) as n from p join v on v.id = j),
+ f as (select id, vec, 0 as n from v where id not in (select j from p) union all select f.id, {_unit.format('list_transform(list_zip(f.vec, l.vec), lambda z: (z[1] + z[2]) / 2)')}, f.n + 1 from f join l on l.i = f.id and l.n = f.n + 1)
+ select id, list_transform(arg_max(vec, n), lambda x: round(x, 5)) as vec from f group by id""",
+)
 def kept_concepts(spark, sf_dir):
-    return R.merged_concepts(vectors(spark, sf_dir), 0.3).select("id")
+    return R.merged_concepts(vectors(spark, sf_dir).drop("label"), 0.3).select("id", F.transform("vec", lambda x: F.round(x, 5)).alias("vec"))
+
+
+@query("r10_grown_bank", f"with v as (select id, vec from {VECTORS_SQL} where label = 0), w as (select id, vec from {VECTORS_SQL} where label = 1), p as (select distinct b.id as j from v a join v b on a.id < b.id where {COSINE.format('a.vec', 'b.vec')} > 0.3), k as (select id from v where id not in (select j from p)), f as (select 'w' || id as name, row_number() over (order by 'w' || id) as n from w), b as (select 'v' || id as name, (row_number() over (order by id) - 1)::int as id from k union all select name, (select count(*) from k)::int + n::int - 1 from f) select name, id, case when name like 'w%' then 'root' end as parent from b where id < 60")
+def grown_bank(spark, sf_dir):
+    """A bank that has no room for all new concepts: similar ones are merged, then new ones added up to its capacity."""
+    v = vectors(spark, sf_dir)
+    bank = v.where("label = 0").select("id", F.concat(F.lit("v"), "id").alias("name"), "vec")
+    bank, tree = R.grow_bank(bank, v.where("label = 1").select(F.concat(F.lit("w"), "id").alias("name"), "vec", F.lit("root").alias("parent")), 60, 0.3)
+    return bank.join(tree, "name", "left").select("name", "id", "parent").where("id < 60")
 
 
 @query("r13_similar_concepts", f"select a.id as of_id, b.id as id, round({COSINE.format('a.vec', 'b.vec')}, 6) as similarity from {VECTORS_SQL} a join {VECTORS_SQL} b on a.id <> b.id qualify row_number() over (partition by a.id order by {COSINE.format('a.vec', 'b.vec')} desc, b.id) <= 5")
 def similar_concepts(spark, sf_dir):
-    from pyspark.sql import Window
+    return R.similar_concepts(vectors(spark, sf_dir), 5).withColumn("similarity", F.round("similarity", 6))
 
-    v = vectors(spark, sf_dir)
-    asked = v.select(F.col("id").alias("of_id"), F.col("vec").alias("q"))
-    rows = v.join(asked, F.col("id") != F.col("of_id")).select("of_id", "id", R.cosine("q", "vec").alias("s"))
-    top = rows.withColumn("n", F.row_number().over(Window.partitionBy("of_id").orderBy(F.col("s").desc(), "id"))).where("n <= 5")
-    return top.select("of_id", "id", F.round("s", 6).alias("similarity"))
+
+def _facts_as_samples(spark, sf_dir):
+    """Facts as samples of two entities and one relation."""
+    rows = facts(spark, sf_dir)
+    one = lambda c: F.array(F.col(c))
+    rel = F.array(F.struct(F.lit(0).alias("head"), F.lit(1).alias("tail"), F.col("relation").alias("rel")), F.struct(F.lit(0).alias("head"), F.lit(9).alias("tail"), F.lit("nothing").alias("rel")))
+    return rows.select(F.array(F.concat(F.lit("order "), "sample_id"), F.col("tail_concept")).alias("entities"), F.array(one("head_concept"), one("tail_concept")).alias("concepts"), rel.alias("relations"))
+
+
+def _known(spark, sf_dir):
+    return table(spark, sf_dir, "nation").where("n_regionkey = 0").select(F.col("n_name").alias("name"), (F.row_number().over(Window.orderBy("n_name")) - 1).alias("id"))
 
 
-@query("r14_sample_updates", f"select relation, count(*) as observations, count(distinct concept_a) as heads, count(distinct concept_b) as tails, count(distinct (concept_a, concept_b)) as edges from {PAIRS_SQL} group by 1")
+_known_sql = "(select n_name as name, row_number() over (order by n_name) - 1 as id from nation where n_regionkey = 0)"
+_names_sql = f"(select head_concept as name from {FACTS_SQL} union select tail_concept from {FACTS_SQL})"
+
+
+@query(
+    "r14_sample_updates",
+    f"""select 'concept' as part, name as a, '' as b, '' as relation, id as n from (select name, id from {_known_sql} union all select name, (select count(*) from {_known_sql}) - 1 + row_number() over (order by name) from {_names_sql} where name not in (select name from {_known_sql})) where id < 20
+ union all select 'rule', concept_a, concept_b, relation, count(*) from {PAIRS_SQL} group by all having count(*) >= 3
+ union all select 'edge', '', tail_concept, relation, count(*) from {FACTS_SQL} group by all""",
+)
 def sample_updates(spark, sf_dir):
-    return pairs(spark, sf_dir).groupBy("relation").agg(F.count(F.lit(1)).alias("observations"), F.countDistinct("concept_a").alias("heads"), F.countDistinct("concept_b").alias("tails"), F.countDistinct("concept_a", "concept_b").alias("edges"))
+    """Concepts, rules and edges that all samples together give, edges counted by target."""
+    concepts, rules, edges = R.process_samples(_facts_as_samples(spark, sf_dir), _known(spark, sf_dir), 20)
+    no = F.lit("")
+    parts = concepts.select(F.lit("concept").alias("part"), F.col("name").alias("a"), no.alias("b"), no.alias("relation"), F.col("id").cast("long").alias("n"))
+    parts = parts.unionByName(rules.select(F.lit("rule").alias("part"), F.col("concept_a").alias("a"), F.col("concept_b").alias("b"), "relation", F.col("frequency").alias("n")))
+    by = edges.groupBy(F.col("dst").alias("b"), F.col("rel").alias("relation")).agg(F.count(F.lit(1)).alias("n"))
+    return parts.unionByName(by.select(F.lit("edge").alias("part"), no.alias("a"), "b", "relation", "n"))
 
 
-@query("r15_rule_statistics", f"select count(*) as rules, count(*) filter (polarity = 1) as positive, count(*) filter (polarity = -1) as negative, round(avg(confidence), 9) as mean_confidence from {_observed}")
+@query("r15_rule_statistics", f"select count(*) as rules, count(*) filter (polarity = 1) as positive, count(*) filter (polarity = -1) as negative, round(avg(confidence), 9) as mean_confidence, (select count(*) from {_names_sql}) as concepts, (select count(*) from orders join customer on o_custkey = c_custkey) as pending from {_observed}")
 def rule_statistics(spark, sf_dir):
     rules = R.observed(pairs(spark, sf_dir).withColumn("positive", F.col("sample_id") % 3 == 0), 3, 0.6)
-    return rules.agg(F.count(F.lit(1)).alias("rules"), F.count_if(F.col("polarity") == 1).alias("positive"), F.count_if(F.col("polarity") == -1).alias("negative"), F.round(F.avg("confidence"), 9).alias("mean_confidence"))
+    names = facts(spark, sf_dir).select(F.explode(F.array("head_concept", "tail_concept")).alias("name"))
+    return R.statistics(rules, names, pairs(spark, sf_dir)).withColumn("mean_confidence", F.round("mean_confidence", 9))

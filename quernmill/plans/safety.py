@@ -11,7 +11,8 @@ from quernmill.plans.base import Book, lit
 from quernmill.plans.conversion import pairs as instruction_pairs
 from quernmill.plans.conversion import PAIRS_SQL
 from quernmill.plans.rules import COSINE, VECTORS_SQL, vectors
-from quernmill.session import table
+from quernmill.operators.facade import SafetyConfig
+from quernmill.session import shared_folder, table
 
 book = Book()
 QUERIES, SQL, query = book.queries, book.sql, book.query
@@ -25,26 +26,26 @@ _category = f"case when {_allowed} then 'safe' when len({_blocked}) > 0 then 'un
 _group = f"({_any('lower(text)', S.GROUPS)} and {_any('lower(text)', S.SLURS)})"
 _deceptive = f"regexp_matches(lower(text), {lit(S.DECEPTIVE)})"
 _private = f"regexp_matches(text, {lit(S.PRIVATE)})"
-#: The entity of a document is its source's last word after a title.
-_entity = "('Dr ' || split_part(text, ' ', 1))"
-_attack = f"(strpos(lower(text), lower({{0}})) > 0 and {_any('substr(lower(text), greatest(strpos(lower(text), lower({0})) - 50, 1), strpos(lower(text), lower({0})) - greatest(strpos(lower(text), lower({0})) - 50, 1) + length({0}) + 50)', S.INSULTS)})"
+#: A text's entities are its capitalised words.
+ENTITIES = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: regexp_matches(x, '^\p{Lu}') and length(x) > 1)"
+_low, _at = "lower(text)", "strpos(lower(text), lower(e))"
+_insulted = f"({_at} > 0 and " + _any(f"substr({_low}, greatest({_at} - 50, 1), {_at} - greatest({_at} - 50, 1) + length(e) + 50)", S.INSULTS) + ")"
+_person = _any("lower(e)", S.TITLES)
+_attacks = f"(len(list_filter({ENTITIES}, lambda e: {_person} and {_insulted})) > 0)"
 
 
 def docs(spark, sf_dir) -> DataFrame:
-    """Documents with two entities: the first word, and the first word that a title's letters are in."""
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.array(F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2))).alias("entities"))
+    """Documents with their capitalised words as entities."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", T.capitalised_words("text").alias("entities"))
 
 
-_e1, _e2 = "split_part(text, ' ', 1)", "split_part(text, ' ', 2)"
-_person = lambda e: _any(f"lower({e})", S.TITLES)
-_attacks = f"(({_person(_e1)} and {_attack.format(_e1)}) or ({_person(_e2)} and {_attack.format(_e2)}))"
 _violations = f"list_filter([case when {_attacks} then 'no_personal_attacks' end, case when {_group} then 'no_group_denigration' end, case when {_deceptive} then 'no_deceptive_claims' end, case when {_private} then 'respect_privacy' end], lambda v: v is not null)"
 _ethical_category = f"case when {_group} then 'hate_speech' when {_attacks} then 'harassment' when {_deceptive} then 'misinformation' when {_private} then 'privacy_violation' else 'safe' end"
 
 
 @query("f1_keywords", f"select doc_id, ({_category}) = 'safe' as safe, {_category} as category, case when ({_category}) = 'unknown' then list_transform({_blocked}, lambda t: 'blocklist:' || t) when ({_category}) = 'safe' then [] else ['pattern:' || ({_category})] end as rules from documents")
 def keywords(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", KEYWORDS.check("text").alias("k")).select("doc_id", "k.*")
+    return KEYWORDS.check(docs(spark, sf_dir)).select("doc_id", "safe", "category", "rules")
 
 
 @query("f3_closest_harmful", f"select v.id, round(greatest(max({COSINE.format('v.vec', 'h.vec')}), 0.0), 6) as similarity from {VECTORS_SQL} v, (select * from {VECTORS_SQL} where label = 0) h where v.label <> 0 group by v.id")
@@ -54,26 +55,35 @@ def closest_harmful(spark, sf_dir):
     return S.closest(v.where("label <> 0"), harmful, "id").select("id", F.round("similarity", 6).alias("similarity"))
 
 
+@query("f4_harmful_examples", f"select vec_id as example, 'c' || label as category, len(embedding)::int as n from embeddings where label < 2")
+def harmful_examples(spark, sf_dir):
+    """Examples added in two goes and read back."""
+    folder = shared_folder(spark)
+    bank = vectors(spark, sf_dir).select(F.col("id").alias("example"), F.concat(F.lit("c"), "label").alias("category"), "vec", "label")
+    S.add_harmful(spark, folder, bank.where("label = 0"))
+    return S.add_harmful(spark, folder, bank.where("label = 1")).select("example", "category", F.size("vec").alias("n"))
+
+
 @query("f5_constraints", f"select doc_id, {_attacks} as attacks, {_group} as denigrates, {_deceptive} as deceives, {_private} as exposes from documents")
 def constraints(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", *[c.broken("text", "entities").alias(n) for c, n in zip(S.CONSTRAINTS, ("attacks", "denigrates", "deceives", "exposes"), strict=True)])
+    return S.lowered(docs(spark, sf_dir)).select("doc_id", *[c.broken("text", "_low", "_names").alias(n) for c, n in zip(S.CONSTRAINTS, ("attacks", "denigrates", "deceives", "exposes"), strict=True)])
 
 
-@query("f6_insulted", f"select doc_id, {_person(_e1)} as person, {_attack.format(_e1)} as insulted from documents")
+@query("f6_insulted", f"select doc_id, e as entity, {_person} as person, {_insulted} as insulted from (select doc_id, text, unnest(list_distinct({ENTITIES})) as e from documents)")
 def insulted(spark, sf_dir):
-    e = F.get("entities", F.lit(0))
-    return docs(spark, sf_dir).select("doc_id", S.names_a_person(e).alias("person"), S.insulted("text", e).alias("insulted"))
+    rows = docs(spark, sf_dir).select("doc_id", F.lower("text").alias("low"), F.explode(F.array_distinct("entities")).alias("entity"))
+    return rows.select("doc_id", "entity", S.names_a_person(F.lower("entity")).alias("person"), S.insulted("low", F.lower("entity")).alias("insulted"))
 
 
 @query("f10_ethical", f"select doc_id, len({_violations}) = 0 as safe, {_ethical_category} as category, {_violations} as rules from documents")
 def ethical(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", S.ethical("text", "entities").alias("e")).select("doc_id", "e.*")
+    return S.ethical(docs(spark, sf_dir)).select("doc_id", "safe", "category", "rules")
 
 
 @query("f11_own_constraint", "select doc_id, contains(text, '***') as broken from documents")
 def own_constraint(spark, sf_dir):
-    mine = S.Constraint("no_stars", "bias", lambda text, entities: F.contains(F.col(text), F.lit("***")))
-    return docs(spark, sf_dir).select("doc_id", (~S.ethical("text", "entities", [mine])["safe"]).alias("broken"))
+    mine = S.Constraint("no_stars", "bias", lambda text, low, entities: F.contains(F.col(text), F.lit("***")))
+    return S.ethical(docs(spark, sf_dir), [mine]).select("doc_id", (~F.col("safe")).alias("broken"))
 
 
 _strict = f"""(select doc_id, text, {_category} as kw, {_ethical_category} as eth, {_violations} as broken from documents)"""
@@ -89,6 +99,35 @@ def verdicts(spark, sf_dir):
     return rows.select("doc_id", "verdict.is_safe", "verdict.category", "verdict.confidence", F.size("verdict.reasons").alias("n_reasons"))
 
 
+_near = f"(select v.id as doc_id, greatest(max(sim), 0.0) as similarity, case when max(sim) > 0 then arg_max(cat, sim) else 'safe' end as nearest from (select v.id, {COSINE.format('v.vec', 'h.vec')} as sim, 'c' || h.label as cat from {VECTORS_SQL} v, (select * from {VECTORS_SQL} where label < 2) h where v.label >= 2) v group by v.id)"
+
+
+@query(
+    "f13_semantic_verdicts",
+    f"""select doc_id, kw = 'safe' and not alike and eth = 'safe' as is_safe, case when eth <> 'safe' then eth when alike then nearest else kw end as category,
+ round(case when kw = 'safe' and not alike and eth = 'safe' then 1.0 else greatest(case when kw <> 'safe' then 0.9 else 0 end, case when alike then similarity else 0 end, case when eth <> 'safe' then 0.8 else 0 end) end, 6)::double as confidence,
+ (case when kw <> 'safe' then 1 else 0 end + alike::int + case when eth <> 'safe' then 1 else 0 end)::int as n_reasons from (select *, similarity >= 0.5 as alike from {_strict} join {_near} using (doc_id))""",
+)
+def semantic_verdicts(spark, sf_dir):
+    """All three layers at the highest strictness: documents with the vector of their number, judged against two labels' vectors."""
+    v = vectors(spark, sf_dir)
+    harmful = v.where("label < 2").select("vec", F.concat(F.lit("c"), "label").alias("category"), F.col("id").alias("example"))
+    near = S.closest(v.where("label >= 2").select(F.col("id").alias("doc_id"), "vec"), harmful, "doc_id")
+    rows = S.regulate(docs(spark, sf_dir).join(near, "doc_id"), KEYWORDS, "maximum")
+    return rows.select("doc_id", "verdict.is_safe", "verdict.category", F.round("verdict.confidence", 6).alias("confidence"), F.size("verdict.reasons").alias("n_reasons"))
+
+
+@query("f17_configured", f"select category, count(*) as n, sum(is_safe::int)::bigint as safe from (select case when contains(lower(text), 'the') then 'unknown' when contains(text, '***') then 'bias' else 'safe' end as category, not contains(lower(text), 'the') and not contains(text, '***') as is_safe from documents) group by 1")
+def configured(spark, sf_dir):
+    """A configuration with a term and a constraint of its own, by its own check and statistics."""
+    config = SafetyConfig(constraints=[])
+    config.add_terms(["the"])
+    config.add_constraint("no_stars", "bias", lambda text, low, entities: F.contains(F.col(text), F.lit("***")))
+    found = config.statistics(docs(spark, sf_dir))
+    passed = config.check_batch(docs(spark, sf_dir))[0].groupBy("verdict.category").agg(F.count(F.lit(1)).alias("passed"))
+    return found.join(passed, "category", "left").select("category", "n", F.coalesce("passed", F.lit(0)).alias("safe"))
+
+
 @query("f14_safe_rows", f"select doc_id, lang from (select *, {_category} as kw, {_ethical_category} as eth from documents) where kw = 'safe' and eth = 'safe'")
 def safe_rows(spark, sf_dir):
     return S.split_safe(S.regulate(docs(spark, sf_dir), KEYWORDS, "medium"))[0].select("doc_id", "lang")
@@ -114,11 +153,12 @@ _flag = "(select conv_id, turn, instruction || chr(10) || response as text from
 
 @query(
     "flagship_instruction_safety",
-    f"select {_ethical_category.replace(_attacks, 'false')} as category, count(*) as n, count(distinct conv_id) as conversations, sum(length(text))::bigint as chars from {_flag} group by 1",
+    f"select {_ethical_category} as category, count(*) as n, count(distinct conv_id) as conversations, sum(length(text))::bigint as chars from {_flag} group by 1",
 )
 def flagship(spark, sf_dir):
     """Instruction pairs, judged and counted by category."""
     rows = instruction_pairs(spark, sf_dir).where("instruction <> '' and response <> ''")
-    rows = rows.select("conv_id", F.concat("instruction", F.lit("\n"), "response").alias("text"), F.array().cast("array<string>").alias("entities"))
+    rows = rows.select("conv_id", F.concat("instruction", F.lit("\n"), "response").alias("text"))
+    rows = rows.withColumn("entities", T.capitalised_words("text"))
     judged = S.regulate(rows, strictness="high")
     return judged.groupBy("verdict.category").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("conv_id").alias("conversations"), F.sum(F.length("text")).alias("chars"))

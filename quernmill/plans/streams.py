@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernmill.functions import text as T
+from quernmill.operators.stages import prepare_all
 from quernmill.plans.base import Book
 from quernmill.session import shared_folder, table
 from quernmill.sources import readers as S
@@ -104,14 +105,39 @@ def instruction_set(spark, sf_dir):
     return S.instruction_set(spark, folder)
 
 
-@query("s9_vectors_text", "select 'e' || vec_id as entity, list_transform(embedding, lambda x: round(x::double, 4) + 0.0::double) as vec from embeddings")
+def vector_lines(spark, sf_dir) -> DataFrame:
+    """The embeddings as lines of text (k, value), and a header with k -1."""
+    rows = table(spark, sf_dir, "embeddings")
+    lines = rows.select(F.col("vec_id").alias("k"), F.concat_ws(" ", F.concat(F.lit("e"), "vec_id"), F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double"), 4).cast("string")), " ")).alias("value"))
+    return lines.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("k"), F.lit("0 64").alias("value")))
+
+
+def in_one_file(lines: DataFrame) -> str:
+    """The folder of one text file with the lines in the order of k."""
+    folder = shared_folder(lines.sparkSession)
+    lines.repartition(1).sortWithinPartitions("k").select("value").write.text(folder)
+    return folder
+
+
+_vectors = "select 'e' || vec_id as entity, {0} as id, list_transform(embedding, lambda x: round(x::double, 4) + 0.0::double) as vec from (select *, row_number() over (order by vec_id) - 1 as n from embeddings)"
+
+
+@query("s9_vectors_text", _vectors.format("n"))
 def vectors_text(spark, sf_dir):
+    """One file, read in many splits: ids are line numbers."""
+    return S.load(spark, "vectors", in_one_file(vector_lines(spark, sf_dir))).select("entity", "id", F.transform("vec", lambda x: x + 0.0).alias("vec"))
+
+
+@query("s10_vectors_of_files", _vectors.format("3 * n + 1"))
+def vectors_of_files(spark, sf_dir):
+    """Several files with a header each; of three lines two are short, one of them of the same name."""
     folder = shared_folder(spark)
-    rows = table(spark, sf_dir, "embeddings")
-    lines = rows.select(F.concat_ws(" ", F.concat(F.lit("e"), "vec_id"), F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double"), 4).cast("string")), " ")).alias("value"))
-    header = spark.range(1).select(F.lit("0 64").alias("value"))
-    header.unionByName(lines).coalesce(1).write.text(folder)
-    return S.vectors_text(spark, folder).select("entity", F.transform("vec", lambda x: x + 0.0).alias("vec"))
+    rows = vector_lines(spark, sf_dir).where("k >= 0")
+    lines = rows.withColumn("part", F.floor(F.col("k") / 1000).cast("int")).withColumn("l", F.array(F.struct(F.lit(0).alias("o"), F.lit("short 1 2").alias("v")), F.struct(F.lit(1).alias("o"), F.col("value").alias("v")), F.struct(F.lit(2).alias("o"), F.concat(F.lit("e"), F.col("k"), F.lit(" 1")).alias("v"))))
+    lines = lines.select("part", "k", F.explode("l").alias("x")).select("part", F.struct("k", "x.o").alias("o"), F.col("x.v").alias("value"))
+    heads = lines.groupBy("part").agg(F.struct(F.lit(-1).cast("long").alias("k"), F.lit(0).alias("o")).alias("o"), F.lit("0 64").alias("value")).select("part", "o", "value")
+    heads.unionByName(lines).repartitionByRange(1, "part", "o").sortWithinPartitions("part", "o").select("part", "value").write.partitionBy("part").text(folder)
+    return S.load(spark, "vectors", f"{folder}/*").select("entity", "id", F.transform("vec", lambda x: x + 0.0).alias("vec"))
 
 
 @query("s11_graph_triples", "select '/c/en/' || lower(n_name) as src, '/r/PartOf' as rel, '/c/en/' || lower(r_name) as dst from nation join region on n_regionkey = r_regionkey")
@@ -139,8 +165,23 @@ def saved_memory(spark, sf_dir):
     return spark.read.parquet(folder)
 
 
-@query("s21_metric_log", "select event_type as tag, event_id as step, value from events")
+@query("s21_metric_log", "select event_type as tag, event_id as step, value, null::varchar as text, 'scalar' as kind from events union all select user_id::varchar, event_id, value, null, 'histogram' from events union all select 'props', event_id, null, props, 'text' from events")
 def metric_log(spark, sf_dir):
+    """Scalars, values of histograms and texts, appended to one log."""
+    folder = shared_folder(spark)
+    events = table(spark, sf_dir, "events").withColumn("step", F.col("event_id"))
+    S.write_metrics(events.select(F.col("event_type").alias("tag"), "step", "value"), folder)
+    S.write_metrics(events.select(F.col("user_id").cast("string").alias("tag"), "step", "value"), folder, "histogram")
+    S.write_metrics(events.select(F.lit("props").alias("tag"), "step", F.col("props").alias("text")), folder, "text")
+    return S.read_metrics(spark, folder).select("tag", "step", "value", "text", "kind")
+
+
+@query("s14_stage_files", "select 'one' as stage, p_name as text from part union all select 'two', c_name from customer")
+def stage_files(spark, sf_dir):
+    """Two stages saved below one folder and read as one table."""
     folder = shared_folder(spark)
-    table(spark, sf_dir, "events").select(F.col("event_type").alias("tag"), F.col("event_id").alias("step"), "value").write.partitionBy("tag").parquet(folder)
-    return spark.read.schema("step bigint, value double, tag string").parquet(folder).select("tag", "step", "value")
+    stages = {"one": table(spark, sf_dir, "part").select(F.col("p_name").alias("text")), "two": table(spark, sf_dir, "customer").select(F.col("c_name").alias("text"))}
+    counts = {r["stage"]: r["samples"] for r in prepare_all(spark, stages, folder).collect()}
+    if set(counts) != set(stages):
+        raise RuntimeError("a stage is missing")
+    return spark.read.schema("text string, stage string").json(folder).select("stage", "text")

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quernmill.functions import text as T
+from quernmill.operators import conversion as C
+from quernmill.operators import stages as G
 from quernmill.operators import vocabulary as V
 from quernmill.plans.base import FACTS_SQL, Book, facts
-from quernmill.session import table
+from quernmill.plans.conversion import EXPANDED_SQL, PAIRS_SQL, _markup, _samples, instruction_pairs, pairs
+from quernmill.session import shared_folder, table
 
 book = Book()
 QUERIES, SQL, query = book.queries, book.sql, book.query
@@ -58,9 +61,9 @@ def type_map(spark, sf_dir):
     return V.type_map(table(spark, sf_dir, "documents").select(F.col("source").alias("concept"), F.col("doc_id").alias("position")), 12, ["src3", "nowhere", "src1"])
 
 
-@query("a6_distinct_names", f"select list(distinct relation order by relation) as relations, list(distinct head_concept order by head_concept) as types from {FACTS_SQL}")
+@query("a6_distinct_names", f"select distinct 'relation' as kind, relation as name from {FACTS_SQL} union all select distinct 'head_concept', head_concept from {FACTS_SQL}")
 def distinct_names(spark, sf_dir):
-    return facts(spark, sf_dir).agg(F.array_sort(F.collect_set("relation")).alias("relations"), F.array_sort(F.collect_set("head_concept")).alias("types"))
+    return V.distinct_names(facts(spark, sf_dir), "relation", "head_concept")
 
 
 _key = T.order_key_sql("doc_id", seed="split")
@@ -79,27 +82,45 @@ def mixture(spark, sf_dir):
     return V.mixture(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", {"en": 0.3, "de": 0.5, "fr": 0.05}, "doc_id")
 
 
-@query("a9_sources_union", "select 'conversation' as source, count(*) as n, sum(length(text))::bigint as chars from conversations union all select 'document', count(*), sum(length(text))::bigint from documents union all select 'benchmark', count(*), sum(length(text))::bigint from benchmark")
+_order = T.order_key_sql("source", "key", seed="stage2")
+_conv = f"(select 'conversations' as source, conv_id || ':' || turn as key, instruction, response, nullif(context, '') as context, row_number() over (order by conv_id, turn) as n from {PAIRS_SQL} where instruction <> '' and response <> '')"
+_bench = "(select 'benchmark' as source, item_id::varchar as key, 'Say: ' || text as instruction, text as response, null::varchar as context, row_number() over (order by item_id) as n from benchmark where text <> '')"
+
+
+def _sources(spark, sf_dir):
+    """Two instruction sets with a key and an order each."""
+    conv = instruction_pairs(spark, sf_dir).select(F.concat("conv_id", F.lit(":"), "turn").alias("key"), "instruction", "response", "context", F.struct("conv_id", "turn").alias("order"))
+    bench = table(spark, sf_dir, "benchmark").where("text <> ''").select(F.col("item_id").cast("string").alias("key"), F.concat(F.lit("Say: "), "text").alias("instruction"), F.col("text").alias("response"), F.lit(None).cast("string").alias("context"), F.struct("item_id").alias("order"))
+    return {"conversations": conv, "benchmark": bench}
+
+
+@query("a9_sources_union", f"select source, key, instruction, response, context, row_number() over (order by {_order}, source, key) as place from (select * from {_conv} where n <= 150 union all select * from {_bench} where n <= 150)")
 def sources_union(spark, sf_dir):
-    parts = [table(spark, sf_dir, t).select(F.lit(n).alias("source"), "text") for t, n in (("conversations", "conversation"), ("documents", "document"), ("benchmark", "benchmark"))]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    """Stage 2: of each known source at most 150 rows, all in shuffled order; an unknown source is skipped."""
+    return G.instruction_stage(_sources(spark, sf_dir), ["conversations", "nowhere", "benchmark"], 150)
 
 
-@query("a10_stage_counts", "select lang, count(*) as samples, count(distinct source) as sources, sum(n_chars)::bigint as chars from documents group by 1")
+@query("a10_stage_counts", f"select 'entity_relation' as stage, least(30, count(*)) as samples from supplier join nation on s_nationkey = n_nationkey union all select 'instruction', (select least(150, count(*)) from {_conv}) + (select least(150, count(*)) from {_bench})")
 def stage_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("samples"), F.countDistinct("source").alias("sources"), F.sum("n_chars").alias("chars"))
+    """Both stages prepared, saved, read back and counted."""
+    folder = shared_folder(spark)
+    one = G.entity_stage(_markup(spark, sf_dir), 30, "s_suppkey")
+    two = G.instruction_stage(_sources(spark, sf_dir), ["conversations", "benchmark"], 150)
+    return G.prepare_all(spark, {"entity_relation": one.select("text", "entities", "concepts"), "instruction": two.drop("place")}, folder)
 
 
-@query("a11_convert_by_split", f"select split, role, count(*) as n from (select role, case when ({T.order_key_sql('conv_id', 'turn', seed='c')}) % 10 < 8 then 'train' else 'test' end as split from conversations) group by all")
+@query("a11_convert_by_split", f"select split, count(*) as n, sum(length(text))::bigint as chars from (select case when conv_id % 5 = 0 then 'test' else 'train' end as split, instruction || case when context <> '' and context <> instruction then chr(10) || chr(10) || 'Context: ' || context else '' end as text from {PAIRS_SQL} where instruction <> '' and response <> '') group by 1")
 def convert_by_split(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").withColumn("split", F.when(T.order_key("conv_id", "turn", seed="c") % 10 < 8, "train").otherwise("test"))
-    return rows.groupBy("split", "role").agg(F.count(F.lit(1)).alias("n"))
+    """A converter run on each split of a set."""
+    rows = pairs(spark, sf_dir)
+    splits = {"train": rows.where("conv_id % 5 <> 0"), "test": rows.where("conv_id % 5 = 0")}
+    return G.convert_splits(splits, C.instructions).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("a12_first_rows", "select conv_id, turn, role from conversations order by conv_id, turn limit 100")
+@query("a12_first_rows", f"with e as ({EXPANDED_SQL}) select conv_id, turn, form, text from e order by conv_id, turn, case form when 'question' then 1 else 0 end limit 100")
 def first_rows(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").orderBy("conv_id", "turn").limit(100).select("conv_id", "turn", "role")
+    """The first hundred samples after statements are expanded."""
+    return G.load_samples(_samples(spark, sf_dir), 100, "conv_id", "turn").select("conv_id", "turn", "form", "text")
 
 
 _batch = T.order_key_sql("doc_id", seed="batch")

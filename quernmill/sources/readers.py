@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernmill.functions.text import first_truthy
@@ -44,50 +44,79 @@ def default_samples(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, n, value) of the lines of text files, n from 0 in each file, whatever the splits they are read in.
+
+    Lines come in order within a split.  A first pass counts those of each split; the sums of what comes
+    before, one row a split, are joined to the lines.
+    """
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m")]
+    lines = spark.read.text(path).select("value", *place)
+    blocks = lines.groupBy("file", "block").agg(F.min("m").alias("first"), F.count(F.lit(1)).alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("file", "block", "first", before.alias("before"))
+    return lines.join(starts, ["file", "block"]).select("file", (F.col("m") - F.col("first") + F.col("before")).alias("n"), "value")
+
+
+def json_lines(spark: SparkSession, path: str, schema: str, most: int | None = None) -> DataFrame:
+    """Rows of JSON lines; ``most`` caps lines, the first in the order of files and lines."""
+    if most is None:
+        return spark.read.schema(schema).json(path)
+    lines = numbered_lines(spark, path).orderBy("file", "n").limit(most)
+    return lines.select(F.from_json("value", schema).alias("j")).where("j is not null").select("j.*")
+
+
 def instruction_set(spark: SparkSession, path: str, most: int | None = None, format: str = "json") -> DataFrame:
     """Rows that have instruction and response, in any of their spellings; an empty context is null.  ``most`` caps raw rows."""
-    raw = spark.read.parquet(path) if format == "parquet" else spark.read.schema(INSTRUCTION).json(path)
-    raw = raw.limit(most) if most is not None else raw
+    raw = spark.read.parquet(path) if format == "parquet" else json_lines(spark, path, INSTRUCTION, most)
+    raw = raw.limit(most) if most is not None and format == "parquet" else raw
     have = set(raw.columns)
     pick = lambda *names: first_truthy(*[n for n in names if n in have]) if have & set(names) else F.lit(None).cast("string")
     return raw.select(pick("instruction", "prompt").alias("instruction"), pick("response", "output", "completion").alias("response"), pick("context", "input").alias("context")).where("instruction is not null and response is not null")
 
 
 def triplet_set(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
-    """Samples of linearised triples; ``most`` caps converted rows."""
-    out = C.triplet_samples(spark.read.schema(MARKUP).json(path))
-    return out.limit(most) if most is not None else out
+    """Samples of linearised triples; ``most`` caps converted rows, the first in the order of files and lines."""
+    if most is None:
+        return C.triplet_samples(spark.read.schema(MARKUP).json(path))
+    rows = numbered_lines(spark, path).select("file", "n", F.from_json("value", MARKUP).alias("j")).select("file", "n", "j.*")
+    return C.triplet_samples(rows).orderBy("file", "n").limit(most).drop("file", "n")
 
 
 def document_set(spark: SparkSession, path: str) -> DataFrame:
-    return C.document_relations(spark.read.schema(DOCUMENT).option("multiLine", True).json(path))
+    """Samples of documents from JSON files that hold one list each; a file that can't be parsed is skipped."""
+    raw = spark.read.schema(DOCUMENT).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    return C.document_relations(raw.where("sents is not null"))
 
 
 def vectors_text(spark: SparkSession, path: str) -> DataFrame:
     """(entity, id, vec) from lines ``name x1 ... xd`` under a header ``n d``; short lines are skipped, ids are line numbers, so they may have gaps; the last of equal names wins.
 
-    Line numbers come from the position of each line in its file.
+    Each file has a header of its own; the lines of several files are numbered on, in the order of their paths.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("m"))
-    header = lines.orderBy("m").limit(1).select(F.split("value", " ").alias("h"), F.col("m").alias("m0"))
-    first = header.select(F.get("h", F.lit(1)).cast("int").alias("d"), "m0")
-    parts = lines.crossJoin(F.broadcast(first)).where("m > m0").withColumn("p", F.split(F.rtrim("value"), " "))
-    full = parts.where(F.size("p") >= F.col("d") + 1)
-    rows = full.select(F.get("p", F.lit(0)).alias("entity"), (F.col("m") - F.col("m0") - 1).alias("id"), F.transform(F.slice("p", F.lit(2), F.col("d")), lambda x: x.cast("double")).alias("vec"))
+    lines = numbered_lines(spark, path)
+    parts = F.split(F.trim(F.col("value")), r"\s+")
+    files = lines.groupBy("file").agg(F.count(F.lit(1)).alias("c"), F.max(F.when(F.col("n") == 0, F.get(parts, F.lit(1)))).cast("int").alias("d"))
+    earlier = F.coalesce(F.sum(F.col("c") - 1).over(Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = files.select("file", "d", earlier.alias("before"))
+    full = lines.where("n > 0").join(files, "file").withColumn("p", parts).where(F.size("p") >= F.col("d") + 1)
+    rows = full.select(F.get("p", F.lit(0)).alias("entity"), (F.col("before") + F.col("n") - 1).alias("id"), F.transform(F.slice("p", F.lit(2), F.col("d")), lambda x: x.cast("double")).alias("vec"))
     return rows.groupBy("entity").agg(F.max("id").alias("id"), F.max_by("vec", "id").alias("vec"))
 
 
-def graph_triples(spark: SparkSession, path: str, most: int | None = 50_000) -> DataFrame:
-    """(src, rel, dst) from JSON lines with start, rel and end uris; lines that aren't JSON are skipped, and ``most`` caps lines, not triples."""
-    lines = spark.read.text(path)
-    lines = lines.limit(most) if most is not None else lines
+def graph_triples(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """(src, rel, dst) from JSON lines with start, rel and end uris; lines that aren't JSON are skipped.
+
+    ``most`` caps lines, not triples: the first in the order of files and lines.
+    """
+    lines = numbered_lines(spark, path).orderBy("file", "n").limit(most) if most is not None else spark.read.text(path)
     parsed = lines.select(F.from_json("value", "start struct<uri:string>, rel struct<uri:string>, end struct<uri:string>").alias("j"))
     return parsed.select(F.col("j.start.uri").alias("src"), F.col("j.rel.uri").alias("rel"), F.col("j.end.uri").alias("dst")).where("src is not null and rel is not null and dst is not null")
 
 
-def graph_data(spark: SparkSession, vectors: str | None, triples: str | None, kind: str = "conceptnet") -> tuple[DataFrame | None, DataFrame | None]:
+def graph_data(spark: SparkSession, vectors: str | None, triples: str | None, kind: str = "conceptnet", most: int | None = None) -> tuple[DataFrame | None, DataFrame | None]:
     """Vectors and triples of a knowledge graph; triples only for one kind; what has no path is None."""
-    return (vectors_text(spark, vectors) if vectors else None), (graph_triples(spark, triples) if triples and kind == "conceptnet" else None)
+    return (vectors_text(spark, vectors) if vectors else None), (graph_triples(spark, triples, most) if triples and kind == "conceptnet" else None)
 
 
 #: Readers by kind of set; others can be added.
@@ -106,11 +135,28 @@ def save_splits(samples_: DataFrame, path: str, split: str = "split") -> None:
     samples_.write.mode("overwrite").partitionBy(split).json(path)
 
 
+def prepare(spark: SparkSession, kind: str, path: str, folder: str, split: Column, convert: Callable[[DataFrame], DataFrame] | None = None, **options) -> DataFrame:
+    """A set read by its kind, converted, split, saved below a folder, and read back."""
+    rows = load(spark, kind, path, **options)
+    rows = (convert(rows) if convert else rows).withColumn("split", split)
+    save_splits(rows, folder)
+    return spark.read.schema(rows.schema).json(folder)
+
+
+METRIC = "step bigint, value double, text string, tag string, kind string"
+
+
+def write_metrics(rows: DataFrame, path: str, kind: str = "scalar") -> None:
+    """Appends (tag, step, value or text) of one kind of metric: scalar, histogram (a row a value) or text."""
+    have = set(rows.columns)
+    pick = lambda c, t: (F.col(c) if c in have else F.lit(None)).cast(t).alias(c)
+    rows.select(pick("step", "bigint"), pick("value", "double"), pick("text", "string"), "tag", F.lit(kind).alias("kind")).write.mode("append").partitionBy("kind").parquet(path)
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(METRIC).parquet(path)
+
+
 def save_memory(rows: DataFrame, path: str) -> None:
     """Memory entries as Parquet, without vectors."""
     rows.drop("embedding").write.mode("overwrite").parquet(path)
-
-
-def first_rows(rows: DataFrame, most: int, *key: str) -> DataFrame:
-    """The first rows by key, numbered."""
-    return rows.orderBy(*key).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*key)))

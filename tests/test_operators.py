@@ -85,7 +85,8 @@ def test_rules_of_few_samples(spark):
 
 def test_opposite_rules_conflict(spark):
     rules = spark.createDataFrame([(1, "a", "b", "r", 1), (2, "a", "b", "r", -1), (3, "a", "b", "q", -1)], "rule_id int, concept_a string, concept_b string, relation string, polarity int")
-    assert [(r["first_id"], r["second_id"]) for r in R.conflicts(rules).collect()] == [(1, 2)]
+    assert [(r["first_id"], r["second_id"]) for r in R.conflicting_pairs(rules).collect()] == [(1, 2)]
+    assert [(r["first_positive"], r["first_negative"]) for r in R.conflicts(rules).collect()] == [(1, 2)]
 
 
 def test_safety_layers(spark):
@@ -115,7 +116,7 @@ def plain_bleu(reference, hypothesis):
 @given(st.lists(st.tuples(st.text("ab ", max_size=40), st.text("ab ", max_size=40)), min_size=1, max_size=12))
 def test_bleu_against_plain_python(spark, pairs):
     rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, r string, h string")
-    got = {r["i"]: r["bleu"] for r in M.bleu(rows, "r", "h", "i").collect()}
+    got = {r["i"]: r["bleu"] for r in M.bleu(rows, "r", "h").collect()}
     assert all(abs(got[i] - plain_bleu(a, b)) < 1e-9 and 0 <= got[i] <= 1 for i, (a, b) in enumerate(pairs))
 
 
