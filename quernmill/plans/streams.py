@@ -11,6 +11,7 @@ from quernmill.plans.base import Book
 from quernmill.session import shared_folder, table
 from quernmill.sources import readers as S
 from quernmill.streaming import learner as N
+from quernmill.streaming import loop as L
 
 book = Book()
 QUERIES, SQL, query = book.queries, book.sql, book.query
@@ -45,8 +46,9 @@ def text_stream(spark, sf_dir):
 @query("m1_stream_memory")
 def stream_memory(spark, sf_dir):
     """Kept arrivals by buffer, through stateful streaming."""
-    rows = event_stream(spark, sf_dir).select(F.col("event_type").alias("buffer"), "event_id", F.col("value").alias("uncertainty"), F.col("event_type").alias("concept"))
-    return _drain(N.remember(rows, 100), spark)
+    vector = F.array("value", F.sin("event_id"), F.cos("event_id"))
+    rows = event_stream(spark, sf_dir).select(F.col("event_type").alias("buffer"), "event_id", F.col("value").alias("uncertainty"), F.col("event_type").alias("concept"), vector.alias("vector"))
+    return _drain(N.remember(rows, 100, "hybrid"), spark)
 
 
 _log_sql = "(select ts::date as batch, count(*) filter (value > 0.5) as learned, count(*) as n from events group by 1)"
@@ -70,16 +72,55 @@ def evaluations(spark, sf_dir):
     return N.evaluations(_log(spark, sf_dir).withColumn("day", F.unix_date("batch")), 1000, order="day")
 
 
-@query("t4_learning_log", "select event_type, count(*) as seen, count(*) filter (value > 0.5) as learned, round(avg(case when value > 0.5 then value end), 6) as mean_uncertainty from events group by 1")
+def _labels(rows: DataFrame) -> DataFrame:
+    """A labeller that is as sure as the tens of an event's number say."""
+    return rows.withColumns({"label_entities": F.array(F.concat(F.lit("user "), "user_id")), "label_concepts": F.array(F.array(F.lit("user"))), "label_confidence": F.floor(F.col("sample_id") / 10) % 10 / 10})
+
+
+LOOP = L.Loop(labeller=_labels, memory_size=50, memory_strategy="uncertainty", rule_frequency=100, consolidate_every=1, consolidate_least=10)
+
+
+def _ran(spark, sf_dir) -> str:
+    """The folder of a loop over the events as a stream: purchases come with labels, all others are to be labelled."""
+    e = event_stream(spark, sf_dir)
+    labelled = F.col("event_type") == "purchase"
+    rel = F.array(F.struct(F.lit(0).alias("head"), F.lit(1).alias("tail"), F.lit("buys").alias("rel")))
+    rows = e.select(
+        F.col("event_id").alias("sample_id"), "user_id", F.col("props").alias("text"), F.col("value").alias("uncertainty"),
+        F.when(labelled, F.array(F.concat(F.lit("user "), "user_id"), F.lit("thing"))).alias("entities"), F.when(labelled, F.array(F.array(F.lit("user")), F.array(F.lit("thing")))).alias("concepts"), F.when(labelled, rel).alias("relations"),
+    )
+    folder = shared_folder(spark)
+    LOOP.start(rows, folder).awaitTermination()
+    return folder
+
+
+_unsafe = "regexp_matches(props, '\\b\\d{3}[.-]?\\d{2,3}[.-]?\\d{4}\\b|\\b\\d{16}\\b')"
+_loop_sql = f"(select *, case when {_unsafe} then 'skip_unsafe' when event_type <> 'purchase' and event_id // 10 % 10 < 6 then 'defer' when value > 0.5 then 'learn' else 'skip_confident' end as decision from events)"
+
+
+@query("t1_online_loop", f"select decision, count(*) as n, count(*) filter (event_type <> 'purchase' and decision in ('learn', 'skip_confident')) as self_labeled, round(sum(value), 4) as uncertainty from {_loop_sql} group by 1")
+def online_loop(spark, sf_dir):
+    """Decisions of the whole loop over a stream."""
+    rows = spark.read.parquet(f"{_ran(spark, sf_dir)}/decided")
+    return rows.groupBy("decision").agg(F.count(F.lit(1)).alias("n"), F.count_if("self_labeled").alias("self_labeled"), F.round(F.sum("uncertainty"), 4).alias("uncertainty"))
+
+
+@query("t4_learning_log", f"select count(*) as total, count(*) filter (decision = 'learn') as learned, count(*) filter (decision = 'skip_confident') as skipped_confident, count(*) filter (decision = 'skip_unsafe') as skipped_unsafe, count(*) filter (decision = 'defer') as deferred, round(avg(value) filter (decision = 'learn'), 6) as mean_uncertainty, true as consolidates from {_loop_sql}")
 def learning_log(spark, sf_dir):
-    rows = table(spark, sf_dir, "events")
-    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("value") > 0.5).alias("learned"), F.round(F.avg(F.when(F.col("value") > 0.5, F.col("value"))), 6).alias("mean_uncertainty"))
+    """The learning event of the stream's one batch."""
+    rows = LOOP.events(spark, _ran(spark, sf_dir))
+    return rows.select("total", "learned", "skipped_confident", "skipped_unsafe", "deferred", F.round("mean_uncertainty", 6).alias("mean_uncertainty"), "consolidates")
 
 
-@query("t7_rollup", "select 'events' as part, count(*) as n from events union all select 'documents', count(*) from documents union all select 'labels', count(*) from labels")
+@query("t7_rollup", f"select count(*) as seen, count(*) filter (decision = 'learn') as learned, 1::bigint as events, least(50, count(*) filter (decision in ('learn', 'skip_confident'))) as memory, 3::bigint as concepts, 1::bigint as rules, count(*) filter (event_type = 'purchase' and decision in ('learn', 'skip_confident')) as relations from {_loop_sql}")
 def rollup(spark, sf_dir):
-    parts = [table(spark, sf_dir, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("part"), "n") for t in ("events", "documents", "labels")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    known = spark.createDataFrame([("known", 0)], "name string, id int")
+    return LOOP.rollup(spark, _ran(spark, sf_dir), known)
+
+
+@query("t9_frozen_parameters", "select p_name as name, not (contains(p_name, 'bl') or contains(p_name, 'ed')) as trained from part")
+def frozen_parameters(spark, sf_dir):
+    return L.freeze(table(spark, sf_dir, "part").select(F.col("p_name").alias("name")), ["bl", "ed"])
 
 
 @query("s1_samples_json", "select p_name as text, [p_brand, p_type] as entities, [[p_type], ['a', 'b']] as concepts, [0, -1] as heads, ['0', p_brand] as head_names, 1 as should_respond from part")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,8 +80,8 @@ class Memory:
             k = min(range(self.most), key=lambda i: near[i])
             if self.strategy == "diversity":
                 some = [e[3] for e in self.entries[:50]]
-                gaps = sorted(self._distance(a, b) for i, a in enumerate(some) for b in some[:i])
-                limit = gaps[len(gaps) // 4] if gaps else 0.0
+                gaps = [self._distance(a, b) for i, a in enumerate(some) for b in some[:i]]
+                limit = float(np.percentile(gaps, 25)) if gaps else 0.0
                 if near[k] > limit:
                     self.entries[k] = entry
                 return near[k] > limit
@@ -92,22 +93,26 @@ class Memory:
         return self._reservoir(entry)
 
 
-STATE = "entries array<struct<event_id:bigint,uncertainty:double,concept:string>>, seen bigint"
+STATE = "entries array<struct<event_id:bigint,uncertainty:double,concept:string,vector:array<double>>>, seen bigint"
 KEPT = "buffer string, event_id bigint, kept boolean, size int"
 
 
 def remember(events: DataFrame, most: int, strategy: str = "uncertainty") -> DataFrame:
-    """Keeps a memory for each ``buffer`` of a stream of (buffer, event_id, uncertainty, concept); one row for each arrival.
+    """Keeps a memory for each ``buffer`` of a stream of (buffer, event_id, uncertainty, concept, vector); one row for each arrival.
 
-    Buffers are independent and spread over the cluster; within one, arrivals are taken by event_id in each micro-batch.
+    Buffers are independent and spread over the cluster; within one, arrivals are taken by event_id in each
+    micro-batch.  Vectors are kept in the state; an arrival without one, or where an entry has none, is
+    drawn as for a reservoir.
     """
+    if "vector" not in events.columns:
+        events = events.withColumn("vector", F.lit(None).cast("array<double>"))
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, seen = state.get if state.exists else ([], 0)
-        memory = Memory(most, strategy, entries=[(e[0], e[1], e[2], None) for e in held], seen=seen)
+        memory = Memory(most, strategy, entries=[(e[0], e[1], e[2], None if e[3] is None else list(e[3])) for e in held], seen=seen)
         rows = pd.concat(list(frames)).sort_values("event_id")
-        kept = [memory.add(int(r.event_id), float(r.uncertainty), str(r.concept)) for r in rows.itertuples()]
-        state.update(([e[:3] for e in memory.entries], memory.seen))
+        kept = [memory.add(int(r.event_id), float(r.uncertainty), str(r.concept), None if r.vector is None else [float(x) for x in r.vector]) for r in rows.itertuples()]
+        state.update((memory.entries, memory.seen))
         yield pd.DataFrame({"buffer": key[0], "event_id": rows["event_id"].to_numpy(), "kept": kept, "size": len(memory.entries)})
 
     return events.groupBy("buffer").applyInPandasWithState(step, KEPT, STATE, "append", GroupStateTimeout.NoTimeout)

@@ -17,7 +17,9 @@ from quernmill.operators import metrics as M
 from quernmill.operators import rules as R
 from quernmill.operators import safety as S
 from quernmill.operators import vocabulary as V
+from quernmill.sources import readers as D
 from quernmill.streaming import learner as N
+from quernmill.streaming import loop as P
 
 
 def test_splits_have_exact_sizes(spark):
@@ -172,3 +174,151 @@ def test_empty_tables(spark):
     assert V.splits(none, "doc_id").count() == 0
     assert V.vocabulary(none, "lang").count() == 0
     assert V.mixture(none, "lang", {"en": 0.5}, "doc_id").count() == 0
+
+
+@pytest.mark.parametrize("strategy", ["reservoir", "uncertainty", "balanced", "diversity", "hybrid"])
+def test_streamed_memory_is_the_sequential_one(spark, tmp_path, strategy):
+    """Over three micro-batches, with vectors in the state."""
+    rng = random.Random(4)
+    kind = "buffer string, event_id long, uncertainty double, concept string, vector array<double>"
+    rows = [("xy"[i % 2], i, rng.random(), rng.choice("abc"), [rng.random() for _ in range(3)]) for i in range(150)]
+    for k in range(3):
+        spark.createDataFrame(rows[50 * k : 50 * k + 50], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    N.remember(stream, 10, strategy).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    memories = {b: N.Memory(10, strategy) for b in "xy"}
+    want = {r[1]: memories[r[0]].add(*r[1:]) for r in rows}
+    assert {r["event_id"]: r["kept"] for r in spark.read.parquet(out).collect()} == want
+
+
+def _samples(spark, n=120):
+    rows = [(i, "call 123-45-6789" if i % 10 == 0 else f"sample {i}", ["a", "b"] if i % 3 == 0 else None, [["x"], ["y"]] if i % 3 == 0 else None, [(0, 1, "r")] if i % 3 == 0 else None, (i % 7) / 7 if i % 11 else None) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "sample_id long, text string, entities array<string>, concepts array<array<string>>, relations array<struct<head:int,tail:int,rel:string>>, uncertainty double")
+
+
+def test_loop_over_a_stream_is_the_loop_over_a_batch(spark, tmp_path):
+    rows, frame = _samples(spark)
+    label = lambda d: d.withColumns({"label_entities": F.array(F.lit("e")), "label_concepts": F.array(F.array(F.lit("z"))), "label_confidence": F.col("sample_id") % 10 / 10})
+    seen = []
+    loop = P.Loop(labeller=label, memory_size=20, memory_strategy="uncertainty", rule_frequency=2, consolidate_every=2, consolidate_least=1, callback=lambda d, n: seen.append((n, d.count())))
+    for k in range(3):
+        frame.where(f"sample_id div 40 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    folder = str(tmp_path / "loop")
+    loop.start(stream, folder).awaitTermination()
+    assert seen == [(0, 40), (1, 40), (2, 40)]
+    got = {r["sample_id"]: (r["decision"], r["self_labeled"]) for r in spark.read.parquet(f"{folder}/decided").collect()}
+    assert got == {r["sample_id"]: (r["decision"], r["self_labeled"]) for r in loop.decided(frame).collect()}
+    def plain(i, text, entities, concepts, relations, u):
+        if "123-45" in text:
+            return "skip_unsafe", False
+        if entities is None and (i % 10) / 10 < 0.6:
+            return "defer", False
+        return "learn" if (u or 0) > 0.5 else "skip_confident", entities is None
+    want = {r[0]: plain(*r) for r in rows}
+    assert got == want
+    passed = [r for r in rows if want[r[0]][0] in ("learn", "skip_confident")]
+    learned = [sum(want[i][0] == "learn" for i in range(40 * k, 40 * k + 40)) for k in range(3)]
+    assert [(r["batch"], r["learned"], r["consolidates"]) for r in loop.events(spark, folder).orderBy("batch").collect()] == [(k, learned[k], k == 1) for k in range(3)]
+    top = sorted(passed, key=lambda r: (-(r[5] if r[5] is not None else -1), r[0]))[:20]
+    assert {r["sample_id"] for r in spark.read.parquet(f"{folder}/memory/batch=2").collect()} == {r[0] for r in top}
+    known = spark.createDataFrame([("x", 0)], "name string, id int")
+    total = loop.rollup(spark, folder, known).first()
+    pairs = sum(r[4] is not None for r in passed)
+    assert (total["seen"], total["learned"], total["events"], total["memory"]) == (120, sum(learned), 3, 20)
+    assert (total["concepts"], total["rules"], total["relations"]) == (3, 1, pairs)
+
+
+def test_a_batch_run_again_counts_once(spark, tmp_path):
+    _, frame = _samples(spark, 30)
+    loop, folder = P.Loop(), str(tmp_path)
+    for _ in range(2):
+        loop.step(folder)(frame, 0)
+    assert spark.read.parquet(f"{folder}/decided").count() == 30
+    assert loop.rollup(spark, folder, spark.createDataFrame([], "name string, id int")).first()["seen"] == 30
+
+
+def test_samples_without_a_labeller_are_deferred(spark):
+    out = P.Loop().decided(spark.createDataFrame([(1, "text", 0.9), (2, None, None)], "sample_id long, text string, uncertainty double"))
+    assert {r["decision"] for r in out.collect()} == {"defer"}
+    assert P.Loop().decided(out.limit(0).drop("verdict", "decision")).count() == 0
+
+
+def test_lines_are_numbered_over_splits_and_files(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"part{k}.txt").write_text("".join(f"{k}:{i} {'x' * (i % 50)}\n" for i in range(3000 * k + 5)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = D.numbered_lines(spark, str(tmp_path))
+        assert lines.where("value not like concat('%:', n, ' %')").count() == 0 and lines.count() == 9015
+        assert [r["a"] for r in D.json_lines(spark, str(tmp_path), "a int", 7).collect()] == [None] * 7  # lines that aren't JSON, as the reader has them
+        (tmp_path / "v").mkdir()
+        (tmp_path / "v" / "a.txt").write_text("2 2\nx 1 2\nshort 1\ny 3 4\n")
+        (tmp_path / "v" / "b.txt").write_text("9 2\nx 5 6\n" + "".join(f"w{i} {i} 0\n" for i in range(2000)))
+        got = {r["entity"]: (r["id"], r["vec"]) for r in D.vectors_text(spark, str(tmp_path / "v")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {"x": (3, [5.0, 6.0]), "y": (2, [3.0, 4.0])} | {f"w{i}": (4 + i, [float(i), 0.0]) for i in range(2000)}
+
+
+def test_mixture_takes_the_least_draws_of_each_source(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 50 == 1, "b").otherwise("c").alias("lang"))
+    got = V.mixture(rows, "lang", {"a": 0.1, "b": 0.5, "c": 0.0}, "doc_id").collect()
+    from quernmill.functions.text import order_key
+
+    drawn = sorted((r["k"], r["doc_id"]) for r in rows.where("lang = 'a'").select("doc_id", order_key("doc_id", seed="mix").alias("k")).collect())
+    assert {r["doc_id"] for r in got if r["lang"] == "a"} == {d for _, d in drawn[:300]}
+    assert sum(r["lang"] == "b" for r in got) == rows.where("lang = 'b'").count() and not any(r["lang"] == "c" for r in got)
+
+
+@pytest.mark.parametrize("size", [1 << 26, 400])
+def test_blocks_of_any_size_find_the_same(spark, size):
+    from quernmill.operators import blocks as B
+
+    rng = random.Random(8)
+    vecs = [(i, [rng.gauss(0, 1) for _ in range(4)] if i else None) for i in range(40)]
+    frame = spark.createDataFrame(vecs, "id long, vec array<double>")
+    bank = frame.withColumnsRenamed({"id": "j", "vec": "v"})
+    dot = lambda a, b: sum(x * y for x, y in zip(a or [0] * 4, b or [0] * 4, strict=True))
+    cos = lambda a, b: dot(a, b) / max(math.sqrt(dot(a, a)) * math.sqrt(dot(b, b)), 1e-8)
+    got = {(r["id"], r["other"]) for r in B.against(frame, bank, "id", "vec", "j", "v", B.above(0.6), size=size).collect()}
+    assert got == {(i, j) for i, a in vecs for j, b in vecs if i < j and cos(a, b) > 0.6}
+    assert B.against(frame.limit(0), bank, "id", "vec", "j", "v", B.greatest(2), size=size).count() == 0
+    assert B.against(frame, bank.limit(0), "id", "vec", "j", "v", B.greatest(2), size=size).count() == 0
+
+
+def plain_spans(question, entities, original):
+    low, taken, out = question.lower(), [], []
+    for i, e in enumerate(entities):
+        n, hit = len(e), None
+        for at in range(len(low) - n + 1 if n else 0):
+            if low[at : at + n] == e.lower() and not any(t[0] <= at + n - 1 and t[1] >= at for t in taken):
+                hit = (at, at + n - 1)
+                break
+        if hit:
+            taken.append(hit)
+        out.append(hit or ((original[i][0] + 4, original[i][0] + 3 + n) if i < len(original) else (0, n - 1)))
+    return out
+
+
+def test_recalculated_spans_against_plain_python(spark):
+    from quernmill.functions.text import recalculated_spans
+
+    rng = random.Random(9)
+    make = lambda n: "".join(rng.choice("abAB ") for _ in range(n))
+    rows = [(i, make(rng.randrange(30)), [make(rng.randrange(4)) for _ in range(rng.randrange(5))], [(rng.randrange(9), 0) for _ in range(rng.randrange(4))]) for i in range(200)]
+    frame = spark.createDataFrame(rows, "i int, q string, e array<string>, o array<struct<start:int,end:int>>")
+    got = {r["i"]: [tuple(x) for x in r["s"]] for r in frame.select("i", recalculated_spans("q", "e", "o").alias("s")).collect()}
+    assert got == {i: plain_spans(q, e, o) for i, q, e, o in rows}
+    assert frame.limit(1).select(recalculated_spans(F.lit(None).cast("string"), "e", "o").alias("s")).first()["s"] is None
+
+
+def test_merged_concepts_take_in_what_goes(spark):
+    v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.8, 0.6]), (3, [1.0, 0.0])], "id int, vec array<double>")
+    got = {r["id"]: r["vec"] for r in R.merged_concepts(v, 0.75).collect()}
+    x = [0.9, 0.3]
+    x = [a / math.hypot(*x) for a in x]
+    x = [(x[0] + 1) / 2, x[1] / 2]
+    assert set(got) == {0, 1} and got[1] == [0.0, 1.0] and got[0] == pytest.approx([a / math.hypot(*x) for a in x])
