@@ -22,38 +22,45 @@ def get_spark(app: str = "quernmill", master: str | None = None, **conf: str) ->
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
-    return builder.config(map=settings).getOrCreate()
+    spark = builder.config(map=settings).getOrCreate()
+    ship(spark)
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is named, as in tests."""
+def _is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master.startswith("local") and not master.startswith("local-cluster")
+
+
+def _named_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is named and all is one process, as in tests."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
-        if not context.master.startswith("local"):
+        if not _is_local(context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="quernmill-", dir=os.environ.get("TMPDIR"))
-    return f"{named}/{uuid.uuid4().hex}"
+        context.setCheckpointDir(named)
+    return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows read from a reliable checkpoint, so that a lost executor costs no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one that all executors share."""
+    return f"{_named_folder(spark)}/{uuid.uuid4().hex}"
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where none is named,
-    as in tests, a temporary one of this machine is set.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows read from a reliable checkpoint in the folder that all executors share, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        if not named and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quernmill-", dir=os.environ.get("TMPDIR")))
+    ship(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(_named_folder(spark))
     return df.checkpoint(eager=True)
 
 
@@ -65,7 +72,7 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     there = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if context.master.startswith("local") and "cluster" not in context.master:
+    if _is_local(context.master):
         there.append(os.getcwd())
     if root in there or context.applicationId in _shipped:
         return
