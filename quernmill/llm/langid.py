@@ -30,6 +30,8 @@ MARGIN = 0.005
 LEAST = 6
 #: The sample: documents taken for each language, and bytes of a dictionary.
 DOCS = 60
+#: Most labels that get a dictionary.
+LANGUAGES = 256
 DICTIONARY_BYTES = 1 << 16
 
 
@@ -99,16 +101,16 @@ def classify_texts(column: pa.Array, model: Model) -> tuple[list[str], list[floa
     return names, margins
 
 
-def fit(docs: DataFrame, per_language: int = DOCS) -> Model:
-    """Takes the ``per_language`` documents of each language whose id hashes least (the bound of the sample)."""
+def fit(docs: DataFrame, per_language: int = DOCS, languages: int = LANGUAGES) -> Model:
+    """Takes the ``per_language`` different documents whose id hashes least, of each of the ``languages`` most frequent labels (the bounds of the sample)."""
     rows = docs.where("lang is not null and lang <> '' and text is not null and text <> ''")
     rows = rows.select("lang", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"), "text")
     spread = 2.0**64
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(languages).collect()}
     if not counts:
         return Model([], [])
     limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (2.0 * per_language + 20) / n))])
-    chosen = rows.where((F.col("h") / F.lit(spread) + 0.5) <= limit[F.col("lang")]).collect()
+    chosen = rows.where((F.col("h") / F.lit(spread) + 0.5) <= limit[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
     chosen.sort(key=lambda r: (r["lang"], r["h"], r["text"]))
     taken: dict[str, int] = {}
     kept = []

@@ -3,8 +3,9 @@
 A word is a run of bytes that aren't white space; its core lies between its first and last letter or
 digit, with a ``+`` or ``(`` just before it.  In a shape, letters of any case are one class and digits
 another, and all other bytes stand for themselves; runs of letters count once.  The features of a
-word are its shape, that shape with runs of digits counted once too, its number of digits, and the
-shapes of the words beside it; each is hashed to a row of weights, one for each tag.  Weights and
+word are its shape, that shape with runs of digits counted once too, its number of digits, the
+shapes of the words beside it, and its skeleton: the bytes that are neither letters nor digits, and
+whether it has either; each is hashed to a row of weights, one for each tag.  Weights and
 transitions are fitted by Adam to the likelihood of a small labelled table.
 
 Decoding is Viterbi over whole texts, in numpy batches.  A word whose weight for ``O`` exceeds that
@@ -28,12 +29,12 @@ from pyspark.sql import functions as F
 from quernmill.llm import bytescan as B
 from quernmill.session import table
 
-TAGS = ("O", "B-EMAIL", "B-IP", "B-CARD", "I-CARD", "B-PHONE", "I-PHONE", "B-SSN")
-KIND = np.array([-1, 0, 1, 2, 2, 3, 3, 4])
+TAGS = ("O", "B-EMAIL", "B-IP", "B-CARD", "I-CARD", "B-PHONE", "I-PHONE", "B-SSN", "B-IBAN", "I-IBAN")
+KIND = np.array([-1, 0, 1, 2, 2, 3, 3, 4, 5, 5])
 BEGINS = np.array([t.startswith("B-") for t in TAGS])
-KINDS = ("EMAIL", "IP", "CARD", "PHONE", "SSN")
+KINDS = ("EMAIL", "IP", "CARD", "PHONE", "SSN", "IBAN")
 BITS = 16
-FEATURES = 6
+FEATURES = 7
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[B.IS_WORD] = ord("a")
@@ -69,7 +70,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     same[first] = False
     digit = kind == ord("9")
     ids = np.empty((w, FEATURES), B.U64)
-    for k, keep in enumerate((~(same & (kind == ord("a"))), ~(same & ((kind == ord("a")) | digit)))):
+    letter = kind == ord("a")
+    for k, keep in ((0, ~(same & letter)), (1, ~(same & (letter | digit))), (6, ~(letter | digit))):
         rank = np.zeros(n + 1, np.int64)
         np.cumsum(keep, out=rank[1:])
         sums = np.zeros(n + 1, B.U64)
@@ -78,6 +80,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     digits = np.zeros(n + 1, np.int64)
     np.cumsum(digit, out=digits[1:])
     ids[:, 2] = np.minimum(digits[last] - digits[first], 20).astype(B.U64)
+    letters = np.zeros(n + 1, np.int64)
+    np.cumsum(letter, out=letters[1:])
+    ids[:, 6] = B.mix(ids[:, 6] + (digits[last] > digits[first]).astype(B.U64) * B.U64(2) + (letters[last] > letters[first]).astype(B.U64))
     edge = B.U64(0x5BD1E995)
     ids[1:, 3], ids[:-1, 4] = ids[:-1, 0], ids[1:, 0]
     starts, ends = words.first[:-1], words.first[1:]
@@ -179,15 +184,21 @@ def _lines(seed: int, count: int) -> list[tuple[str, list[tuple[int, int, str]]]
     word = lambda: "".join(pick(parts) for _ in range(rng.integers(1, 5)))
     plain = lambda: pick([str.lower, str.capitalize, str.upper, str.lower, str.lower])(word())
     number = lambda: pick(
-        [d(1) + ".", d(1) + "." + d(1) + ".", d(2), d(4), d(1) + "." + d(1), f"{d(2)}:{d(2)}", f"20{d(2)}-{d(2)}-{d(2)}", f"{d(1)},{d(3)}", f"${d(2)}.{d(2)}", f'"{rng.bytes(20).hex()}"', f"v{d(1)}.{d(1)}.{d(2)}", d(3), d(5), f"{d(2)}%", f"#{d(4)}", f"{d(3)}-{d(2)}", rng.bytes(8).hex(), f"{d(2)}.{d(2)}.20{d(2)}", f"{d(1)}-{d(1)}", f"({d(4)})", d(8), f"{d(3)}-{d(4)}-X"]
+        [d(1) + ".", d(1) + "." + d(1) + ".", d(2), d(4), d(1) + "." + d(1), f"{d(2)}:{d(2)}", f"20{d(2)}-{d(2)}-{d(2)}", f"{d(1)},{d(3)}", f"${d(2)}.{d(2)}", f'"{rng.bytes(20).hex()}"', f"v{d(1)}.{d(1)}.{d(2)}", d(3), d(5), f"{d(2)}%", f"#{d(4)}", f"{d(3)}-{d(2)}", rng.bytes(8).hex(), f"{d(2)}.{d(2)}.20{d(2)}", f"{d(1)}-{d(1)}", f"({d(4)})", d(8), f"{d(2)}:{d(2)}:{d(2)}", f"{d(3)} {d(3)}", f"{word()}:{d(3)}", f"{word()}{d(1)}", f"{word()}{d(2)}", f"{word()}-{d(3)}", f"{letters()}{d(2)}", f"{letters()}{d(3)}", f"{word()}'{word()[:1]}", f"https://{word()}.com/{word()}", f"{d(1)}::{d(1)}", f"{word()}::{word()}", f"{d(1)}.{d(3)}.{d(3)}", f"{d(2)}/{d(2)}/20{d(2)}", f"{d(3)}-{d(4)}-X"]
     )
     host = lambda: pick([f"mail{d(1)}.example.com", f"{word()}.org", f"{word()}.{word()}.net", "example.com"])
     octet = lambda: str(rng.integers(0, 256))
+    hexes = lambda: pick(["0000", ""]) or "".join("0123456789abcdef"[x] for x in rng.integers(0, 16, pick([1, 2, 3, 4, 4, 4])))
+    deep = lambda: ".".join([word() for _ in range(rng.integers(1, 3))] + [pick(["co.uk", "com.au", "de", "io", "ac.jp", "com", "com.mx", "localdomain"])])
+    name = lambda: pick([word, lambda: word().capitalize()])()
+    six = lambda: pick([lambda: ":".join(hexes() for _ in range(8)), lambda: ":".join(hexes() for _ in range(rng.integers(1, 4))) + "::" + ":".join(hexes() for _ in range(rng.integers(1, 4))), lambda: "fe80::" + hexes()])()
+    letters = lambda: "".join(chr(65 + x) for x in rng.integers(0, 26, 2))
     make = {
-        "EMAIL": lambda: pick([f"{word()}.{d(2)}@{host()}", f"{word()}@{host()}", f"{word()}_{word()}@{host()}", f"{word()}.{word()}@{host()}", f"{word()}{d(2)}@{host()}", f"{word()}-{word()}@{host()}", f"{word()}+{word()}@{host()}", f"{word()}.{d(1)}@{host()}"]),
-        "IP": lambda: ".".join(octet() for _ in range(4)),
-        "CARD": lambda: pick([d(16), d(16), d(15), " ".join(d(4) for _ in range(4)), "-".join(d(4) for _ in range(4))]),
-        "PHONE": lambda: pick([f"+1 ({d(3)}) {d(3)}-{d(4)}", f"+1 ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+{d(2)} {d(2)} {d(4)} {d(4)}", f"+{d(2)} {d(2)} {d(7)}", f"+{d(1)} {d(3)} {d(3)} {d(4)}", f"+1-{d(3)}-{d(3)}-{d(4)}"]),
+        "EMAIL": lambda: pick([f"{name()}.{name()[:1]}'{name()}@{deep()}", f"{pick(['', '', 'href=', 'to='])}mailto:{name()}@{host()}", f"{name()}@{deep()}", f"{name()}_{name()}{d(2)}@{deep()}", f"{name()}.{name()}+{name()}@{name()}-{name()}.{pick(['no', 'org', 'eu'])}", f"{name()}.{name()}@{deep()}"]) if rng.random() < 0.3 else pick([f"{word()}.{d(2)}@{host()}", f"{word()}@{host()}", f"{word()}_{word()}@{host()}", f"{word()}.{word()}@{host()}", f"{word()}{d(2)}@{host()}", f"{word()}-{word()}@{host()}", f"{word()}+{word()}@{host()}", f"{word()}.{d(1)}@{host()}"]),
+        "IP": lambda: six() if rng.random() < 0.3 else ".".join(octet() for _ in range(4)) + pick(["", "", "", f":{d(4)}", f":{d(2)}", "/24"]),
+        "CARD": lambda: pick([d(16), d(16), d(15), " ".join(d(4) for _ in range(4)), "-".join(d(4) for _ in range(4)), f"{d(4)} {d(6)} {d(5)}", f"{d(4)}-{d(6)}-{d(5)}"]),
+        "IBAN": lambda: pick([f"{letters()}{d(20)}", f"{letters()}{d(2)}{letters()}{letters()}{d(14)}", " ".join([letters() + d(2), *(d(4) for _ in range(rng.integers(3, 6))), d(2)]), " ".join([letters() + d(2), letters() + letters(), d(4), d(4), d(4), d(2)])]),
+        "PHONE": lambda: pick([f"+1 ({d(3)}) {d(3)}-{d(4)}", f"+1 ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+{d(2)} {d(2)} {d(4)} {d(4)}", f"+{d(2)} {d(2)} {d(7)}", f"+{d(1)} {d(3)} {d(3)} {d(4)}", f"+1-{d(3)}-{d(3)}-{d(4)}"]) if rng.random() < 0.6 else pick([f"0{d(3)} {d(3)} {d(4)}", f"+{d(2)} (0){d(2)} {d(6)}", f"+{d(2)} (0) {d(2)} {d(7)}", f"0{d(4)} {d(6)}", f"(0{d(2)}) {d(4)} {d(4)}", f"0{d(2)}-{d(7)}", f"+{d(2)}.{d(3)}.{d(3)}.{d(3)}", f"{d(3)}.{d(3)}.{d(4)}", f"+{d(2)} {d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"+{d(2)}{d(10)}", f"1-800-{d(3)}-{d(4)}"]),
         "SSN": lambda: f"{d(3)}-{d(2)}-{d(4)}",
     }
     lines = []
@@ -197,7 +208,7 @@ def _lines(seed: int, count: int) -> list[tuple[str, list[tuple[int, int, str]]]
         for _ in range(rng.integers(1, 16)):
             kind = pick(KINDS) if rng.random() < 0.22 else None
             text = make[kind]() if kind else plain() if rng.random() < 0.75 else number()
-            opening = pick(["", "", "", "", "", '"', "<", "["]) if kind in ("EMAIL", "IP", "CARD", "SSN") else ""
+            opening = pick(["", "", "", "", "", '"', "<", "["]) if kind in ("EMAIL", "IP", "CARD", "SSN", "IBAN") else ""
             pieces = text.split(" ")
             out += opening
             for i, piece in enumerate(pieces):
@@ -213,7 +224,7 @@ def _lines(seed: int, count: int) -> list[tuple[str, list[tuple[int, int, str]]]
     return lines
 
 
-def labelled(count: int = 1500, seed: int = 3) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def labelled(count: int = 2000, seed: int = 3) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """The small labelled table that the model is trained on by default: (text, [(start, end, kind)]), in bytes."""
     return _lines(seed, count)
 

@@ -55,13 +55,27 @@ def layout(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, first
 
 
-def responses(out: np.ndarray, tables: np.ndarray) -> np.ndarray:
-    """(half-chunks, positions, filters) of a layout."""
+def responses(out: np.ndarray, tables: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """(half-chunks, positions, filters) of a layout; ``last`` marks the half-chunks that end a text.
+
+    What would reach from a text's last half-chunk into the next text counts as the zeros before it.
+    """
     n = (len(out) - TAPS) // STRIDE
     total = tables[0].take(out[: n * STRIDE : STRIDE], axis=0)
     for j in range(1, TAPS):
         total += tables[j].take(out[j : j + n * STRIDE : STRIDE], axis=0)
-    return total.reshape(-1, HALF // STRIDE, tables.shape[2])
+    total = total.reshape(-1, HALF // STRIDE, tables.shape[2])
+    over = (TAPS - 1) // STRIDE
+    total[last, -over:] = total[last, -over - 1][:, None]
+    return total
+
+
+def _pieces(out: np.ndarray, first: np.ndarray, tables: np.ndarray):
+    """Responses of a layout, 512 half-chunks at a time."""
+    last = np.zeros(first[-1], bool)
+    last[first[1:] - 1] = True
+    for s in range(0, first[-1], 512):
+        yield responses(out[s * HALF : min(s + 512, first[-1]) * HALF + TAPS], tables, last[s : s + 512])
 
 
 def _chunks(peaks: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,7 +95,7 @@ def score_texts(column: pa.Array, model: Model) -> np.ndarray:
     for a, b in B.chunks(offs, 1 << 18):
         own = offs[a : b + 1] - offs[a]
         out, first = layout(data[offs[a] : offs[b]], own)
-        peaks = np.concatenate([responses(out[s * HALF : min(s + 512, first[-1]) * HALF + TAPS], model.tables).max(1) for s in range(0, first[-1], 512)])
+        peaks = np.concatenate([x.max(1) for x in _pieces(out, first, model.tables)])
         maxima, start, _ = _chunks(peaks + model.intercept, first)
         maxima = np.maximum(maxima, 0)
         mean = np.add.reduceat(maxima, start[:-1], axis=0) / np.diff(start)[:, None]
@@ -116,7 +130,7 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 12, batch:
             out, first = layout(np.concatenate([data[offs[r] : offs[r + 1]] for r in rows]), own)
             emb, kernel, intercept, w, bias = parts
             tables = np.einsum("be,jef->jbf", emb, kernel, optimize=True)
-            found = [responses(out[s * HALF : min(s + 512, first[-1]) * HALF + TAPS], tables) for s in range(0, first[-1], 512)]
+            found = list(_pieces(out, first, tables))
             peaks = np.concatenate([x.max(1) for x in found]) + intercept
             where = np.concatenate([x.argmax(1) for x in found])
             maxima, start, half = _chunks(peaks, first)
@@ -157,8 +171,9 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = DOCS, **options
     chosen = chosen.groupBy("_id").agg(F.min("_y").alias("_y")).withColumn("_h", F.xxhash64("_id"))
     parts = [chosen.where(F.col("_y") == c).orderBy("_h", "_id").limit(max_rows) for c in (0, 1)]
     sample = F.broadcast(parts[0].unionByName(parts[1]))
-    rows = documents.select(F.col("doc_id").alias("_id"), "text").join(sample, "_id").select("_id", "_y", "text").toPandas()
-    rows = rows.sort_values(["_id", "text"], kind="stable").drop_duplicates("_id")
+    # one text for each id, however many rows have it
+    rows = documents.select(F.col("doc_id").alias("_id"), "text").join(sample, "_id").groupBy("_id", "_y").agg(F.min("text").alias("text")).toPandas()
+    rows = rows.sort_values("_id", kind="stable")
     return train(rows["text"].tolist(), rows["_y"].to_numpy(), **options)
 
 

@@ -267,8 +267,9 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 1000, label: st
     chosen = chosen.groupBy("_id").agg(F.max("_y").alias("_y")).withColumn("_h", F.xxhash64("_id"))
     parts = [chosen.where(F.col("_y") == c).orderBy("_h", "_id").limit(max_rows) for c in (0, 1)]
     sample = parts[0].unionByName(parts[1])
-    rows = documents.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(sample), "_id").select("_id", "_y", "text").toPandas()
-    rows = rows.sort_values(["_id", "text"], kind="stable").drop_duplicates("_id")
+    # one text for each id, however many rows have it
+    rows = documents.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(sample), "_id").groupBy("_id", "_y").agg(F.min("text").alias("text")).toPandas()
+    rows = rows.sort_values("_id", kind="stable")
     return train(rows["text"].tolist(), rows["_y"].to_numpy(), **options)
 
 
