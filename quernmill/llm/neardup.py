@@ -290,7 +290,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     dropped = groups(docs).where("node <> root").select(F.col("node").alias("gone"), F.col("doc_id").alias("gone_id"))
     # a row travels as one struct, so that its columns can have any names
     rows = docs.select(_node().alias("node"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.lit(11), "text").alias("second"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.join(dropped, (F.col("node") == F.col("gone")) & F.col("id").eqNullSafe(F.col("gone_id")), "left_anti")
+    # ids are compared so that rows stay partitioned by node alone, which the window below needs too
+    same = ((F.col("id") >= F.col("gone_id")) & (F.col("id") <= F.col("gone_id"))) | (F.col("id").isNull() & F.col("gone_id").isNull())
+    rows = rows.join(dropped, (F.col("node") == F.col("gone")) & same, "left_anti")
     # rows that repeat id and text are one; other texts whose node is the same by chance stay apart
     nth = F.row_number().over(Window.partitionBy("node", "id", "second").orderBy("node"))
     return rows.withColumn("nth", nth).where("nth = 1").select("row.*")

@@ -4,8 +4,8 @@ A word is a run of bytes that aren't white space; its core lies between its firs
 digit, with a ``+`` or ``(`` just before it.  In a shape, letters of any case are one class and digits
 another, and all other bytes stand for themselves; runs of letters count once.  The features of a
 word are its shape, that shape with runs of digits counted once too, its number of digits, the
-shapes of the words beside it, and its skeleton: the bytes that are neither letters nor digits, and
-whether it has either; each is hashed to a row of weights, one for each tag.  Weights and
+shapes of the words beside it, and its skeleton: which bytes that are neither letters nor digits it has,
+how often, and whether it has either of those; each is hashed to a row of weights, one for each tag.  Weights and
 transitions are fitted by Adam to the likelihood of a small labelled table.
 
 Decoding is Viterbi over whole texts, in numpy batches.  A word whose weight for ``O`` exceeds that
@@ -40,6 +40,7 @@ _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[B.IS_WORD] = ord("a")
 _CLASS[ord("0") : ord("9") + 1] = ord("9")
 _IS_CORE = B.IS_WORD.copy()
+_REST = np.where(B.IS_WORD, B.U64(0), B.BYTE_CODE)
 
 
 @dataclass
@@ -71,7 +72,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     digit = kind == ord("9")
     ids = np.empty((w, FEATURES), B.U64)
     letter = kind == ord("a")
-    for k, keep in ((0, ~(same & letter)), (1, ~(same & (letter | digit))), (6, ~(letter | digit))):
+    for k, keep in enumerate((~(same & letter), ~(same & (letter | digit)))):
         rank = np.zeros(n + 1, np.int64)
         np.cumsum(keep, out=rank[1:])
         sums = np.zeros(n + 1, B.U64)
@@ -80,9 +81,14 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     digits = np.zeros(n + 1, np.int64)
     np.cumsum(digit, out=digits[1:])
     ids[:, 2] = np.minimum(digits[last] - digits[first], 20).astype(B.U64)
-    letters = np.zeros(n + 1, np.int64)
-    np.cumsum(letter, out=letters[1:])
-    ids[:, 6] = B.mix(ids[:, 6] + (digits[last] > digits[first]).astype(B.U64) * B.U64(2) + (letters[last] > letters[first]).astype(B.U64))
+    # the skeleton needs no order: a sum of codes tells which bytes, and how many, are neither letters nor digits
+    rest = np.zeros(n + 1, B.U64)
+    np.cumsum(_REST[data], out=rest[1:])
+    size, digits_in = last - first, digits[last] - digits[first]
+    others = np.zeros(n + 1, np.int32)
+    np.cumsum(~core, out=others[1:])
+    has_letter = size - digits_in - (others[last] - others[first]) > 0
+    ids[:, 6] = B.mix(rest[last] - rest[first] + (digits_in > 0).astype(B.U64) * B.U64(2) + has_letter.astype(B.U64))
     edge = B.U64(0x5BD1E995)
     ids[1:, 3], ids[:-1, 4] = ids[:-1, 0], ids[1:, 0]
     starts, ends = words.first[:-1], words.first[1:]

@@ -123,7 +123,7 @@ def core(word):
 def shapes(word):
     kind = "".join("9" if 48 <= b <= 57 else "a" if B.IS_WORD[b] else chr(b) for b in word)
     full = re.sub(r"a+", "a", kind)
-    return full, re.sub(r"9+", "9", full), kind.count("9"), (re.sub(r"[a9]", "", kind), "9" in kind, "a" in kind)
+    return full, re.sub(r"9+", "9", full), kind.count("9"), ("".join(sorted(re.sub(r"[a9]", "", kind))), "9" in kind, "a" in kind)
 
 
 def masked(text, model, rows_of):
