@@ -256,11 +256,18 @@ def train(rows: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 60,
     w = np.zeros((len(used), t))
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(moves), np.zeros_like(moves)]
     lse = lambda x, axis: np.log(np.exp(x - (m := x.max(axis, keepdims=True))).sum(axis)) + m.squeeze(axis)
+    groups = []
+    for length in np.unique(size[order]):
+        own = order[size[order] == length]
+        place = first[own][:, None] + np.arange(length)
+        # where the gradient of each weight is gathered from: words by feature, in the order of features
+        flat = compact[place].reshape(-1)
+        turn = np.argsort(flat, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(flat[turn]) != 0]))
+        groups.append((length, own, place, turn // FEATURES, starts, flat[turn[starts]]))
     for epoch in range(1, epochs + 1):
         gw, gm = l2 * w * len(rows), l2 * moves * len(rows)
-        for length in np.unique(size[order]):
-            own = order[size[order] == length]
-            place = first[own][:, None] + np.arange(length)
+        for length, own, place, word, starts, ids_here in groups:
             e = w[compact[place]].sum(2)
             alpha, beta = np.empty_like(e), np.zeros_like(e)
             alpha[:, 0] = e[:, 0]
@@ -272,9 +279,7 @@ def train(rows: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 60,
             p = np.exp(alpha + beta - z[:, None, None])
             y = gold[place]
             p[np.arange(len(own))[:, None], np.arange(length), y] -= 1
-            for k in range(FEATURES):
-                for tag in range(t):
-                    gw[:, tag] += np.bincount(compact[place, k].ravel(), p[:, :, tag].ravel(), len(used))
+            gw[ids_here] += np.add.reduceat(p.reshape(-1, t)[word], starts, axis=0)
             for i in range(1, length):
                 both = np.exp(alpha[:, i - 1, :, None] + moves + (beta[:, i] + e[:, i])[:, None, :] - z[:, None, None])
                 gm += both.sum(0)
