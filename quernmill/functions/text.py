@@ -103,8 +103,8 @@ def capitalised_runs(text: Column | str, most: int = 20) -> Column:
 
 
 def capitalised_words(text: Column | str) -> Column:
-    """Words of at least two characters that begin in upper case, punctuation kept."""
-    return F.filter(words(text), lambda w: w.rlike(r"^\p{Lu}") & (F.length(w) > 1))
+    """Words of at least two characters that begin in upper case, punctuation kept; found in one pass over the text."""
+    return F.regexp_extract_all(_c(text), F.lit(r"(?<!\S)\p{Lu}\S+"), F.lit(0))
 
 
 def mentioned(text: Column | str, names: Column | str) -> Column:

@@ -19,7 +19,9 @@ INSULTS = ["worst", "terrible", "hate", "fool", "idiot", "stupid"]
 GROUPS = ["they never", "they always", "those people", "every", "all"]
 SLURS = ["inferior", "dangerous", "criminal", "lazy", "stupid"]
 DECEPTIVE = r"(?:experts|scientists|doctors)\s+(?:are hiding|hate|don't want)|(?:hidden|secret)\s+(?:knowledge|cure|truth)|(?:proven|guaranteed|100%)\s+(?:fix|solution|cure)"
-PRIVATE = r"\b\d{3}[.-]?\d{2,3}[.-]?\d{4}\b|\b\d{16}\b|\b[\w.%+-]+@[\d.a-zA-Z-]+\.[a-zA-Z]{2,}\b"
+NUMBERS = r"\b\d{3}[.-]?\d{2,3}[.-]?\d{4}\b|\b\d{16}\b"
+ADDRESSES = r"\b[\w.%+-]+@[\d.a-zA-Z-]+\.[a-zA-Z]{2,}\b"
+PRIVATE = f"{NUMBERS}|{ADDRESSES}"
 
 
 @dataclass
@@ -79,7 +81,8 @@ def deceives(low: str) -> Column:
 
 
 def exposes(text: str) -> Column:
-    return F.col(text).rlike(PRIVATE)
+    # the pattern of addresses starts anew at every word; few texts have what all of them hold
+    return F.col(text).rlike(NUMBERS) | (F.contains(F.col(text), F.lit("@")) & F.col(text).rlike(ADDRESSES))
 
 
 @dataclass
