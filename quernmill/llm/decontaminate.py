@@ -10,13 +10,13 @@ seeds of an item that a document has, stretches are cut that hold every alignmen
 could reach the threshold, and are aligned with it by Smith-Waterman over words: a match scores 2, a
 mismatch or gap -1.  The score over that of the whole item, 0 to 1, is kept if it is at least ``THRESHOLD``.
 
-What is counted is a sample of contexts by their hash, of so many in the mean that ``FLOOR`` of them stand
-for the limit, so that the rows shuffled don't grow with the corpus.  Seeds are looked up, stretches
-aligned and rows dropped without moving any text.  What is broadcast is at most about
-``BROADCAST_GRAMS`` trigrams, or the items of so many seeds, at a time; a larger benchmark is split by
-hash and the documents are passed once for each slice, with equal results.  The runs of ``LONG`` words
-are known to all slices by a bit set of at most 32 MB; if it is too full for a benchmark, more trigrams
-count as rare, which costs time and loses nothing.
+All contexts of all documents are counted, as hashes: the rows shuffled are as many as the different
+contexts of the benchmark's trigrams, each but once.  Seeds are looked up, stretches aligned and rows
+dropped without moving any text.  What is broadcast is at most about ``BROADCAST_GRAMS`` trigrams, or the
+items of so many seeds, at a time; a larger benchmark is split by hash and the documents are passed once
+for each slice, with equal results.  The runs of ``LONG`` words are known to all slices by a bit set of at
+most 32 MB; runs that it may hold are joined with those of the items, so that a full one costs rows
+shuffled and changes no count.
 
 Defined results: null and empty texts on either side have no hit, items of fewer than three words
 have no trigram and are never found; repeated rows and items give equal rows once; null ids are ids
@@ -42,6 +42,8 @@ FLOOR = 50
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, 1, 1
 BROADCAST_GRAMS = 2_000_000
+#: Columns for the runs of LONG words over a trigram.
+RUNS = [f"run{k}" for k in range(LONG - GRAM + 1)]
 
 
 def _item_grams(batches):
@@ -92,9 +94,9 @@ class Lookup:
         return which[ok], place[ok]
 
 
-def contexts_outside(column: pa.Array, lookup: Lookup, runs: BitSet, one_in: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """(trigram, context) of the lookup's trigrams outside runs of LONG words of an item, distinct by chunk; of contexts one in so many, by hash."""
-    out = [(np.zeros(0, B.U64), np.zeros(0, B.U64))]
+def contexts_of(column: pa.Array, lookup: Lookup, runs: BitSet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(trigram, context, runs) of the lookup's trigrams, distinct by chunk; runs has a row for each place of a run of LONG words over the trigram, 0 where that can't be an item's."""
+    out = [(np.zeros(0, B.U64), np.zeros(0, B.U64), np.zeros((len(RUNS), 0), B.U64))]
     data, offs = B.lowered(column)
     for a, b in B.chunks(offs):
         words = B.Words(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
@@ -103,23 +105,21 @@ def contexts_outside(column: pa.Array, lookup: Lookup, runs: BitSet, one_in: int
         at = at[which]
         if not len(at):
             continue
-        long = B.gram_starts(words.first, LONG)
-        long = long[runs.has(B.ngrams(words.hash, LONG)[long])]
-        cover = np.zeros(len(words) + 1, np.int32)
-        cover[long] += 1
-        cover[long + LONG - GRAM + 1] -= 1
-        free = np.cumsum(cover)[at] == 0
-        at, place = at[free], place[free]
         row = np.searchsorted(words.first, at, "right") - 1
-        context = np.zeros(len(at), B.U64)
+        context = lookup.keys[place]
         for step in (-2, -1, GRAM, GRAM + 1):
             near = at + step
             inside = (near >= words.first[row]) & (near < words.first[row + 1])
             context = B.mix(context ^ np.where(inside, words.hash[np.clip(near, 0, len(words) - 1)], B.U64(0)))
-        kept = context % B.U64(one_in) == 0
-        pairs = np.unique(np.stack([place[kept].astype(B.U64), context[kept]], 1), axis=0)
-        out.append((lookup.keys[pairs[:, 0].astype(np.int64)], pairs[:, 1]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        long = B.gram_starts(words.first, LONG)
+        run = B.ngrams(words.hash, LONG)
+        # 0 also for the two places before the first word
+        known = np.zeros(len(words) + LONG - GRAM, B.U64)
+        long = long[runs.has(run[long])]
+        known[long + LONG - GRAM] = run[long]
+        _, one = np.unique(context, return_index=True)
+        out.append((lookup.keys[place[one]], context[one], np.stack([known[at[one] + k] for k in range(len(RUNS))])))
+    return tuple(np.concatenate(x, axis=-1) for x in zip(*out, strict=True))
 
 
 @dataclass
@@ -233,19 +233,27 @@ def seeds_of(docs: DataFrame, grams: DataFrame, limit: int = BROADCAST_GRAMS) ->
     runs = BitSet(number[LONG])
     for part in _slices(keys[LONG], "gram", number[LONG], limit):
         runs.add(part.toArrow().column("gram").to_numpy().view(np.uint64))
-    one_in = max(1, int(RARE * docs.count() / FLOOR))
+    most = max(FLOOR, RARE * docs.count())
     counted = None
     for part in _slices(keys[GRAM], "gram", number[GRAM], limit):
         shared = spark.sparkContext.broadcast((Lookup(np.sort(part.toArrow().column("gram").to_numpy().view(np.uint64))), runs))
 
         def run(batches, shared=shared):
             for batch in B.small(batches):
-                gram, context = contexts_outside(batch.column(0), *shared.value, one_in)
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(context.view(np.int64))], ["gram", "context"])
+                gram, context, over = contexts_of(batch.column(0), *shared.value)
+                columns = [pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), *(pa.array(x.view(np.int64), mask=x == 0) for x in over)]
+                yield pa.RecordBatch.from_arrays(columns, ["gram", "context", *RUNS])
 
-        own = docs.where("text is not null").select("text").mapInArrow(run, "gram long, context long")
+        own = docs.where("text is not null").select("text").mapInArrow(run, ", ".join(f"{c} long" for c in ["gram", "context", *RUNS]))
         counted = own if counted is None else counted.unionByName(own)
-    common = counted.distinct().groupBy("gram").count().where(F.col("count") > FLOOR).select("gram")
+    # one context has the same runs wherever it stands
+    seen = counted.groupBy("gram", "context").agg(*(F.max(c).alias(c) for c in RUNS))
+    free = F.coalesce(*RUNS).isNull()
+    unsure = seen.where(~free).select("gram", "context", F.explode(F.array_compact(F.array(*RUNS))).alias("run"))
+    held = unsure.join(keys[LONG].select(F.col("gram").alias("run"), F.lit(True).alias("held")), "run", "left")
+    mistaken = held.groupBy("gram", "context").agg(F.max("held").alias("held")).where("held is null")
+    outside = seen.where(free).select("gram").unionByName(mistaken.select("gram"))
+    common = outside.groupBy("gram").count().where(F.col("count") > most).select("gram")
     short = grams.where(F.col("size") == GRAM).join(grams.where(F.col("size") == LONG).select("item").distinct(), "item", "left_anti").select("item", "gram")
     rare = grams.where(F.col("size") == GRAM).select("item", "gram").join(common, "gram", "left_anti").select("item", "gram")
     return cut(rare.unionByName(short).unionByName(grams.where(F.col("size") == LONG).select("item", "gram")).distinct())

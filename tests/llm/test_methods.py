@@ -219,6 +219,35 @@ def test_trigrams_that_the_corpus_is_full_of_are_no_seeds(spark):
     assert {x[0] for x in got if x[1] == 9} == {k for k, t in docs if "one of the" in t}
 
 
+@pytest.mark.parametrize("full", [False, True])
+def test_rarity_counts_every_context_of_every_document(spark, monkeypatch, full):
+    """Trigrams in just as many contexts as are allowed are seeds, those in one more aren't, although the limit is many times FLOOR; nor do runs count that the bit set holds by mistake."""
+    monkeypatch.setattr(decontaminate, "FLOOR", 5)
+    monkeypatch.setattr(decontaminate, "RARE", 0.05)
+    if full:
+        made = decontaminate.BitSet.__init__
+
+        def all_ones(self, expected):
+            made(self, expected)
+            self.bits[:] = 255
+
+        monkeypatch.setattr(decontaminate.BitSet, "__init__", all_ones)
+    rng = random.Random(73)
+    items = [(i, f"a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(40)]
+    parts = [[] for _ in range(400)]
+    for i in range(40):
+        for d in rng.sample(range(400), 20 + i % 2):
+            parts[d].append(f"a{i} b{i} c{i} {invented(rng, 3, 10**6)}")
+        for d in rng.sample(range(400), 30):
+            parts[d].append(f"{items[i][1]} {invented(rng, 3, 10**6)}")
+    d = spark.createDataFrame([(k, f"{invented(rng, 3, 10**6)} {' '.join(x)}") for k, x in enumerate(parts)], "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    grams = b.select("item_id", "text").mapInArrow(decontaminate._item_grams, "item long, size long, gram long").distinct()
+    for limit in (10**6, 50):
+        seeds = {r["item"]: r["count"] for r in decontaminate.seeds_of(d, grams, limit).groupBy("item").count().collect()}
+        assert seeds == {i: 2 + 4 - i % 2 for i in range(40)}
+
+
 @pytest.mark.parametrize("copies", [0, 1, 5])
 def test_edited_copies_are_found_beside_exact_ones(spark, copies):
     rng = random.Random(71)
