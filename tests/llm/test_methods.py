@@ -248,6 +248,20 @@ def test_rarity_counts_every_context_of_every_document(spark, monkeypatch, full)
         assert seeds == {i: 2 + 4 - i % 2 for i in range(40)}
 
 
+def test_pipeline_drops_what_exact_rarity_finds(spark, monkeypatch, tmp_path):
+    """Half an item is dropped wherever its one trigram stands in just as many contexts as are allowed, and kept if in one more."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(decontaminate, "FLOOR", 5)
+    monkeypatch.setattr(decontaminate, "RARE", 0.05)
+    rng = random.Random(74)
+    items = [(i, f"a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(20)]
+    docs = [(1000 * i + k, f"{invented(rng, 5, 10**6)} a{i} b{i} c{i} {invented(rng, 5, 10**6)}") for i in range(20) for k in range(20 + i % 2)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.drop_contaminated(spark, spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path))
+    assert sorted(tuple(r) for r in kept.collect()) == sorted(r for r in docs if r[0] // 1000 % 2)
+
+
 @pytest.mark.parametrize("copies", [0, 1, 5])
 def test_edited_copies_are_found_beside_exact_ones(spark, copies):
     rng = random.Random(71)
