@@ -322,3 +322,43 @@ def test_merged_concepts_take_in_what_goes(spark):
     x = [a / math.hypot(*x) for a in x]
     x = [(x[0] + 1) / 2, x[1] / 2]
     assert set(got) == {0, 1} and got[1] == [0.0, 1.0] and got[0] == pytest.approx([a / math.hypot(*x) for a in x])
+
+
+@pytest.mark.parametrize("best", ["above", "first", "greatest"])
+def test_a_block_holds_few_columns_of_a_bank_and_keeps_ties(best):
+    """Memory doesn't grow with the bank, and equal vectors are equally similar wherever they stand."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from quernmill.operators import blocks as B
+
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(20_000, 8))
+    vectors[1::4] = vectors[::4]
+    vectors[7] = 0
+    bank = B.Bank(pa.array(np.arange(20_000)), vectors, 1e-8)
+    pick = {"above": B.above(0.97), "first": B.first(0.9), "greatest": B.greatest(3)}[best]
+    tracemalloc.start()
+    got = [x for lo in range(0, 20_000, 10_000) for r, c, s in pick(B.Block(bank, pa.array(np.arange(lo, lo + 500)), vectors[lo : lo + 500])) for x in zip((r + lo).tolist(), c.tolist(), s.tolist(), strict=True)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # a whole block of similarities, as it was held before, is 80 MB, and its copies as much each
+
+    def cosines(i):
+        total, own, other = np.zeros(20_000), 0.0, np.zeros(20_000)
+        for d in range(8):
+            total, own, other = total + vectors[i, d] * vectors[:, d], own + vectors[i, d] ** 2, other + vectors[:, d] ** 2
+        return total / np.maximum(np.sqrt(own) * np.sqrt(other), 1e-8)
+
+    want = []
+    for i in [*range(500), *range(10_000, 10_500)]:
+        c = cosines(i)
+        if best == "above":
+            want += [(i, j, c[j]) for j in np.flatnonzero(c > 0.97).tolist() if j > i]
+        elif best == "first":
+            want += [(i, j, c[j]) for j in np.flatnonzero(c[:i] > 0.9)[:1].tolist()]
+        else:
+            want += [(i, j, c[j]) for j in sorted((j for j in range(20_000) if j != i), key=lambda j: (-c[j], j))[:3]]
+    assert sorted(got) == sorted(want)
