@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernmill.session import table
@@ -31,6 +31,12 @@ def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def rounded(x: Column | str, places: int) -> Column:
+    """A double rounded as SQL does it: what is negative and rounds to nothing is -0.0, which Spark's own rounding makes 0.0."""
+    value = F.col(x) if isinstance(x, str) else x
+    return F.signum(value) * F.round(F.abs(value), places)
+
+
 #: Relation instances of the star schema: a customer's order by segment, nation and priority.
 FACTS_SQL = """(select o_orderkey as sample_id, c_mktsegment as head_concept, n_name as tail_concept, case when o_orderpriority like '1%' or o_orderpriority like '2%' then 'urgent' when o_orderstatus = 'F' then 'filled' else 'placed' end as relation
  from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey)"""

@@ -9,7 +9,7 @@ from quernmill.functions import text as T
 from quernmill.operators import facade as Z
 from quernmill.operators import memory as Y
 from quernmill.operators import metrics as M
-from quernmill.plans.base import Book
+from quernmill.plans.base import Book, rounded
 from quernmill.plans.conversion import PAIRS_SQL
 from quernmill.plans.conversion import pairs as instruction_pairs
 from quernmill.plans.rules import VECTORS_SQL, vectors
@@ -33,7 +33,7 @@ def _scored(spark, sf_dir) -> DataFrame:
 
 @query("v1_bleu", _bleu)
 def bleu(spark, sf_dir):
-    return _scored(spark, sf_dir).select("conv_id", "turn", F.round("bleu", 6).alias("bleu"))
+    return _scored(spark, sf_dir).select("conv_id", "turn", rounded("bleu", 6).alias("bleu"))
 
 
 @query("v2_ngrams", f"select conv_id, turn, len(t) as tokens, greatest(len(t) - 1, 0)::bigint as bigrams, (select count(distinct t[i] || chr(1) || t[i + 1]) from unnest(range(1, greatest(len(t), 1))) u(i)) as distinct_bigrams from (select conv_id, turn, {_tokens.format('text')} as t from conversations)")
@@ -53,7 +53,7 @@ _sets = "list_distinct(list_transform(list_filter(string_split({0}, ' '), lambda
 def entity_f1(spark, sf_dir):
     names = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
     rows = instruction_pairs(spark, sf_dir).select("conv_id", "turn", names("response").alias("r"), names("instruction").alias("h")).where("size(r) > 0 and size(h) > 0")
-    return rows.select("conv_id", "turn", M.entity_f1("r", "h").alias("f")).select("conv_id", "turn", *[F.round(f"f.{c}", 9).alias(c) for c in ("precision", "recall", "f1")])
+    return rows.select("conv_id", "turn", M.entity_f1("r", "h").alias("f")).select("conv_id", "turn", *[rounded(f"f.{c}", 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
 def _samples(spark, sf_dir) -> DataFrame:
@@ -72,19 +72,19 @@ _evaluated = f"""with s as (select conv_id, turn, case when conv_id % 4 = 0 then
 @query("v4_evaluated", f"{_evaluated} select conv_id, turn, score as bleu, round(f1, 6) as f1 from u order by conv_id, turn limit 200")
 def evaluated(spark, sf_dir):
     rows = M.evaluate(_samples(spark, sf_dir), "conv_id", "turn", most=200)
-    return rows.select("conv_id", "turn", F.round("bleu", 6).alias("bleu"), F.round("entity.f1", 6).alias("f1"))
+    return rows.select("conv_id", "turn", rounded("bleu", 6).alias("bleu"), rounded("entity.f1", 6).alias("f1"))
 
 
 @query("v5_mean_metrics", f"{_evaluated} select side, count(*) as n, round(avg(score), 5) as avg_bleu, round(avg(f1), 6) as avg_f1 from u group by 1")
 def mean_metrics(spark, sf_dir):
     means = M.mean_metrics(M.evaluate(_samples(spark, sf_dir)), "side")
-    return means.select("side", "n", F.round("avg_bleu", 5).alias("avg_bleu"), F.round("avg_f1", 6).alias("avg_f1"))
+    return means.select("side", "n", rounded("avg_bleu", 5).alias("avg_bleu"), rounded("avg_f1", 6).alias("avg_f1"))
 
 
 @query("v6_train_against_eval", f"{_evaluated}, m as (select avg(score) filter (side = 'train') as bt, avg(score) filter (side = 'eval') as be, avg(f1) filter (side = 'train') as ft, avg(f1) filter (side = 'eval') as fe from u) select metric, round(train, 5) as train, round(eval, 5) as eval, round(difference, 5) as difference from (select 'avg_bleu' as metric, coalesce(bt, 0) as train, coalesce(be, 0) as eval, coalesce(be, 0) - coalesce(bt, 0) as difference from m union all select 'avg_f1', coalesce(ft, 0), coalesce(fe, 0), coalesce(fe, 0) - coalesce(ft, 0) from m)")
 def train_against_eval(spark, sf_dir):
     found = M.compared(M.mean_metrics(M.evaluate(_samples(spark, sf_dir)), "side"))
-    return found.select("metric", *[F.round(c, 5).alias(c) for c in ("train", "eval", "difference")])
+    return found.select("metric", *[rounded(c, 5).alias(c) for c in ("train", "eval", "difference")])
 
 
 @query("v8_report", f"{_evaluated} select count(*) as n, round(avg(score), 5) as bleu from u")
@@ -131,12 +131,12 @@ _round6 = lambda *c: ", ".join(f"round({x}, 6) as {x}" for x in c)
 def monte_carlo(spark, sf_dir):
     rows = M.monte_carlo(passes(spark, sf_dir), "id", "position", "class", "p")
     v = F.col("variance")
-    return rows.select("id", *[F.round(c, 6).alias(c) for c in ("variance", "entropy", "aleatoric", "epistemic")], F.round(M.overall(F.col("epistemic"), v, v, v), 6).alias("overall"))
+    return rows.select("id", *[rounded(c, 6).alias(c) for c in ("variance", "entropy", "aleatoric", "epistemic")], rounded(M.overall(F.col("epistemic"), v, v, v), 6).alias("overall"))
 
 
 @query("u2_entropy", f"select id, round(-list_sum(list_transform(p, lambda x: x * ln(x + 1e-10))), 6) as entropy from (select id, list_transform(e, lambda x: x / list_sum(e)) as p from (select id, list_transform(vec, lambda x: exp(x - list_max(vec))) as e from {VECTORS_SQL}))")
 def entropy(spark, sf_dir):
-    return vectors(spark, sf_dir).select("id", M.softmax("vec").alias("p")).select("id", F.round(M.entropy("p"), 6).alias("entropy"))
+    return vectors(spark, sf_dir).select("id", M.softmax("vec").alias("p")).select("id", rounded(M.entropy("p"), 6).alias("entropy"))
 
 
 #: Passes from vectors: read backwards they stand for concepts, rotated for relations, and scaled for those of an ensemble.
@@ -168,7 +168,7 @@ def _estimated(spark, sf_dir, method: str, with_ensemble: bool = True) -> DataFr
     dropout = {"entities": _passes_of(spark, sf_dir), "concepts": _passes_of(spark, sf_dir, backwards=True), "relations": _passes_of(spark, sf_dir, shift=8)}
     ensemble = {"entities": _passes_of(spark, sf_dir, 4.0), "concepts": _passes_of(spark, sf_dir, 4.0, True)}
     rows = M.estimate(method, dropout, ensemble if with_ensemble else None, "id")
-    return rows.select("id", *[F.round(c, 6).alias(c) for c in M.ESTIMATE])
+    return rows.select("id", *[rounded(c, 6).alias(c) for c in M.ESTIMATE])
 
 
 _all6 = _round6(*M.ESTIMATE)
@@ -194,7 +194,7 @@ def without_ensemble(spark, sf_dir):
 def ranked_samples(spark, sf_dir):
     from quernmill.operators.vocabulary import ranked
 
-    rows = M.monte_carlo(passes(spark, sf_dir), "id", "position", "class", "p").select("id", F.round("entropy", 6).alias("entropy"))
+    rows = M.monte_carlo(passes(spark, sf_dir), "id", "position", "class", "p").select("id", rounded("entropy", 6).alias("entropy"))
     return ranked(rows, F.col("entropy").desc(), F.col("id"), name="place").select("id", "entropy", F.col("place").cast("int").alias("place"))
 
 
@@ -227,12 +227,12 @@ _memory_sql = f"(select * from {VECTORS_SQL} order by {T.order_key_sql('id', see
 @query("m4_nearest_in_memory", f"select v.id as id, round(min({_dist.format('v.vec', 'm.vec')}), 6) as distance from {VECTORS_SQL} v join {_memory_sql} m on v.id <> m.id group by 1")
 def nearest_in_memory(spark, sf_dir):
     v = vectors(spark, sf_dir).drop("label")
-    return Y.nearest_distance(v, Y.reservoir(v, 100, "id"), "id", "vec").select("id", F.round("distance", 6).alias("distance"))
+    return Y.nearest_distance(v, Y.reservoir(v, 100, "id"), "id", "vec").select("id", rounded("distance", 6).alias("distance"))
 
 
 @query("m5_diversity_threshold", f"with s as (select * from {VECTORS_SQL} order by {T.order_key_sql('id', seed='diversity')}, id limit 50) select round(quantile_cont({_dist.format('a.vec', 'b.vec')}, 0.25), 6) as threshold from s a join s b on a.id < b.id")
 def diversity_threshold(spark, sf_dir):
-    return Y.diversity_threshold(vectors(spark, sf_dir), "id", "vec").select(F.round("threshold", 6).alias("threshold"))
+    return Y.diversity_threshold(vectors(spark, sf_dir), "id", "vec").select(rounded("threshold", 6).alias("threshold"))
 
 
 @query("m6_balanced", f"select event_id, concept from {_entries_sql} qualify row_number() over (partition by concept order by {T.order_key_sql('event_id', seed='balanced')}, event_id) <= 1000 // (select count(distinct event_type) from events)")
@@ -259,7 +259,7 @@ def recent_draw(spark, sf_dir):
 @query("m10_memory_statistics", f"select count(*) as size, round(avg(uncertainty), 6) as mean_uncertainty, min(uncertainty) as least, max(uncertainty) as most, (select list(concept || ':' || n order by concept) from (select concept, count(*) as n from {_entries_sql} group by 1)) as concepts from {_entries_sql}")
 def memory_statistics(spark, sf_dir):
     out = Y.statistics(_entries(spark, sf_dir), "uncertainty", "concept")
-    return out.select("size", F.round("mean_uncertainty", 6).alias("mean_uncertainty"), "least", "most", F.transform("concepts", lambda c: F.concat(c["concept"], F.lit(":"), c["n"].cast("string"))).alias("concepts"))
+    return out.select("size", rounded("mean_uncertainty", 6).alias("mean_uncertainty"), "least", "most", F.transform("concepts", lambda c: F.concat(c["concept"], F.lit(":"), c["n"].cast("string"))).alias("concepts"))
 
 
 @query(
@@ -274,4 +274,4 @@ def mixed_batch(spark, sf_dir):
 @query("t3_decisions", "select event_type, case when value > 0.5 then 'learn' else 'skip_confident' end as decision, count(*) as n, round(avg(value), 6) as mean_uncertainty from events group by all")
 def decisions(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumn("decision", M.decision(F.col("value")))
-    return rows.groupBy("event_type", "decision").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean_uncertainty"))
+    return rows.groupBy("event_type", "decision").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("value"), 6).alias("mean_uncertainty"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernmill.operators import rules as R
-from quernmill.plans.base import FACTS_SQL, Book, facts
+from quernmill.plans.base import FACTS_SQL, Book, facts, rounded
 from quernmill.session import table
 
 book = Book()
@@ -31,7 +31,7 @@ _positive = f"""select concept_a, concept_b, relation, n as frequency, n / t as
 
 @query("r1_positive_rules", f"select concept_a, concept_b, relation, frequency, round(confidence, 9) as confidence, round(weight, 9) as weight, polarity from ({_positive})")
 def positive_rules(spark, sf_dir):
-    return R.mine_positive(pairs(spark, sf_dir), 5, 0.005).withColumns({c: F.round(c, 9) for c in ("confidence", "weight")})
+    return R.mine_positive(pairs(spark, sf_dir), 5, 0.005).withColumns({c: rounded(c, 9) for c in ("confidence", "weight")})
 
 
 @query(
@@ -56,7 +56,7 @@ def configured_rules(spark, sf_dir):
     nations = vocabulary(table(spark, sf_dir, "nation"), "n_name", 5)
     types = segments.unionByName(nations).select(F.col("name").alias("concept"), "id")
     rules = R.configure(R.mine_positive(pairs(spark, sf_dir), 5, 0.005), types, vocabulary(facts(spark, sf_dir), "relation", 1), 16, 2)
-    return rules.withColumn("weight", F.round("weight", 9))
+    return rules.withColumn("weight", rounded("weight", 9))
 
 
 _observed = f"""(select concept_a, concept_b, relation, n as frequency, greatest(p / n, 1 - p / n) as confidence, greatest(p / n, 1 - p / n) as weight, case when p / n >= 0.5 then 1 else -1 end as polarity from (select concept_a, concept_b, relation, count(*) as n, count(*) filter (sample_id % 3 = 0) as p from {PAIRS_SQL} group by all) where n >= 3 and (p / n >= 0.6 or 1 - p / n >= 0.6))"""
@@ -65,7 +65,7 @@ _observed = f"""(select concept_a, concept_b, relation, n as frequency, greatest
 @query("r5_observed_rules", f"select * replace (round(confidence, 9) as confidence, round(weight, 9) as weight) from {_observed}")
 def observed_rules(spark, sf_dir):
     rows = pairs(spark, sf_dir).withColumn("positive", F.col("sample_id") % 3 == 0)
-    return R.observed(rows, 3, 0.6).withColumns({c: F.round(c, 9) for c in ("confidence", "weight")})
+    return R.observed(rows, 3, 0.6).withColumns({c: rounded(c, 9) for c in ("confidence", "weight")})
 
 
 def _raw_rules(spark, sf_dir):
@@ -92,7 +92,7 @@ def conflicting_rules(spark, sf_dir):
 
 @query("r4_config_rows", f"select concept_a, concept_b, relation, round(weight, 9) as weight, polarity from ({_positive}) where weight > 0")
 def config_rows(spark, sf_dir):
-    return R.config_rows(R.mine_positive(pairs(spark, sf_dir), 5, 0.005)).select(*R.KEY, F.round("weight", 9).alias("weight"), "polarity")
+    return R.config_rows(R.mine_positive(pairs(spark, sf_dir), 5, 0.005)).select(*R.KEY, rounded("weight", 9).alias("weight"), "polarity")
 
 
 @query("r9_rules_for_concepts", f"select * from {_raw_sql} where concept_a = 'BUILDING' or concept_b in (select n_name from nation where n_regionkey = 1)")
@@ -113,7 +113,7 @@ def added_concepts(spark, sf_dir):
 )
 def moved_embeddings(spark, sf_dir):
     moved = vectors(spark, sf_dir).select("id", R.moved_embedding("vec", F.reverse("vec")).alias("v"))
-    return moved.select("id", F.transform("v", lambda x: F.round(x, 6)).alias("vec"))
+    return moved.select("id", F.transform("v", lambda x: rounded(x, 6)).alias("vec"))
 
 
 _unit = "list_transform({0}, lambda x: x / greatest(sqrt(list_dot_product({0}, {0})), 1e-12))"
@@ -127,7 +127,7 @@ _unit = "list_transform({0}, lambda x: x / greatest(sqrt(list_dot_product({0}, {
  select id, list_transform(arg_max(vec, n), lambda x: round(x, 5)) as vec from f group by id""",
 )
 def kept_concepts(spark, sf_dir):
-    return R.merged_concepts(vectors(spark, sf_dir).drop("label"), 0.3).select("id", F.transform("vec", lambda x: F.round(x, 5)).alias("vec"))
+    return R.merged_concepts(vectors(spark, sf_dir).drop("label"), 0.3).select("id", F.transform("vec", lambda x: rounded(x, 5)).alias("vec"))
 
 
 @query("r10_grown_bank", f"with v as (select id, vec from {VECTORS_SQL} where label = 0), w as (select id, vec from {VECTORS_SQL} where label = 1), p as (select distinct b.id as j from v a join v b on a.id < b.id where {COSINE.format('a.vec', 'b.vec')} > 0.3), k as (select id from v where id not in (select j from p)), f as (select 'w' || id as name, row_number() over (order by 'w' || id) as n from w), b as (select 'v' || id as name, (row_number() over (order by id) - 1)::int as id from k union all select name, (select count(*) from k)::int + n::int - 1 from f) select name, id, case when name like 'w%' then 'root' end as parent from b where id < 60")
@@ -141,7 +141,7 @@ def grown_bank(spark, sf_dir):
 
 @query("r13_similar_concepts", f"select a.id as of_id, b.id as id, round({COSINE.format('a.vec', 'b.vec')}, 6) as similarity from {VECTORS_SQL} a join {VECTORS_SQL} b on a.id <> b.id qualify row_number() over (partition by a.id order by {COSINE.format('a.vec', 'b.vec')} desc, b.id) <= 5")
 def similar_concepts(spark, sf_dir):
-    return R.similar_concepts(vectors(spark, sf_dir), 5).withColumn("similarity", F.round("similarity", 6))
+    return R.similar_concepts(vectors(spark, sf_dir), 5).withColumn("similarity", rounded("similarity", 6))
 
 
 def _facts_as_samples(spark, sf_dir):
@@ -180,4 +180,4 @@ def sample_updates(spark, sf_dir):
 def rule_statistics(spark, sf_dir):
     rules = R.observed(pairs(spark, sf_dir).withColumn("positive", F.col("sample_id") % 3 == 0), 3, 0.6)
     names = facts(spark, sf_dir).select(F.explode(F.array("head_concept", "tail_concept")).alias("name"))
-    return R.statistics(rules, names, pairs(spark, sf_dir)).withColumn("mean_confidence", F.round("mean_confidence", 9))
+    return R.statistics(rules, names, pairs(spark, sf_dir)).withColumn("mean_confidence", rounded("mean_confidence", 9))

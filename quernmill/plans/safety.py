@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quernmill.functions import text as T
 from quernmill.operators import safety as S
-from quernmill.plans.base import Book, lit
+from quernmill.plans.base import Book, lit, rounded
 from quernmill.plans.conversion import pairs as instruction_pairs
 from quernmill.plans.conversion import PAIRS_SQL
 from quernmill.plans.rules import COSINE, VECTORS_SQL, vectors
@@ -52,7 +52,7 @@ def keywords(spark, sf_dir):
 def closest_harmful(spark, sf_dir):
     v = vectors(spark, sf_dir)
     harmful = v.where("label = 0").select("vec", F.concat(F.lit("c"), "label").alias("category"), F.col("id").alias("example"))
-    return S.closest(v.where("label <> 0"), harmful, "id").select("id", F.round("similarity", 6).alias("similarity"))
+    return S.closest(v.where("label <> 0"), harmful, "id").select("id", rounded("similarity", 6).alias("similarity"))
 
 
 @query("f4_harmful_examples", f"select vec_id as example, 'c' || label as category, len(embedding)::int as n from embeddings where label < 2")
@@ -114,7 +114,7 @@ def semantic_verdicts(spark, sf_dir):
     harmful = v.where("label < 2").select("vec", F.concat(F.lit("c"), "label").alias("category"), F.col("id").alias("example"))
     near = S.closest(v.where("label >= 2").select(F.col("id").alias("doc_id"), "vec"), harmful, "doc_id")
     rows = S.regulate(docs(spark, sf_dir).join(near, "doc_id"), KEYWORDS, "maximum")
-    return rows.select("doc_id", "verdict.is_safe", "verdict.category", F.round("verdict.confidence", 6).alias("confidence"), F.size("verdict.reasons").alias("n_reasons"))
+    return rows.select("doc_id", "verdict.is_safe", "verdict.category", rounded("verdict.confidence", 6).alias("confidence"), F.size("verdict.reasons").alias("n_reasons"))
 
 
 @query("f17_configured", f"select category, count(*) as n, sum(is_safe::int)::bigint as safe from (select case when contains(lower(text), 'the') then 'unknown' when contains(text, '***') then 'bias' else 'safe' end as category, not contains(lower(text), 'the') and not contains(text, '***') as is_safe from documents) group by 1")
@@ -140,7 +140,7 @@ def audit(spark, sf_dir):
 
 @query("f16_audit_statistics", f"select category, count(*) as n, (select count(*) from documents) as total, (select count(*) from {_strict} where kw = 'safe' and eth = 'safe') as safe, round((select count(*) from {_strict} where kw = 'safe' and eth = 'safe') / (select count(*) from documents), 9) as safe_rate from (select case when kw <> 'safe' then kw else eth end as category from {_strict}) group by 1")
 def audit_statistics(spark, sf_dir):
-    return S.audit_statistics(S.audit(S.regulate(docs(spark, sf_dir), KEYWORDS), "batch")).withColumn("safe_rate", F.round("safe_rate", 9))
+    return S.audit_statistics(S.audit(S.regulate(docs(spark, sf_dir), KEYWORDS), "batch")).withColumn("safe_rate", rounded("safe_rate", 9))
 
 
 @query("f12_strictness", "select * from (values ('high', 0.6::double, true), ('low', 0.85, false), ('maximum', 0.5, true), ('medium', 0.7, false)) t(level, threshold, all_layers)")

@@ -377,3 +377,11 @@ def test_merging_folds_many_vectors_into_one(spark):
     turn = lambda d: [math.cos(math.radians(d)), math.sin(math.radians(d))]
     got = {r["id"]: r["vec"] for r in R.merged_concepts(spark.createDataFrame([(0, turn(0)), (1, turn(20)), (2, turn(40)), (3, turn(90))], "id int, vec array<double>").coalesce(1), 0.9).collect()}
     assert set(got) == {0, 3} and got[0] == pytest.approx(turn(10)) and got[3] == turn(90)
+
+
+def test_rounding_keeps_the_sign_of_what_rounds_to_nothing(spark):
+    from quernmill.plans.base import rounded
+
+    rows = spark.createDataFrame([(x,) for x in (-4e-7, 4e-7, -0.0, 0.0, -1.25, 2.5, -5e-7, None)], "x double")
+    got = [r["y"] for r in rows.coalesce(1).select(rounded("x", 6).alias("y")).collect()]
+    assert [str(x) for x in got] == ["-0.0", "0.0", "-0.0", "0.0", "-1.25", "2.5", "-1e-06", "None"]
