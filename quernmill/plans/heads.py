@@ -9,7 +9,7 @@ from quernmill.operators import extraction as X
 from quernmill.operators import linalg as L
 from quernmill.operators import metrics as M
 from quernmill.operators.vocabulary import vocabulary
-from quernmill.plans.base import Book
+from quernmill.plans.base import Book, rounded
 from quernmill.plans.rules import VECTORS_SQL, vectors
 from quernmill.session import table
 
@@ -39,7 +39,7 @@ def _entities(spark, sf_dir):
 
 @query("e1_entities", f'select id, start::int as start, "end"::int as "end", type::int as type, round(conf, 6) as conf from {_ents}')
 def entities(spark, sf_dir):
-    return _entities(spark, sf_dir).select("id", "start", "end", F.col("type").cast("int").alias("type"), F.round("conf", 6).alias("conf"))
+    return _entities(spark, sf_dir).select("id", "start", "end", F.col("type").cast("int").alias("type"), rounded("conf", 6).alias("conf"))
 
 
 _tokens_sql = f"(select id, list_transform(range(1, 17), lambda i: 't' || floor(abs(vec[i]) * 1000)::int) as tokens from {VECTORS_SQL})"
@@ -61,7 +61,7 @@ def entity_texts(spark, sf_dir):
 
 @query("e3_top_concepts", f"select id, position::int as concept, place::int as place from (select *, row_number() over (partition by id order by round(p, 9) desc, position) as place from (select id, position, max(p) as p from {CELLS_SQL} group by 1, 2)) where place <= 3 and (p >= 0.4 or place = 1)")
 def top_concepts(spark, sf_dir):
-    rows = cells(spark, sf_dir).groupBy("id", F.col("position").alias("concept")).agg(F.round(F.max("p"), 9).alias("p"))
+    rows = cells(spark, sf_dir).groupBy("id", F.col("position").alias("concept")).agg(rounded(F.max("p"), 9).alias("p"))
     return X.top_concepts(rows, "id", "concept", "p", 3, 0.4).select("id", "concept", F.col("place").cast("int").alias("place"))
 
 
@@ -75,7 +75,7 @@ def _pairs(spark, sf_dir):
 
 @query("e4_relations", f"select id, i::int as i, j::int as j, type::int as type, round(conf, 6) as conf from {_rels}")
 def relations(spark, sf_dir):
-    return X.relations(_pairs(spark, sf_dir), "id", 0.3).select("id", "i", "j", F.col("type").cast("int").alias("type"), F.round("conf", 6).alias("conf"))
+    return X.relations(_pairs(spark, sf_dir), "id", 0.3).select("id", "i", "j", F.col("type").cast("int").alias("type"), rounded("conf", 6).alias("conf"))
 
 
 _numbered = f"(select *, row_number() over (partition by id order by start, type) - 1 as n from {_texts})"
@@ -115,12 +115,12 @@ def _pseudo(spark, sf_dir):
 
 @query("e6_pseudo_labels", f"select id, n_entities, n_relations, round(confidence, 6) as confidence from {_labels}")
 def pseudo_labels(spark, sf_dir):
-    return _pseudo(spark, sf_dir).select("id", "n_entities", "n_relations", F.round("confidence", 6).alias("confidence"))
+    return _pseudo(spark, sf_dir).select("id", "n_entities", "n_relations", rounded("confidence", 6).alias("confidence"))
 
 
 @query("e7_taken_labels", f"select round(confidence, 6) >= 0.5 as taken, count(*) as n from {_labels} group by 1")
 def taken_labels(spark, sf_dir):
-    return _pseudo(spark, sf_dir).groupBy((F.round("confidence", 6) >= 0.5).alias("taken")).agg(F.count(F.lit(1)).alias("n"))
+    return _pseudo(spark, sf_dir).groupBy((rounded("confidence", 6) >= 0.5).alias("taken")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("b2_multi_hot", "with v as (select name, row_number() over (order by name) - 1 as id from (select distinct p_brand as name from part union select distinct p_type from part)) select p_partkey, list_sort([a.id::int, b.id::int]) as hot, case when p_type like 'E%' then 2 else 0 end::int as type from part join v a on a.name = p_brand join v b on b.name = p_type")
@@ -157,7 +157,7 @@ def entity_token_spans(spark, sf_dir):
 def linear(spark, sf_dir):
     v = vectors(spark, sf_dir)
     weights = v.groupBy(F.col("label").alias("out")).agg(F.min_by("vec", "id").alias("w")).withColumn("b", F.col("out").cast("double"))
-    return L.linear(v, weights, "id").select("id", "out", F.round("value", 6).alias("value"))
+    return L.linear(v, weights, "id").select("id", "out", rounded("value", 6).alias("value"))
 
 
 _assign = f"(select id, label, e / sum(e) over (partition by id) as weight from (select v.id, b.label, exp(list_dot_product(v.vec, b.c) / greatest(sqrt(list_dot_product(v.vec, v.vec)) * sqrt(list_dot_product(b.c, b.c)), 1e-8)) as e from {VECTORS_SQL} v, (select label, arg_min(vec, id) as c from {VECTORS_SQL} group by 1) b))"
@@ -167,7 +167,7 @@ _assign = f"(select id, label, e / sum(e) over (partition by id) as weight from
 def soft_assign(spark, sf_dir):
     v = vectors(spark, sf_dir)
     bank = v.groupBy(F.col("label").alias("concept")).agg(F.min_by("vec", "id").alias("c"))
-    return L.soft_assign(v.drop("label"), bank, "id").select("id", "concept", F.round("weight", 6).alias("weight"))
+    return L.soft_assign(v.drop("label"), bank, "id").select("id", "concept", rounded("weight", 6).alias("weight"))
 
 
 @query(
@@ -179,7 +179,7 @@ def soft_assign(spark, sf_dir):
 def attention_pool(spark, sf_dir):
     tokens = vectors(spark, sf_dir).select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice("vec", i * 4 + 1, F.lit(4)))).alias("position", "vec")).withColumn("mask", F.col("position") < 12)
     queries = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0]), (1, [0.5, -0.5, 1.0, 0.0])], "query int, q array<double>")
-    return L.attention_pool(tokens, queries, "id", 4).select("id", "query", F.transform("pooled", lambda x: F.round(x, 6)).alias("pooled"))
+    return L.attention_pool(tokens, queries, "id", 4).select("id", "query", F.transform("pooled", lambda x: rounded(x, 6)).alias("pooled"))
 
 
 @query("l4_span_mean", f"with t as (select id, label, i - 1 as position, vec[i] as value from {VECTORS_SQL}, range(1, 65) r(i)) select id, round(case when label < 5 then (avg(value) filter (position between 0 and 3) + avg(value) filter (position between 10 and 19)) / 2 else avg(value) end, 6) as value from t group by id, label")
@@ -187,7 +187,7 @@ def span_mean(spark, sf_dir):
     v = vectors(spark, sf_dir)
     tokens = v.select("id", F.posexplode("vec").alias("position", "value"))
     spans = v.where("label < 5").select("id", F.explode(F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("last")) for a, b in ((0, 3), (10, 19))])).alias("s")).select("id", "s.*")
-    return L.span_mean(tokens, spans, "id").select("id", F.round("value", 6).alias("value"))
+    return L.span_mean(tokens, spans, "id").select("id", rounded("value", 6).alias("value"))
 
 
 @query("l5_top_nodes", f"select id, position::int as position, place::int as place from (select *, row_number() over (partition by id order by score desc, position) as place from (select id, position, max(x) as score from {CELLS_SQL} group by 1, 2)) where place <= 5")
@@ -205,7 +205,7 @@ def node_types(spark, sf_dir):
     """Type probabilities of the five best nodes, and of two that only fill up."""
     c = cells(spark, sf_dir)
     nodes = L.top_nodes(c.select("id", "position", F.col("x").alias("p")), "id", 5)
-    return L.node_types(c.select("id", "position", "class", "x"), nodes, "id", 7).select("id", "node", "class", F.round("p", 6).alias("p"))
+    return L.node_types(c.select("id", "position", "class", "x"), nodes, "id", 7).select("id", "node", "class", rounded("p", 6).alias("p"))
 
 
 #: Layers (weights by output, bias) of a scorer over two vectors of two numbers, and of graph networks without and with a relation's.
@@ -228,7 +228,7 @@ def _dense_sql(xs: list[str], layer, act: bool) -> list[str]:
 def pair_scores(spark, sf_dir):
     """A scorer over the vectors of both nodes, features clamped to 4 and scores to 50."""
     nodes = vectors(spark, sf_dir).select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.transform(F.slice("vec", i * 2 + 1, F.lit(2)), lambda x: 60 * x))).alias("position", "vec"))
-    return L.pair_scores(nodes, "id", SCORER, 4.0).select("id", "i", "j", F.transform("scores", lambda x: F.round(x, 6)).alias("scores"))
+    return L.pair_scores(nodes, "id", SCORER, 4.0).select("id", "i", "j", F.transform("scores", lambda x: rounded(x, 6)).alias("scores"))
 
 
 _nodes_sql = f"(select id, l as node, vec[l * 2 + 1] as a, vec[l * 2 + 2] as b from {VECTORS_SQL}, range(4) b(l))"
@@ -257,14 +257,14 @@ def _round_sql(nodes: str, layers, how: str) -> str:
 def mean_messages(spark, sf_dir):
     """Two rounds of averaged messages over masked edges."""
     nodes, edges = _graph(spark, sf_dir)
-    return L.message_passing(nodes, edges.drop("relation"), "id", [PAIR, PAIR2]).select("id", "node", F.transform("vec", lambda x: F.round(x, 5)).alias("vec"))
+    return L.message_passing(nodes, edges.drop("relation"), "id", [PAIR, PAIR2]).select("id", "node", F.transform("vec", lambda x: rounded(x, 5)).alias("vec"))
 
 
 @query("l9_sum_messages", f"select id, node::int as node, [round(a, 5), round(b, 5)] as vec from {_round_sql(_nodes_sql, TRIPLE, 'sum')}")
 def sum_messages(spark, sf_dir):
     """A round of summed messages that know the relation of their edge."""
     nodes, edges = _graph(spark, sf_dir)
-    return L.message_passing(nodes, edges, "id", [TRIPLE], "sum").select("id", "node", F.transform("vec", lambda x: F.round(x, 5)).alias("vec"))
+    return L.message_passing(nodes, edges, "id", [TRIPLE], "sum").select("id", "node", F.transform("vec", lambda x: rounded(x, 5)).alias("vec"))
 
 
 @query("l10_pair_index", "select a.n_nationkey as i, b.n_nationkey as j, (row_number() over (order by a.n_nationkey, b.n_nationkey) - 1)::int as place from nation a join nation b on a.n_nationkey < b.n_nationkey")
@@ -292,7 +292,7 @@ def losses(spark, sf_dir):
     labels = c.select("id", "position").distinct().withColumn("label", F.when(at % 5 == 0, L.IGNORED).otherwise(at % 4))
     concept = c.where("position = 0").select("id", "class", "p")
     parts = {"entity": L.mean_cross_entropy(c, labels, "id", "position"), "concept": L.mean_cross_entropy(concept, concept.select("id").distinct().withColumn("label", F.col("id") % 4), "id"), "lm": L.mean_cross_entropy(c, labels.withColumn("label", F.lit(L.IGNORED)), "id", "position")}
-    return L.total_loss(parts, {"entity": 0.5, "concept": 2.0}).select("part", F.round("loss", 6).alias("loss"))
+    return L.total_loss(parts, {"entity": 0.5, "concept": 2.0}).select("part", rounded("loss", 6).alias("loss"))
 
 
 _rules_sql = "(select * from (values (1, 0, 1, 2, 1.0::double, 1), (2, 1, 1, 3, 0.5, -1), (3, 2, 3, 0, 2.0, 1)) r(rule_id, a, b, r, weight, polarity))"
@@ -307,7 +307,7 @@ _rules_sql = "(select * from (values (1, 0, 1, 2, 1.0::double, 1), (2, 1, 1, 3,
 def soft_logic_loss(spark, sf_dir):
     rules = spark.createDataFrame([(1, 0, 1, 2, 1.0, 1), (2, 1, 1, 3, 0.5, -1), (3, 2, 3, 0, 2.0, 1)], "rule_id int, a int, b int, r int, weight double, polarity int")
     c = cells(spark, sf_dir)
-    return L.soft_logic_loss(rules, c.where("position < 4").select("id", "position", "class", "p"), _pairs(spark, sf_dir).select("id", "i", "j", "relation", "x"), "id").select("rule_id", F.round("loss", 6).alias("loss"))
+    return L.soft_logic_loss(rules, c.where("position < 4").select("id", "position", "class", "p"), _pairs(spark, sf_dir).select("id", "i", "j", "relation", "x"), "id").select("rule_id", rounded("loss", 6).alias("loss"))
 
 
 @query("r18_symmetric_pairs", f"select id, i::int as i, j::int as j, type::int as type from {_rels} union all select id, j, i, type from {_rels}")
@@ -319,13 +319,13 @@ def symmetric_pairs(spark, sf_dir):
 @query("x5_ewc_penalty", f"select round(0.4 * sum(abs(vec[1]) * pow(vec[2] - vec[3], 2)), 6) as penalty from {VECTORS_SQL}")
 def ewc_penalty(spark, sf_dir):
     rows = vectors(spark, sf_dir).select(F.abs(F.get("vec", F.lit(0))).alias("fisher"), F.get("vec", F.lit(1)).alias("now"), F.get("vec", F.lit(2)).alias("best"))
-    return L.ewc_penalty(rows, 0.4).select(F.round("penalty", 6).alias("penalty"))
+    return L.ewc_penalty(rows, 0.4).select(rounded("penalty", 6).alias("penalty"))
 
 
 @query("x6_path_importance", f"select label as parameter, round(sum(-vec[1] * vec[2]) / (pow(sum(vec[2]), 2) + 0.1), 6) as omega from {VECTORS_SQL} group by 1")
 def path_importance(spark, sf_dir):
     rows = vectors(spark, sf_dir).select(F.col("label").alias("parameter"), F.get("vec", F.lit(0)).alias("gradient"), F.get("vec", F.lit(1)).alias("delta"))
-    return L.path_importance(rows).select("parameter", F.round("omega", 6).alias("omega"))
+    return L.path_importance(rows).select("parameter", rounded("omega", 6).alias("omega"))
 
 
 _soft = lambda at, t: f"list_transform(range({at}, {at + 4}), lambda k: exp(vec[k] / {t}) / (exp(vec[{at}] / {t}) + exp(vec[{at + 1}] / {t}) + exp(vec[{at + 2}] / {t}) + exp(vec[{at + 3}] / {t})))"
@@ -339,7 +339,7 @@ def _distillation(spark, sf_dir):
 
 @query("x7_distillation", f"select round(penalty, 6) as penalty from {_distilled}")
 def distillation(spark, sf_dir):
-    return _distillation(spark, sf_dir).select(F.round("penalty", 6).alias("penalty"))
+    return _distillation(spark, sf_dir).select(rounded("penalty", 6).alias("penalty"))
 
 
 @query("x8_combined_penalty", f"select round((select 0.4 * sum(abs(vec[1]) * pow(vec[2] - vec[3], 2)) from {VECTORS_SQL}) + (select 0.2 * sum(omega * pow(label, 2)) from (select label, sum(-vec[1] * vec[2]) / (pow(sum(vec[2]), 2) + 0.1) as omega from {VECTORS_SQL} group by 1)) + (select penalty from {_distilled}), 5) as penalty")
@@ -350,4 +350,4 @@ def combined_penalty(spark, sf_dir):
     ewc = L.ewc_penalty(rows.select(F.abs(at(0)).alias("fisher"), at(1).alias("now"), at(2).alias("best")), 0.4)
     omega = L.path_importance(rows.select(F.col("label").alias("parameter"), at(0).alias("gradient"), at(1).alias("delta")))
     si = L.path_penalty(omega.select("omega", F.col("parameter").alias("now"), F.lit(0).alias("best")), 0.2)
-    return L.combined_penalty(ewc=ewc, si=si, lwf=_distillation(spark, sf_dir), none=None).select(F.round("penalty", 5).alias("penalty"))
+    return L.combined_penalty(ewc=ewc, si=si, lwf=_distillation(spark, sf_dir), none=None).select(rounded("penalty", 5).alias("penalty"))
