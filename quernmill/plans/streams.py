@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quernmill.functions import text as T
 from quernmill.operators.stages import prepare_all
-from quernmill.plans.base import Book
+from quernmill.plans.base import Book, rounded
 from quernmill.session import shared_folder, table
 from quernmill.sources import readers as S
 from quernmill.streaming import learner as N
@@ -102,14 +102,14 @@ _loop_sql = f"(select *, case when {_unsafe} then 'skip_unsafe' when event_type
 def online_loop(spark, sf_dir):
     """Decisions of the whole loop over a stream."""
     rows = spark.read.parquet(f"{_ran(spark, sf_dir)}/decided")
-    return rows.groupBy("decision").agg(F.count(F.lit(1)).alias("n"), F.count_if("self_labeled").alias("self_labeled"), F.round(F.sum("uncertainty"), 4).alias("uncertainty"))
+    return rows.groupBy("decision").agg(F.count(F.lit(1)).alias("n"), F.count_if("self_labeled").alias("self_labeled"), rounded(F.sum("uncertainty"), 4).alias("uncertainty"))
 
 
 @query("t4_learning_log", f"select count(*) as total, count(*) filter (decision = 'learn') as learned, count(*) filter (decision = 'skip_confident') as skipped_confident, count(*) filter (decision = 'skip_unsafe') as skipped_unsafe, count(*) filter (decision = 'defer') as deferred, round(avg(value) filter (decision = 'learn'), 6) as mean_uncertainty, true as consolidates from {_loop_sql}")
 def learning_log(spark, sf_dir):
     """The learning event of the stream's one batch."""
     rows = LOOP.events(spark, _ran(spark, sf_dir))
-    return rows.select("total", "learned", "skipped_confident", "skipped_unsafe", "deferred", F.round("mean_uncertainty", 6).alias("mean_uncertainty"), "consolidates")
+    return rows.select("total", "learned", "skipped_confident", "skipped_unsafe", "deferred", rounded("mean_uncertainty", 6).alias("mean_uncertainty"), "consolidates")
 
 
 @query("t7_rollup", f"select count(*) as seen, count(*) filter (decision = 'learn') as learned, 1::bigint as events, least(50, count(*) filter (decision in ('learn', 'skip_confident'))) as memory, 3::bigint as concepts, 1::bigint as rules, count(*) filter (event_type = 'purchase' and decision in ('learn', 'skip_confident')) as relations from {_loop_sql}")
@@ -174,10 +174,11 @@ def vectors_of_files(spark, sf_dir):
     """Several files with a header each; of three lines two are short, one of them of the same name."""
     folder = shared_folder(spark)
     rows = vector_lines(spark, sf_dir).where("k >= 0")
-    lines = rows.withColumn("part", F.floor(F.col("k") / 1000).cast("int")).withColumn("l", F.array(F.struct(F.lit(0).alias("o"), F.lit("short 1 2").alias("v")), F.struct(F.lit(1).alias("o"), F.col("value").alias("v")), F.struct(F.lit(2).alias("o"), F.concat(F.lit("e"), F.col("k"), F.lit(" 1")).alias("v"))))
+    # files are numbered on in the order of their paths, so that numbers in them have one length
+    lines = rows.withColumn("part", F.lpad(F.floor(F.col("k") / 1000).cast("string"), 16, "0")).withColumn("l", F.array(F.struct(F.lit(0).alias("o"), F.lit("short 1 2").alias("v")), F.struct(F.lit(1).alias("o"), F.col("value").alias("v")), F.struct(F.lit(2).alias("o"), F.concat(F.lit("e"), F.col("k"), F.lit(" 1")).alias("v"))))
     lines = lines.select("part", "k", F.explode("l").alias("x")).select("part", F.struct("k", "x.o").alias("o"), F.col("x.v").alias("value"))
     heads = lines.groupBy("part").agg(F.struct(F.lit(-1).cast("long").alias("k"), F.lit(0).alias("o")).alias("o"), F.lit("0 64").alias("value")).select("part", "o", "value")
-    heads.unionByName(lines).repartitionByRange(1, "part", "o").sortWithinPartitions("part", "o").select("part", "value").write.partitionBy("part").text(folder)
+    heads.unionByName(lines).repartitionByRange("part").sortWithinPartitions("part", "o").select("part", "value").write.partitionBy("part").text(folder)
     return S.load(spark, "vectors", f"{folder}/*").select("entity", "id", F.transform("vec", lambda x: x + 0.0).alias("vec"))
 
 

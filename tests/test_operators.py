@@ -385,3 +385,12 @@ def test_rounding_keeps_the_sign_of_what_rounds_to_nothing(spark):
     rows = spark.createDataFrame([(x,) for x in (-4e-7, 4e-7, -0.0, 0.0, -1.25, 2.5, -5e-7, None)], "x double")
     got = [r["y"] for r in rows.coalesce(1).select(rounded("x", 6).alias("y")).collect()]
     assert [str(x) for x in got] == ["-0.0", "0.0", "-0.0", "0.0", "-1.25", "2.5", "-1e-06", "None"]
+
+
+def test_vectors_of_more_than_ten_files_are_numbered_in_their_order(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = spark.range(11_500).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (i / 100).cast("float")).alias("embedding"))
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = entry.queries()["s10_vectors_of_files"](spark, str(tmp_path))
+    assert got.where(F.col("id") != 3 * F.substring("entity", 2, 9).cast("long") + 1).count() == 0 and got.count() == 11_500
