@@ -118,9 +118,12 @@ def multi_hot(concepts: DataFrame, vocabulary: DataFrame, sample: str, types: Da
 
 
 def indexed_relations(rels: DataFrame, sample: str, entities_column: str, vocabulary: DataFrame) -> DataFrame:
-    """(sample, head, tail, rel) by number from (sample, entities, head, tail, rel), heads and tails as places or names; what isn't known or in range goes."""
+    """(sample, head, tail, rel) by number from (sample, entities, head, tail, rel), heads and tails as places or names; what isn't known or in range goes.
+
+    The vocabulary, a model's few relations, is broadcast: a shuffle by relation would bring all rows to as many tasks.
+    """
     place = lambda c: F.coalesce(F.expr(f"try_cast({c} as int)"), (F.array_position(entities_column, F.col(c)) - 1).cast("int"))
-    rows = rels.withColumn("_h", place("head")).withColumn("_t", place("tail")).join(vocabulary.select(F.col("name").alias("rel"), (F.col("id") - 1).alias("_r")), "rel")
+    rows = rels.withColumn("_h", place("head")).withColumn("_t", place("tail")).join(F.broadcast(vocabulary.select(F.col("name").alias("rel"), (F.col("id") - 1).alias("_r"))), "rel")
     n = F.size(entities_column)
     return rows.where((F.col("_h") >= 0) & (F.col("_h") < n) & (F.col("_t") >= 0) & (F.col("_t") < n)).select(sample, F.col("_h").alias("head"), F.col("_t").alias("tail"), F.col("_r").alias("rel"))
 
