@@ -394,3 +394,66 @@ def test_vectors_of_more_than_ten_files_are_numbered_in_their_order(spark, tmp_p
     rows.write.parquet(f"{tmp_path}/embeddings.parquet")
     got = entry.queries()["s10_vectors_of_files"](spark, str(tmp_path))
     assert got.where(F.col("id") != 3 * F.substring("entity", 2, 9).cast("long") + 1).count() == 0 and got.count() == 11_500
+
+
+def plain_paths(edges, src, dst, most):
+    if src == dst:
+        return {(f"self>{src}", 1)}
+    both = edges + [(c, "~" + r, a) for a, r, c in edges]
+    out, grown = set(), [(src, (src,), "")]
+    for step in range(1, most + 1):
+        grown = [(c, (*seen, c), path + ("|" if path else "") + f"{r}>{c}") for at, seen, path in grown for a, r, c in both if a == at and c not in seen]
+        out |= {(path, step) for at, _, path in grown if at == dst}
+        grown = [g for g in grown if g[0] != dst]
+    return out
+
+
+@pytest.mark.parametrize("least", [0, 3, 64])
+def test_paths_and_facts_from_either_end_against_plain_python(spark, least, monkeypatch):
+    monkeypatch.setattr(G, "LEAST", least)
+    rng = random.Random(least)
+    nodes = "abcdefgh"
+    edges = list({(rng.choice(nodes), rng.choice("rs"), rng.choice(nodes)) for _ in range(14)}) + [("a", "r", f"leaf{i}") for i in range(9)]
+    triples = spark.createDataFrame(edges, "src string, rel string, dst string")
+    pairs = [(a, b) for a in nodes[:4] for b in nodes] + [("leaf1", "leaf2"), ("b", "leaf3"), ("leaf4", "c"), ("a", "b")]
+    frame = spark.createDataFrame(pairs, "src string, dst string")
+    for most in (1, 2, 3, 4):
+        got = sorted((r["src"], r["dst"], r["path"], r["steps"]) for r in G.paths(triples, frame, most, None).collect())
+        assert got == sorted((a, b, *x) for a, b in set(pairs) for x in plain_paths(edges, a, b, most))
+    both = set(edges) | {(c, "~" + r, a) for a, r, c in edges}
+    claims = [(a, r, b) for a, b in pairs for r in ("r", "s", "~r")]
+
+    def sure(a, r, b):
+        if (a, r, b) in both or (a, "~" + r, b) in both:
+            return 1.0 if (a, r, b) in both else 0.9
+        two = any(x == a and z == b and y not in (a, b) for x, _, y in both for y2, _, z in both if y2 == y)
+        return 0.5 if a == b or two or any((x, z) == (a, b) for x, _, z in both) else 0.0
+
+    got = {(r["src"], r["rel"], r["dst"]): r["confidence"] for r in G.verify(spark.createDataFrame(claims, "src string, rel string, dst string"), triples).collect()}
+    assert got == {c: sure(*c) for c in set(claims)}
+
+
+def test_growth_of_paths_and_facts_passes_no_hub(spark):
+    """Rows that joins give stay in proportion to the pairs, though all go by one node: its neighbours aren't paired."""
+    n = 3000
+    leaf = spark.range(n).select(F.concat(F.lit("leaf"), "id").alias("src"), F.lit("in").alias("rel"), F.lit("hub").alias("dst"))
+    triples = leaf.unionByName(spark.createDataFrame([("hub", "part_of", "top")], "src string, rel string, dst string"))
+    pairs = leaf.select("src", F.lit("top").alias("dst"))
+    grown = G.cut
+    rows = []
+    try:
+        G.cut = lambda df: rows.append(grown(df)) or rows[-1]
+        assert G.paths(triples, pairs).count() == n
+        assert G.verify(pairs.withColumn("rel", F.lit("in")).select("src", "rel", "dst"), triples).where("confidence = 0.5").count() == n
+    finally:
+        G.cut = grown
+    assert max(r.count() for r in rows) <= 2 * n
+
+
+def test_relations_are_indexed_without_a_shuffle(spark):
+    from quernmill.operators import extraction as X
+
+    rows = spark.range(1000).select("id", F.array(F.lit("x"), F.lit("y")).alias("e"), F.lit("x").alias("head"), F.lit("1").alias("tail"), F.lit("r").alias("rel"))
+    got = X.indexed_relations(rows, "id", "e", spark.createDataFrame([("r", 3), ("s", 4)], "name string, id int"))
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r)[1:] for r in got.collect()} == {(0, 1, 2)} and got.count() == 1000
