@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,7 +43,7 @@ class Memory:
     @staticmethod
     def _distance(a, b) -> float:
         num = sum(x * y for x, y in zip(a, b, strict=True))
-        den = (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+        den = math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
         return 1 - num / max(den, 1e-12)
 
     def _reservoir(self, entry: tuple) -> bool:
@@ -93,10 +94,73 @@ class Memory:
         return self._reservoir(entry)
 
 
+    def add_all(self, ids: np.ndarray, uncertainty: np.ndarray, concepts: np.ndarray, vectors: list) -> list[bool]:
+        """What ``add`` gives for each of some entries in their order, ``hybrid`` by blocks as long as all have finite vectors of one length."""
+        kept: list[bool] = []
+        at = 0
+        while at < len(ids):
+            end = min(len(ids), at + BLOCK)
+            held = [e[3] for e in self.entries] + list(vectors[at:end])
+            whole = self.strategy == "hybrid" and 0 < len(self.entries) == self.most and all(v is not None and len(v) == len(held[0]) for v in held)
+            matrix = np.array(held, float) if whole else None
+            sure = np.array([e[1] for e in self.entries] + list(uncertainty[at:end]), float)
+            if matrix is not None and np.isfinite(matrix).all() and np.isfinite(sure).all():
+                kept += self._hybrid(ids[at:end], sure, concepts[at:end], matrix)
+            else:
+                end = at + 1 if len(self.entries) < self.most else end
+                kept += [self.add(int(ids[i]), float(uncertainty[i]), str(concepts[i]), None if vectors[i] is None else [float(x) for x in vectors[i]]) for i in range(at, end)]
+            at = end
+        return kept
+
+    def _hybrid(self, ids: np.ndarray, sure: np.ndarray, concepts: np.ndarray, matrix: np.ndarray) -> list[bool]:
+        """A block of arrivals for a full memory, given the uncertainties and vectors of its entries and then of theirs.
+
+        The distances of all arrivals from the entries and from one another are taken at once; what is
+        left to do in order is to see which of them hold a place.
+        """
+        n, some = self.most, matrix[self.most :]
+        square = _sums(matrix.T * matrix.T)
+        near = 1 - _sums(some.T[:, :, None] * matrix.T[:, None, :]) / np.maximum(np.sqrt(square[n:, None] * square), 1e-12)
+        near *= self.weight
+        part = (1 - self.weight) * sure
+        place, share, kept = np.arange(n), part[:n].copy(), []
+        for j in range(len(some)):
+            score = share + near[j].take(place)
+            k = int(score.argmin())
+            kept.append(bool(sure[n + j] > score[k]))
+            if kept[-1]:
+                place[k], share[k] = n + j, part[n + j]
+        for k in np.flatnonzero(place >= n):
+            j = place[k] - n
+            self.entries[k] = (int(ids[j]), float(sure[n + j]), str(concepts[j]), some[j].tolist())
+        self.seen += len(some)
+        return kept
+
+
+#: Arrivals whose distances are taken at once, and rows that are given at a time.
+BLOCK, GIVEN = 128, 1 << 16
+
+
+def _sums(parts: np.ndarray) -> np.ndarray:
+    """Sums over the first axis with the error of each step made up for, as Python's ``sum`` does for floats."""
+    total, lost = np.zeros(parts.shape[1:]), np.zeros(parts.shape[1:])
+    for x in parts:
+        t = total + x
+        lost += np.where(np.abs(total) >= np.abs(x), (total - t) + x, (x - t) + total)
+        total = t
+    return total + lost
+
+
 STATE = "entries array<struct<event_id:bigint,uncertainty:double,concept:string,vector:array<double>>>, seen bigint"
 KEPT = "buffer string, event_id bigint, kept boolean, size int"
 
 
+def _packed(vectors: pd.Series) -> np.ndarray | list:
+    """Vectors as one matrix, or as they are if some are null or of another length."""
+    one = {None if v is None else len(v) for v in vectors}
+    return np.array(vectors.tolist(), float) if len(one) == 1 and one != {None} else vectors.tolist()
+
+
 def remember(events: DataFrame, most: int, strategy: str = "uncertainty") -> DataFrame:
     """Keeps a memory for each ``buffer`` of a stream of (buffer, event_id, uncertainty, concept, vector); one row for each arrival.
 
@@ -110,10 +174,25 @@ def remember(events: DataFrame, most: int, strategy: str = "uncertainty") -> Dat
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, seen = state.get if state.exists else ([], 0)
         memory = Memory(most, strategy, entries=[(e[0], e[1], e[2], None if e[3] is None else list(e[3])) for e in held], seen=seen)
-        rows = pd.concat(list(frames)).sort_values("event_id")
-        kept = [memory.add(int(r.event_id), float(r.uncertainty), str(r.concept), None if r.vector is None else [float(x) for x in r.vector]) for r in rows.itertuples()]
+        kept: list[np.ndarray] = []
+        ids, sure, codes, vectors, names = [], [], [], [], {}
+        for frame in frames:
+            ids.append(frame["event_id"].to_numpy())
+            sure.append(frame["uncertainty"].to_numpy(float))
+            codes.append(np.array([names.setdefault(c, len(names)) for c in frame["concept"]], np.int32))
+            vectors.append(_packed(frame["vector"]))
+        # one column after the other, so that few are there twice
+        ids, sure, codes = np.concatenate(ids), np.concatenate(sure), np.concatenate(codes)
+        flat = all(isinstance(v, np.ndarray) for v in vectors) and len({v.shape[1] for v in vectors}) == 1
+        vectors = np.concatenate(vectors) if flat else [x for v in vectors for x in v]
+        words, order = np.array(list(names), object), np.argsort(ids, kind="stable")
+        for at in range(0, len(order), GIVEN):
+            part = order[at : at + GIVEN]
+            some = vectors[part] if flat else [vectors[i] for i in part]
+            kept.append(np.array(memory.add_all(ids[part], sure[part], words[codes[part]], some), bool))
         state.update((memory.entries, memory.seen))
-        yield pd.DataFrame({"buffer": key[0], "event_id": rows["event_id"].to_numpy(), "kept": kept, "size": len(memory.entries)})
+        for at, some in zip(range(0, len(order), GIVEN), kept, strict=True):
+            yield pd.DataFrame({"buffer": key[0], "event_id": ids[order[at : at + GIVEN]], "kept": some, "size": len(memory.entries)})
 
     return events.groupBy("buffer").applyInPandasWithState(step, KEPT, STATE, "append", GroupStateTimeout.NoTimeout)
 

@@ -457,3 +457,22 @@ def test_relations_are_indexed_without_a_shuffle(spark):
     got = X.indexed_relations(rows, "id", "e", spark.createDataFrame([("r", 3), ("s", 4)], "name string, id int"))
     assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r)[1:] for r in got.collect()} == {(0, 1, 2)} and got.count() == 1000
+
+
+@pytest.mark.parametrize("nulls", [0.0, 0.01])
+def test_memory_by_blocks_is_the_sequential_one_and_fast(nulls):
+    import time
+
+    import numpy as np
+
+    rng = random.Random(12)
+    rows = [(i, rng.random() * 3, rng.choice("ab"), None if rng.random() < nulls else [rng.gauss(0, 1) for _ in range(3)]) for i in range(1500)]
+    one, all_ = N.Memory(60, "hybrid"), N.Memory(60, "hybrid")
+    began = time.perf_counter()
+    want = [one.add(*r) for r in rows]
+    took = time.perf_counter() - began
+    ids, sure, concepts = (np.array([r[k] for r in rows], object) for k in range(3))
+    began = time.perf_counter()
+    got = [x for at in range(0, 1500, 700) for x in all_.add_all(ids[at : at + 700], sure[at : at + 700], concepts[at : at + 700], [r[3] for r in rows[at : at + 700]])]
+    assert got == want and all_.entries == one.entries and all_.seen == one.seen and 0 < sum(want) < 1500
+    assert nulls or time.perf_counter() - began < took / 3
