@@ -68,6 +68,11 @@ def insulted(low: str, name: Column) -> Column:
     return (at > 0) & near.rlike("|".join(INSULTS))
 
 
+def with_insults(low: Column | str) -> Column:
+    """Whether there is an insult anywhere: without one nothing stands near any, and no mention need be looked for."""
+    return contains_any(low, INSULTS)
+
+
 def attacks_person(low: str, entities: str) -> Column:
     return F.exists(F.coalesce(F.col(entities), F.array().cast("array<string>")), lambda e: names_a_person(e) & insulted(low, e))
 

@@ -71,7 +71,9 @@ def constraints(spark, sf_dir):
 
 @query("f6_insulted", f"select doc_id, e as entity, {_person} as person, {_insulted} as insulted from (select doc_id, text, unnest(list_distinct({ENTITIES})) as e from documents)")
 def insulted(spark, sf_dir):
-    rows = docs(spark, sf_dir).select("doc_id", F.lower("text").alias("low"), F.explode(F.array_distinct("entities")).alias("entity"))
+    # texts without insults aren't copied to each of their entities
+    rows = docs(spark, sf_dir).withColumn("low", F.lower("text"))
+    rows = rows.select("doc_id", F.when(S.with_insults("low"), F.col("low")).otherwise("").alias("low"), F.explode(F.array_distinct("entities")).alias("entity"))
     return rows.select("doc_id", "entity", S.names_a_person(F.lower("entity")).alias("person"), S.insulted("low", F.lower("entity")).alias("insulted"))
 
 

@@ -476,3 +476,8 @@ def test_memory_by_blocks_is_the_sequential_one_and_fast(nulls):
     got = [x for at in range(0, 1500, 700) for x in all_.add_all(ids[at : at + 700], sure[at : at + 700], concepts[at : at + 700], [r[3] for r in rows[at : at + 700]])]
     assert got == want and all_.entries == one.entries and all_.seen == one.seen and 0 < sum(want) < 1500
     assert nulls or time.perf_counter() - began < took / 3
+
+
+def test_texts_without_insults_are_told_from_others(spark):
+    rows = spark.createDataFrame([("dr who is a fool",), ("dr who is kind",), (None,)], "low string").coalesce(1)
+    assert [r[0] for r in rows.select(S.with_insults("low")).collect()] == [True, False, None]
